@@ -113,13 +113,23 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def rounded_to(c: Column | str, digits: int) -> Column:
+    """Round half away from zero at a decimal place.
+
+    Scaling first makes 2.675 behave as written; ``round`` alone sees the binary value just
+    below it.
+    """
+    scale = float(10**digits)
+    return F.round(col(c).cast("double") * scale) / scale
+
+
 def percentage(c: Column, digits: int = 2) -> Column:
-    return F.round(c * 100.0, digits)
+    return rounded_to(c * 100.0, digits)
 
 
 def fixed(c: Column, digits: int, precision: int = 18) -> Column:
     """Round a double and keep it as an exact decimal."""
-    return F.round(c, digits).cast(f"decimal({precision},{digits})")
+    return rounded_to(c, digits).cast(f"decimal({precision},{digits})")
 
 
 # ---- bands --------------------------------------------------------------------

@@ -1,9 +1,11 @@
 """Previous/next row and running row number per entity, safe for hot entities.
 
-A plain window would sort one entity's whole history in one task. Here a history is cut
-into hour slices: the row-level windows run inside (entity, slice), and what crosses a
-slice border travels through one summary row per slice. The second window therefore sees
-at most one row per hour of the reporting period for an entity, however many rows it has.
+A plain window sorts one entity's whole history in one task, which is the cheapest plan as
+long as every history is short. ``largest_history`` measures that first. When one entity
+holds too many rows, histories are cut into hour slices: the row-level windows run inside
+(entity, slice), and what crosses a slice border travels through one summary row per slice.
+The second window then sees at most one row per hour of the reporting period for an entity,
+however many rows it has.
 """
 
 from __future__ import annotations
@@ -14,6 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _SLICE = "_slice"
+PLAIN_LIMIT = 1_000_000  # rows of one entity that a single task may sort
+
+
+def largest_history(df: DataFrame, keys: Sequence[str]) -> int:
+    """Most rows held by one entity: a partial aggregation, one number to the driver."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
 
 
 def _sliced(df: DataFrame, ts: str) -> DataFrame:
@@ -27,13 +36,27 @@ def neighbours(
     tie: str,
     previous: Mapping[str, str],
     following: Mapping[str, str],
+    plain: bool = False,
+    identity: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add columns from the previous / next row of the same entity.
 
     ``previous`` and ``following`` map new column names to source columns; rows are
-    ordered by ``ts`` and then ``tie``. Rows with a null key get nulls.
+    ordered by ``ts`` and then ``tie``. Rows with a null ``identity`` column (all keys unless
+    given) get nulls.
     """
     keys = list(keys)
+    known = F.lit(True)
+    for k in identity or keys:
+        known = known & F.col(k).isNotNull()
+    if plain:
+        whole = Window.partitionBy(*keys).orderBy(ts, tie)
+        return df.select(
+            "*",
+            *[F.when(known, F.lag(src).over(whole)).alias(out) for out, src in previous.items()],
+            *[F.when(known, F.lead(src).over(whole)).alias(out) for out, src in following.items()],
+        )
+
     rows = _sliced(df, ts)
     inside = Window.partitionBy(*keys, _SLICE).orderBy(ts, tie)
     order = F.struct(ts, tie)
@@ -58,9 +81,6 @@ def neighbours(
         *[F.lead(src).over(inside).alias(out) for out, src in following.items()],
     )
     joined = marked.join(carried, [*keys, _SLICE], "left")
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
 
     def pick(out: str, has: str, carry: str):
         return F.when(known, F.when(F.col(has).isNull(), F.col(carry)).otherwise(F.col(out)))
@@ -70,9 +90,17 @@ def neighbours(
     return joined.select(*df.columns, *[c.alias(out) for out, c in chosen.items()])
 
 
-def running_number(df: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str) -> DataFrame:
+def running_number(
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str, plain: bool = False
+) -> DataFrame:
     """Add the 1-based position of each row in its entity's history."""
     keys = list(keys)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    if plain:
+        whole = Window.partitionBy(*keys).orderBy(ts, tie)
+        return df.withColumn(name, F.when(known, F.row_number().over(whole)))
     rows = _sliced(df, ts)
     counts = rows.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
     earlier = (
@@ -85,5 +113,5 @@ def running_number(df: DataFrame, keys: Sequence[str], ts: str, tie: str, name:
     return (
         rows.withColumn("_pos", F.row_number().over(inside))
         .join(before, [*keys, _SLICE], "left")
-        .select(*df.columns, (F.col("_before") + F.col("_pos")).cast("int").alias(name))
+        .select(*df.columns, F.when(known, F.col("_before") + F.col("_pos")).cast("int").alias(name))
     )

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bayworks.plans import facts, reports, views
-from bayworks.session import configure
-from bayworks.sources import binding
+from bayworks.functions.scalars import parse_datetime, rounded_to
+from bayworks.operators import clean, validate
+from bayworks.plans import facts, quality, reports, views
+from bayworks.session import configure, settle
+from bayworks.sources import binding, defects, schemas
 
 CFG = binding.BOUND_CONFIG
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,9 +49,8 @@ class Model:
             facts.fact_technician_month(self.tables, self.fact, CFG), self.tables["service_centers"]
         )
 
-    @cached_property
-    def views(self) -> dict[str, DataFrame]:
-        return views.build_views(self.spark, self.tables, CFG)
+    def view(self, name: str) -> DataFrame:
+        return views.view(self.spark, self.tables, CFG, name)
 
 
 def present(df: DataFrame, *columns: str) -> DataFrame:
@@ -74,7 +75,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     flat = present(df)
     return flat.select(
         *[
-            F.round(f"`{f.name}`", digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
+            rounded_to(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
             for f in flat.schema.fields
         ]
     )
@@ -116,9 +117,9 @@ add(
 )
 add("dense_grid", lambda m: m.tech.drop("center_name", "region"), digits=6)
 
-add("vw_period_calendar", lambda m: m.views["vw_period_calendar"])
+add("vw_period_calendar", lambda m: m.view("vw_period_calendar"))
 add(
-    "vw_work_order_enriched", lambda m: m.views["vw_work_order_enriched"],
+    "vw_work_order_enriched", lambda m: m.view("vw_work_order_enriched"),
     "work_order_id", "vehicle_id", "customer_id", "center_id", "technician_id", "service_type", "variant",
     "model_year", "customer_region", "years_experience", "month_start", "year_month", "service_year",
     "service_month", "iso_weekday", "weekday_name", "wait_hours", "turnaround_hours", "late_hours",
@@ -127,17 +128,87 @@ add(
     "customer_visit_number",
 )
 add(
-    "vw_appointment_enriched", lambda m: m.views["vw_appointment_enriched"],
+    "vw_appointment_enriched", lambda m: m.view("vw_appointment_enriched"),
     "appointment_id", "customer_id", "center_name", "city", "lead_days", "lead_time_band", "year_month",
     "month_start", "iso_weekday", "weekday_name", "is_cancelled", "is_no_show", "is_completed",
 )
-add("vw_monthly_financials", lambda m: m.views["vw_monthly_financials"], digits=6)
+add("vw_monthly_financials", lambda m: m.view("vw_monthly_financials"), digits=6)
 for _name in (
     "vw_technician_utilisation", "vw_center_performance", "vw_service_type_performance",
     "vw_appointment_funnel", "vw_customer_repeat", "vw_kpi_summary",
 ):
-    add(_name, lambda m, _n=_name: m.views[_n])
+    add(_name, lambda m, _n=_name: m.view(_n))
 
 # ---- reports --------------------------------------------------------------------
 for _name, _report in reports.REPORTS.items():
     add(_name, lambda m, _f=_report: _f(m.tables, CFG))
+
+
+# ---- raw twins, quality checks, cleaning ------------------------------------------
+DEFECT_SCALE = 4  # four times the documented defect rates, so small inputs show every class
+
+
+def raw_tables(m: Model) -> defects.RawTables:
+    return defects.inject(m.tables, CFG, DEFECT_SCALE)
+
+
+class Staged(dict):
+    """Raw twins with types applied but no rule: what the quality checks are pointed at."""
+
+    def __init__(self, raw):
+        super().__init__()
+        self._raw = raw
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = self._raw[name]
+        when = {c: parse_datetime(c) for c in schemas.DATE_COLUMNS.get(name, ())}
+        if when:
+            df = df.withColumns({c: w if name == "work_orders" else F.to_date(w) for c, w in when.items()})
+        self[name] = df
+        return df
+
+
+def staged(m: Model) -> Staged:
+    return Staged(raw_tables(m))
+
+
+def cleaned(m: Model, store=settle) -> clean.Pipeline:
+    return clean.Pipeline(raw_tables(m), CFG, store)
+
+
+for _n in quality.CATALOGUE:
+    add(f"dq{_n:02d}", lambda m, _n=_n: quality.run_checks(staged(m), CFG, [_n]))
+add("dq99", lambda m: quality.summary(staged(m), CFG))
+add("dq_agreement", lambda m: quality.agreement({k: settle(staged(m)[k]) for k in schemas.TABLES}, CFG))
+add("constraints", lambda m: validate.validate(staged(m), schemas.table_rules(CFG)))
+add("profile", lambda m: clean.profile(raw_tables(m)))
+for _name in clean.ORDER:
+    add(f"clean_{_name}", lambda m, _n=_name: cleaned(m)[_n].rows)
+add("cleaning_log", lambda m: clean.cleaning_log(cleaned(m)))
+add("retention", lambda m: clean.retention(clean.profile(raw_tables(m)), cleaned(m)))
+
+
+def _validation(m: Model) -> DataFrame:
+    rows = cleaned(m).rows()
+    return clean.validation(rows, settle(facts.fact_service(rows, CFG)))
+
+
+add("postclean_checks", _validation)
+add("defect_manifest", lambda m: defects.manifest(m.tables, CFG, DEFECT_SCALE))
+add(
+    "injected_vs_detected",
+    lambda m: clean.reconcile_defects(
+        defects.manifest(m.tables, CFG, DEFECT_SCALE), clean.cleaning_log(cleaned(m))
+    ),
+)
+for _name, _key, _cols in (
+    ("customers", "customer_id", ["region"]),
+    ("vehicles", "vehicle_id", ["model", "model_year", "mileage_km"]),
+    ("appointments", "appointment_id", ["status", "scheduled_date", "center_id"]),
+    ("work_orders", "work_order_id", ["service_type", "technician_id"]),
+    ("financials", "work_order_id", ["labor_cost", "parts_cost", "revenue"]),
+):
+    add(
+        f"change_audit_{_name}",
+        lambda m, _n=_name, _k=_key, _c=_cols: clean.change_audit(raw_tables(m)[_n], cleaned(m)[_n].rows, _k, _c),
+    )

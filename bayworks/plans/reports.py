@@ -15,6 +15,7 @@ from bayworks.functions.scalars import (
     percentage,
     position_in,
     ratio,
+    rounded_to,
     share,
     weekday_name_of_number,
 )
@@ -23,7 +24,7 @@ from bayworks.plans import views as V
 from bayworks.plans.facts import month_calendar
 
 Tables = dict[str, DataFrame]
-R = F.round
+R = rounded_to
 
 
 def total(c) -> Column:
@@ -31,6 +32,11 @@ def total(c) -> Column:
     return F.sum(c).over(Window.partitionBy())
 
 
+def jobs(t: Tables, cfg: Config, columns: str) -> DataFrame:
+    """Enriched jobs reduced to the named columns and the joins those need."""
+    return V.work_order_enriched(t, cfg, set(columns.split()))
+
+
 def rank_by(c, descending: bool = True):
     order = F.col(c) if isinstance(c, str) else c
     return F.rank().over(
@@ -92,7 +98,7 @@ def q01(t: Tables, cfg: Config) -> DataFrame:
 
 def q02(t: Tables, cfg: Config) -> DataFrame:
     """Monthly money with growth and running revenue."""
-    m = V.work_order_enriched(t, cfg).groupBy("month_start").agg(
+    m = jobs(t, cfg, "month_start revenue total_cost profit").groupBy("month_start").agg(
         F.count(F.lit(1)).alias("work_orders"),
         F.sum("revenue").alias("revenue"),
         F.sum("total_cost").alias("total_cost"),
@@ -145,7 +151,7 @@ def q04(t: Tables, cfg: Config) -> DataFrame:
     """On-time rate per centre plus a network row."""
     late = ~F.col("on_time_flag")
     cut = (
-        V.work_order_enriched(t, cfg)
+        jobs(t, cfg, "center_name on_time_flag late_hours parts_delay_flag")
         .rollup("center_name")
         .agg(
             F.grouping("center_name").alias("_total"),
@@ -328,8 +334,9 @@ def q10(t: Tables, cfg: Config) -> DataFrame:
 def q11(t: Tables, cfg: Config) -> DataFrame:
     """How good the duration estimates are, per service type."""
     over = F.col("duration_variance_hours") > F.col("estimated_hours") * F.lit(0.25)
-    rel = F.round(ratio("duration_variance_hours", "estimated_hours"), 6).cast("decimal(18,6)")
-    cut = V.work_order_enriched(t, cfg).groupBy("service_type").agg(
+    rel = R(ratio("duration_variance_hours", "estimated_hours"), 6).cast("decimal(18,6)")
+    e = jobs(t, cfg, "service_type estimated_hours actual_hours duration_variance_hours")
+    cut = e.groupBy("service_type").agg(
         F.count(F.lit(1)).alias("work_orders"),
         mean("estimated_hours").alias("_est"),
         mean("actual_hours").alias("_act"),
@@ -355,7 +362,13 @@ def q11(t: Tables, cfg: Config) -> DataFrame:
 
 def q12(t: Tables, cfg: Config) -> DataFrame:
     """Repeat customers per customer type plus a total row."""
-    c = V.customer_repeat(V.work_order_enriched(t, cfg), cfg)
+    c = V.customer_repeat(
+        jobs(
+            t, cfg,
+            "customer_id customer_type customer_region vehicle_id service_date revenue rating is_comeback",
+        ),
+        cfg,
+    )
     cut = c.rollup("customer_type").agg(
         F.grouping("customer_type").alias("_total"),
         F.count(F.lit(1)).alias("customers_served"),
@@ -377,8 +390,11 @@ def q12(t: Tables, cfg: Config) -> DataFrame:
 def q13(t: Tables, cfg: Config) -> DataFrame:
     """Same months of two consecutive years, in long form."""
     early = cfg.compare_months
-    jobs = (
-        V.work_order_enriched(t, cfg)
+    served = (
+        jobs(
+            t, cfg,
+            "service_month service_year revenue profit on_time_flag turnaround_hours rating parts_delay_flag",
+        )
         .where(F.col("service_month") <= early)
         .groupBy("service_year")
         .agg(
@@ -408,7 +424,7 @@ def q13(t: Tables, cfg: Config) -> DataFrame:
         "Parts delay rate (%)", "Cancellation rate (%)",
     ]
     long = (
-        jobs.join(booked, "service_year")
+        served.join(booked, "service_year")
         .unpivot("service_year", order, "metric", "value")
         .groupBy("metric")
         .agg(
@@ -454,7 +470,7 @@ def q14(t: Tables, cfg: Config) -> DataFrame:
     )
     s = F.col("composite_score")
     # equal sums can differ in the last bit, so ranks use the score rounded to 12 places
-    key = F.round(s, 12)
+    key = R(s, 12)
     return scored.select(
         F.rank().over(Window.orderBy(key.desc())).alias("overall_rank"),
         "center_name",
@@ -487,7 +503,7 @@ def parts_wait_band(c: str):
 def q15(t: Tables, cfg: Config) -> DataFrame:
     """Parts-wait bands against the no-wait baseline."""
     cut = (
-        V.work_order_enriched(t, cfg)
+        jobs(t, cfg, "parts_wait_hours on_time_flag turnaround_hours rating cost_variance")
         .groupBy(parts_wait_band("parts_wait_hours").alias("parts_wait_band"))
         .agg(
             F.count(F.lit(1)).alias("work_orders"),
@@ -534,7 +550,7 @@ def q16(t: Tables, cfg: Config) -> DataFrame:
 def q17(t: Tables, cfg: Config) -> DataFrame:
     """Weekday load against wait, with their correlation across weekdays."""
     daily = (
-        V.work_order_enriched(t, cfg)
+        jobs(t, cfg, "iso_weekday service_date wait_hours")
         .groupBy("iso_weekday", "service_date")
         .agg(F.count(F.lit(1)).alias("jobs"), mean("wait_hours").alias("w"))
     )
@@ -543,7 +559,7 @@ def q17(t: Tables, cfg: Config) -> DataFrame:
         F.count(F.lit(1)).alias("open_days"),
         F.sum("jobs").alias("work_orders"),
         mean("jobs").alias("_load"),
-        mean(F.round("w", 9).cast("decimal(20,9)")).alias("_wait"),
+        mean(R("w", 9).cast("decimal(20,9)")).alias("_wait"),
     )
     return weekday.orderBy("iso_weekday").select(
         weekday_name_of_number("iso_weekday").alias("weekday"),
@@ -558,7 +574,7 @@ def q17(t: Tables, cfg: Config) -> DataFrame:
 
 def q18(t: Tables, cfg: Config) -> DataFrame:
     """Cost variance by service type and by billing type in one pass."""
-    e = V.work_order_enriched(t, cfg)
+    e = jobs(t, cfg, "service_type billing_type cost_variance cost_overrun_flag estimated_cost")
     cuts = e.groupingSets([["service_type"], ["billing_type"]], "service_type", "billing_type").agg(
         F.grouping("service_type").alias("_g"),
         F.count(F.lit(1)).alias("work_orders"),
@@ -581,7 +597,9 @@ def q18(t: Tables, cfg: Config) -> DataFrame:
 
 def q19(t: Tables, cfg: Config) -> DataFrame:
     """Model profile including vehicles that never came in."""
-    e = V.work_order_enriched(t, cfg)
+    e = jobs(
+        t, cfg, "vehicle_id model revenue profit rating caused_comeback service_date purchase_date"
+    )
     activity = e.groupBy("vehicle_id").agg(
         F.count(F.lit(1)).alias("visits"), F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit")
     )
@@ -663,10 +681,13 @@ def q20(t: Tables, cfg: Config) -> DataFrame:
 def q21(t: Tables, cfg: Config) -> DataFrame:
     """Revenue concentration by customer decile. Customers are ranked with the bucketed
     position operator (customer id breaks ties), never with a global window."""
-    per_customer = V.customer_repeat(V.work_order_enriched(t, cfg), cfg).select(
-        "customer_id",
-        F.coalesce("total_revenue", F.lit(0)).alias("total_revenue"),
-        "completed_visits",
+    per_customer = (
+        jobs(t, cfg, "customer_id customer_type customer_region revenue")
+        .groupBy("customer_id", "customer_type", "customer_region")
+        .agg(
+            F.coalesce(F.sum("revenue"), F.lit(0)).alias("total_revenue"),
+            F.count(F.lit(1)).alias("completed_visits"),
+        )
     )
     placed = row_positions(per_customer, "total_revenue", "customer_id", "_pos", descending=True)
     n = placed.agg(F.count(F.lit(1)).alias("_n"))

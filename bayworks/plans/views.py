@@ -14,6 +14,7 @@ from bayworks.functions.scalars import (
     iso_weekday,
     mean,
     ratio,
+    rounded_to,
     share,
     weekday_name,
     year_month,
@@ -21,7 +22,7 @@ from bayworks.functions.scalars import (
 from bayworks.plans.facts import job_history, working_days
 
 Tables = dict[str, DataFrame]
-R = F.round
+R = rounded_to
 
 
 def period_calendar(spark: SparkSession, cfg: Config) -> DataFrame:
@@ -33,8 +34,29 @@ def period_calendar(spark: SparkSession, cfg: Config) -> DataFrame:
     )
 
 
-def work_order_enriched(t: Tables, cfg: Config) -> DataFrame:
-    """One row per job; booking, vehicle, owner and centre are required (inner joins)."""
+# What each optional join contributes; a consumer that names its columns skips the others.
+HISTORY = {
+    "prev_same_service_end", "next_same_service_check_in", "days_since_same_service", "is_comeback",
+    "caused_comeback", "customer_visit_number",
+}
+MONEY = {
+    "billing_type", "estimated_cost", "labor_cost", "parts_cost", "revenue", "total_cost", "profit",
+    "cost_variance", "cost_variance_pct", "cost_overrun_flag",
+}
+RATING = {"rating", "feedback_category"}
+STAFF = {"skill_level", "years_experience"}
+
+
+def work_order_enriched(t: Tables, cfg: Config, want: set[str] | None = None) -> DataFrame:
+    """One row per job; booking, vehicle, owner and centre are required (inner joins).
+
+    ``want`` limits the result to some columns. Left joins on unique keys that feed none of
+    them, and the history windows, are then left out; the optimizer cannot prove that itself.
+    """
+
+    def needs(group: set[str]) -> bool:
+        return want is None or bool(want & group)
+
     owner = (
         t["vehicles"]
         .select(
@@ -48,18 +70,24 @@ def work_order_enriched(t: Tables, cfg: Config) -> DataFrame:
     booking = t["appointments"].select(
         "appointment_id", "vehicle_id", "center_id", "booking_channel", "scheduled_date"
     )
+    joined = t["work_orders"]
+    if needs(MONEY):
+        joined = joined.join(t["financials"], "work_order_id", "left")
+    if needs(RATING):
+        rated = t["feedback"].select("work_order_id", "rating", "feedback_category")
+        joined = joined.join(rated, "work_order_id", "left")
+    if needs(HISTORY):
+        joined = joined.join(job_history(t, "inner"), "work_order_id")
     joined = (
-        t["work_orders"]
-        .join(t["financials"], "work_order_id", "left")
-        .join(t["feedback"].select("work_order_id", "rating", "feedback_category"), "work_order_id", "left")
-        .join(job_history(t, "inner"), "work_order_id")
-        .join(booking, "appointment_id")
+        joined.join(booking, "appointment_id")
         .join(owner, "vehicle_id")
         .join(t["service_centers"].select("center_id", "center_name", "city", "region"), "center_id")
-        .join(t["technicians"].select("technician_id", "skill_level", "years_experience"), "technician_id", "left")
     )
+    if needs(STAFF):
+        staff = t["technicians"].select("technician_id", "skill_level", "years_experience")
+        joined = joined.join(staff, "technician_id", "left")
     cost = F.col("labor_cost") + F.col("parts_cost")
-    pct = F.round(ratio(cost - F.col("estimated_cost"), "estimated_cost"), 4)
+    pct = R(ratio(cost - F.col("estimated_cost"), "estimated_cost"), 4)
     late = F.when(
         F.col("end_time").isNotNull() & F.col("promised_ready_time").isNotNull(),
         F.greatest(elapsed_hours("promised_ready_time", "end_time"), F.lit(0.0)),
@@ -67,40 +95,40 @@ def work_order_enriched(t: Tables, cfg: Config) -> DataFrame:
     since = elapsed_days("previous_end", "check_in_time")
     until = elapsed_days("end_time", "next_check_in")
     money = "decimal(14,2)"
-    return joined.select(
-        "work_order_id", "appointment_id", "vehicle_id", "customer_id", "center_id", "technician_id",
-        "service_type", "booking_channel", "model", "variant", "vehicle_category", "model_year",
-        "purchase_date", "customer_type", "customer_region", "center_name", "city", "region",
-        "skill_level", "years_experience", "check_in_time", "start_time", "end_time",
-        "promised_ready_time",
-        F.to_date("check_in_time").alias("service_date"),
-        F.trunc("check_in_time", "MM").alias("month_start"),
-        year_month("check_in_time").alias("year_month"),
-        F.year("check_in_time").alias("service_year"),
-        F.month("check_in_time").alias("service_month"),
-        iso_weekday("check_in_time").alias("iso_weekday"),
-        weekday_name("check_in_time").alias("weekday_name"),
-        "estimated_hours", "actual_hours", "parts_wait_hours", "odometer_km",
-        "additional_work_found", "qc_passed_first_time", "billing_type", "estimated_cost",
-        "labor_cost", "parts_cost", "revenue", "rating", "feedback_category",
-        fixed(elapsed_hours("check_in_time", "start_time"), 2).alias("wait_hours"),
-        fixed(elapsed_hours("check_in_time", "end_time"), 2).alias("turnaround_hours"),
-        fixed(late, 2).alias("late_hours"),
-        (F.col("end_time") <= F.col("promised_ready_time")).alias("on_time_flag"),
-        (F.col("actual_hours") - F.col("estimated_hours")).cast("decimal(8,2)").alias("duration_variance_hours"),
-        (F.col("parts_wait_hours") > 0).alias("parts_delay_flag"),
-        cost.cast(money).alias("total_cost"),
-        (F.col("revenue") - cost).cast(money).alias("profit"),
-        (cost - F.col("estimated_cost")).cast(money).alias("cost_variance"),
-        pct.cast("decimal(18,4)").alias("cost_variance_pct"),
-        flag(pct > cfg.overrun_threshold).alias("cost_overrun_flag"),
-        F.col("previous_end").alias("prev_same_service_end"),
-        F.col("next_check_in").alias("next_same_service_check_in"),
-        since.alias("days_since_same_service"),
-        flag(since <= cfg.repeat_window_days).alias("is_comeback"),
-        flag(until <= cfg.repeat_window_days).alias("caused_comeback"),
-        "customer_visit_number",
-    )
+    columns = {c: F.col(c) for c in joined.columns if c != "scheduled_date"}
+    columns |= {
+        "service_date": F.to_date("check_in_time"),
+        "month_start": F.trunc("check_in_time", "MM"),
+        "year_month": year_month("check_in_time"),
+        "service_year": F.year("check_in_time"),
+        "service_month": F.month("check_in_time"),
+        "iso_weekday": iso_weekday("check_in_time"),
+        "weekday_name": weekday_name("check_in_time"),
+        "wait_hours": fixed(elapsed_hours("check_in_time", "start_time"), 2),
+        "turnaround_hours": fixed(elapsed_hours("check_in_time", "end_time"), 2),
+        "late_hours": fixed(late, 2),
+        "on_time_flag": F.col("end_time") <= F.col("promised_ready_time"),
+        "duration_variance_hours": (F.col("actual_hours") - F.col("estimated_hours")).cast("decimal(8,2)"),
+        "parts_delay_flag": F.col("parts_wait_hours") > 0,
+    }
+    if needs(MONEY):
+        columns |= {
+            "total_cost": cost.cast(money),
+            "profit": (F.col("revenue") - cost).cast(money),
+            "cost_variance": (cost - F.col("estimated_cost")).cast(money),
+            "cost_variance_pct": pct.cast("decimal(18,4)"),
+            "cost_overrun_flag": flag(pct > cfg.overrun_threshold),
+        }
+    if needs(HISTORY):
+        del columns["previous_end"], columns["next_check_in"]
+        columns |= {
+            "prev_same_service_end": F.col("previous_end"),
+            "next_same_service_check_in": F.col("next_check_in"),
+            "days_since_same_service": since,
+            "is_comeback": flag(since <= cfg.repeat_window_days),
+            "caused_comeback": flag(until <= cfg.repeat_window_days),
+        }
+    return joined.select(*[c.alias(name) for name, c in columns.items() if want is None or name in want])
 
 
 def sql_lead_band(lead: str, numbered: bool = False):
@@ -369,26 +397,34 @@ def kpi_summary(t: Tables, enriched: DataFrame, appts: DataFrame, cfg: Config) -
     return one_row.withColumn("technician_utilisation", usage).drop("_heads", "_hours", "_per_head")
 
 
-def build_views(spark: SparkSession, t: Tables, cfg: Config) -> Tables:
-    """All views as lazy DataFrames, by name."""
-    enriched, appts = work_order_enriched(t, cfg), appointment_enriched(t)
-    return {
-        "vw_period_calendar": period_calendar(spark, cfg),
-        "vw_work_order_enriched": enriched,
-        "vw_appointment_enriched": appts,
-        "vw_monthly_financials": monthly_financials(enriched),
-        "vw_technician_utilisation": technician_utilisation(t, enriched, cfg),
-        "vw_center_performance": center_performance(t, enriched, appts, cfg),
-        "vw_service_type_performance": service_type_performance(enriched),
-        "vw_appointment_funnel": appointment_funnel(appts),
-        "vw_customer_repeat": customer_repeat(enriched, cfg),
-        "vw_kpi_summary": kpi_summary(t, enriched, appts, cfg),
-    }
+VIEWS = {
+    "vw_period_calendar": lambda spark, t, cfg: period_calendar(spark, cfg),
+    "vw_work_order_enriched": lambda spark, t, cfg: work_order_enriched(t, cfg),
+    "vw_appointment_enriched": lambda spark, t, cfg: appointment_enriched(t),
+    "vw_monthly_financials": lambda spark, t, cfg: monthly_financials(work_order_enriched(t, cfg)),
+    "vw_technician_utilisation": lambda spark, t, cfg: technician_utilisation(
+        t, work_order_enriched(t, cfg), cfg
+    ),
+    "vw_center_performance": lambda spark, t, cfg: center_performance(
+        t, work_order_enriched(t, cfg), appointment_enriched(t), cfg
+    ),
+    "vw_service_type_performance": lambda spark, t, cfg: service_type_performance(work_order_enriched(t, cfg)),
+    "vw_appointment_funnel": lambda spark, t, cfg: appointment_funnel(appointment_enriched(t)),
+    "vw_customer_repeat": lambda spark, t, cfg: customer_repeat(work_order_enriched(t, cfg), cfg),
+    "vw_kpi_summary": lambda spark, t, cfg: kpi_summary(
+        t, work_order_enriched(t, cfg), appointment_enriched(t), cfg
+    ),
+}
+
+
+def view(spark: SparkSession, t: Tables, cfg: Config, name: str) -> DataFrame:
+    """One view by name, as a lazy DataFrame."""
+    return VIEWS[name](spark, t, cfg)
 
 
 def register_views(spark: SparkSession, t: Tables, cfg: Config) -> list[str]:
     """Create a temporary view per table and per view, for use from SQL."""
-    named = {**t, **build_views(spark, t, cfg)}
+    named = {**t, **{name: view(spark, t, cfg, name) for name in VIEWS}}
     for name, df in named.items():
         df.createOrReplaceTempView(name)
     return sorted(named)

@@ -37,14 +37,36 @@ BOUND_CONFIG = Config(
 )
 
 
+# Declared schemas: no footer scan to infer them, however many files a table has.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+        l_shipdate timestamp_ntz""",
+    "events": """event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,
+        props string""",
+}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def money(cents: str) -> str:
     return f"cast(cast({cents} as decimal(16,0)) * 0.01BD as decimal(12,2))"
 
 
+# minutes from check-in to the end without parts wait, and quarter hours of parts wait
+WORK_MINUTES = "(k * 13) % 180 + 30 + (k * 17) % 420"
+WAIT_QUARTERS = "if(k % 13 = 0, 4 + (k * 3) % 900, 0)"
+
+
 def service_centers(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = read(spark, folder, "nation"), read(spark, folder, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr(
@@ -139,31 +161,28 @@ def appointments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def work_orders(spark: SparkSession, folder: str) -> DataFrame:
-    staff = read(spark, folder, "supplier").agg(F.count(F.lit(1)).alias("staff"))
+    staff = read(spark, folder, "supplier").count()  # row counts of the file footers
     return (
         read(spark, folder, "orders")
         .where("o_orderstatus = 'F'")
-        .crossJoin(F.broadcast(staff))  # one row
         .selectExpr(
             "o_orderkey as k",
             "o_orderpriority as p",
-            "staff",
             "unix_micros(cast(cast(o_orderdate as date) as timestamp)) div 60000000 as m0",
         )
         .selectExpr(
             "*",
             "m0 + 540 + (k * 11) % 480 as m_in",
-            "if(k % 13 = 0, 4 + (k * 3) % 900, 0) as wait_q",
+            f"{WAIT_QUARTERS} as wait_q",
         )
         .selectExpr(
             "k as work_order_id",
             "k as appointment_id",
-            "if(k % 97 = 0, null, (k * 31) % staff) as technician_id",
+            f"if(k % 97 = 0, null, (k * 31) % {staff}) as technician_id",
             "p as service_type",
             "timestamp_seconds(m_in * 60) as check_in_time",
             "if(k % 53 = 0, null, timestamp_seconds((m_in + (k * 13) % 180) * 60)) as start_time",
-            """timestamp_seconds((m_in + (k * 13) % 180 + 30 + (k * 17) % 420 + wait_q * 15) * 60)
-                 as end_time""",
+            f"timestamp_seconds((m_in + {WORK_MINUTES} + wait_q * 15) * 60) as end_time",
             "timestamp_seconds((m_in + 120 + (k * 19) % 480) * 60) as promised_ready_time",
             "cast((2 + (k * 5) % 18) * 0.25BD as decimal(6,2)) as estimated_hours",
             "cast((1 + (k * 7) % 24) * 0.25BD as decimal(6,2)) as actual_hours",
@@ -235,17 +254,23 @@ def financials(spark: SparkSession, folder: str) -> DataFrame:
 
 def feedback(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        work_orders(spark, folder)
-        .where("work_order_id % 2 = 0")
-        .selectExpr("work_order_id", "work_order_id div 2 as h", "end_time")
+        read(spark, folder, "orders")
+        .where("o_orderstatus = 'F' and o_orderkey % 2 = 0")
+        .selectExpr("o_orderkey as k", "o_orderkey div 2 as h", "cast(o_orderdate as date) as d")
+        .selectExpr(
+            "k",
+            "h",
+            "d",
+            f"540 + (k * 11) % 480 + {WORK_MINUTES} + {WAIT_QUARTERS} * 15 as minutes_to_end",
+        )
         .selectExpr(
-            "work_order_id * 3 + 1 as feedback_id",
-            "work_order_id",
+            "k * 3 + 1 as feedback_id",
+            "k as work_order_id",
             "cast(1 + (h * 7 + h div 3) % 5 as smallint) as rating",
             """case h % 6 when 0 then 'Service Quality' when 1 then 'Turnaround Time'
                  when 2 then 'Pricing' when 3 then 'Parts Availability'
                  when 4 then 'Staff Behaviour' else 'Communication' end as feedback_category""",
-            "date_add(cast(end_time as date), cast(h % 10 as int)) as feedback_date",
+            "date_add(d, cast(minutes_to_end div 1440 + h % 10 as int)) as feedback_date",
         )
     )
 
@@ -264,6 +289,21 @@ BUILDERS = {
 }
 
 
-def model_tables(spark: SparkSession, folder: str) -> Tables:
+class LazyTables(dict):
+    """Builds a table's plan on first use."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__()
+        self._source = (spark, folder)
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = BUILDERS[name](*self._source)
+        return self[name]
+
+    def all(self) -> Tables:
+        return {name: self[name] for name in BUILDERS}
+
+
+def model_tables(spark: SparkSession, folder: str) -> LazyTables:
     """The ten normalised tables as lazy plans over the parquet files in ``folder``."""
-    return {name: build(spark, folder) for name, build in BUILDERS.items()}
+    return LazyTables(spark, folder)

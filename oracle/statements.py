@@ -1,5 +1,5 @@
 """All statements by query name."""
 
-from oracle import facts
+from oracle import facts, quality
 
-ALL: dict[str, str] = {**facts.SQL}
+ALL: dict[str, str] = {**facts.SQL, **quality.SQL}
