@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bayworks.functions.scalars import parse_datetime, rounded_to
-from bayworks.operators import clean, validate
-from bayworks.plans import facts, quality, reports, views
+from bayworks.config import LEAD_BANDS, TURNAROUND_EDGES, WEEKDAYS
+from bayworks.operators import clean, filters, shape, validate
+from bayworks.plans import facts, insights, kpis, quality, reports, views
 from bayworks.session import configure, settle
 from bayworks.sources import binding, defects, schemas
 
 CFG = binding.BOUND_CONFIG
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+TECH_INPUT = "technician_id month actual_hours qc_passed_first_time caused_repeat_visit"
 
 
 class Model:
@@ -39,6 +42,10 @@ class Model:
     def fact(self) -> DataFrame:
         return facts.fact_service(self.tables, CFG)
 
+    def jobs(self, columns: str) -> DataFrame:
+        """Job facts reduced to the named columns and the joins those need."""
+        return facts.fact_service(self.tables, CFG, set(columns.split()))
+
     @cached_property
     def appts(self) -> DataFrame:
         return facts.fact_appointments(self.tables)
@@ -46,8 +53,18 @@ class Model:
     @cached_property
     def tech(self) -> DataFrame:
         return facts.with_centre(
-            facts.fact_technician_month(self.tables, self.fact, CFG), self.tables["service_centers"]
+            facts.fact_technician_month(self.tables, self.jobs(TECH_INPUT), CFG),
+            self.tables["service_centers"],
+        )
+
+    @cached_property
+    def load(self) -> DataFrame:
+        """Technician-months with hours only (no comeback history)."""
+        jobs = self.jobs(TECH_INPUT.replace("caused_repeat_visit", "")).withColumn(
+            "caused_repeat_visit", F.lit(False)
         )
+        months = facts.fact_technician_month(self.tables, jobs, CFG).drop("comebacks_caused")
+        return facts.with_centre(months, self.tables["service_centers"])
 
     def view(self, name: str) -> DataFrame:
         return views.view(self.spark, self.tables, CFG, name)
@@ -105,7 +122,7 @@ JOB_COLUMNS = (
 add("dim_date", lambda m: facts.dim_date(m.spark, CFG))
 add("working_days", lambda m: facts.working_days(m.spark, CFG))
 add("fact_service", lambda m: m.fact, *JOB_COLUMNS)
-add("comeback", lambda m: m.fact, "work_order_id", "days_since_same_service", "is_repeat_visit", "caused_repeat_visit")
+add("comeback", lambda m: m.jobs("work_order_id days_since_same_service is_repeat_visit caused_repeat_visit"))
 add(
     "visit_number",
     lambda m: facts.job_history(m.tables).groupBy("customer_visit_number").agg(F.count(F.lit(1)).alias("jobs")),
@@ -178,7 +195,7 @@ def cleaned(m: Model, store=settle) -> clean.Pipeline:
 
 for _n in quality.CATALOGUE:
     add(f"dq{_n:02d}", lambda m, _n=_n: quality.run_checks(staged(m), CFG, [_n]))
-add("dq99", lambda m: quality.summary(staged(m), CFG))
+add("dq99", lambda m: quality.summary({k: settle(staged(m)[k]) for k in schemas.TABLES}, CFG))
 add("dq_agreement", lambda m: quality.agreement({k: settle(staged(m)[k]) for k in schemas.TABLES}, CFG))
 add("constraints", lambda m: validate.validate(staged(m), schemas.table_rules(CFG)))
 add("profile", lambda m: clean.profile(raw_tables(m)))
@@ -212,3 +229,73 @@ for _name, _key, _cols in (
         f"change_audit_{_name}",
         lambda m, _n=_name, _k=_key, _c=_cols: clean.change_audit(raw_tables(m)[_n], cleaned(m)[_n].rows, _k, _c),
     )
+
+
+# ---- KPI library ------------------------------------------------------------------
+add("fact_kpis", lambda m: kpis.fact_kpis(m.fact, CFG), digits=6)
+add("appointment_kpis", lambda m: kpis.appointment_kpis(m.appts), digits=6)
+add("utilisation_total", lambda m: kpis.utilisation(m.load), digits=6)
+add("headline", lambda m: kpis.headline(m.fact, m.appts, m.load, CFG), digits=6)
+add("group_kpis", lambda m: kpis.group_kpis(m.fact, ["center_name"], CFG), digits=6)
+add("group_kpis_two_keys", lambda m: kpis.group_kpis(m.fact, ["region", "model"], CFG), digits=6)
+add("monthly_trend", lambda m: kpis.monthly_trend(m.fact, CFG), digits=6)
+add("service_type_kpis", lambda m: kpis.service_type_performance(m.fact, CFG), digits=6)
+add("billing_type_kpis", lambda m: kpis.group_kpis(m.fact, ["billing_type"], CFG), digits=6)
+add("skill_comeback", lambda m: kpis.skill_table(m.fact, CFG).select("skill_level", "work_orders", "comeback_rate", "qc_first_pass_rate"), digits=6)
+add("appt_rates", lambda m: kpis.appointment_rates(m.appts, ["center_name", "month"]), digits=6)
+add("cancellation_by_lead", lambda m: kpis.cancellation_by(m.appts, "lead_time_band", LEAD_BANDS), digits=6)
+add("reason_share", lambda m: kpis.cancellation_reasons(m.appts), digits=6)
+add("centre_scorecard", lambda m: kpis.centre_scorecard(m.fact, m.appts, m.load, CFG), digits=6)
+add("index_vs_average", lambda m: kpis.index_against_average(kpis.centre_scorecard(m.fact, m.appts, m.load, CFG)), digits=6)
+add("utilisation_by", lambda m: kpis.utilisation_by(m.load, ["center_name"]), digits=6)
+add("technician_scorecard", lambda m: kpis.technician_scorecard(m.fact, m.tech, CFG), digits=6)
+add("util_matrix", lambda m: kpis.utilisation_matrix(m.load, CFG.months), digits=6)
+add("delay_distribution", lambda m: kpis.delay_distribution(m.jobs("late_hours")), digits=6)
+add("turnaround_distribution", lambda m: kpis.delay_distribution(m.jobs("turnaround_hours"), "turnaround_hours", TURNAROUND_EDGES, None), digits=6)
+add("wait_by_weekday", lambda m: kpis.wait_by_weekday(m.jobs("service_date wait_hours work_order_id")), digits=6)
+add("rating_matrix", lambda m: kpis.rating_matrix(m.jobs("service_type region rating"), "service_type", "region", CFG.regions), digits=6)
+add("feedback_distribution", lambda m: kpis.feedback_distribution(m.jobs("feedback_category")), digits=6)
+add("parts_by_category", lambda m: kpis.parts_by_category(
+    m.tables["part_usage"], m.tables["parts"], m.jobs("work_order_id region").where("region = 'ASIA'")), digits=6)
+add("tercile_flag", lambda m: kpis.tercile_flag(
+    kpis.known(m.jobs("center_name on_time_flag"), ["center_name"]).groupBy("center_name").agg(kpis.share("on_time_flag").alias("on_time_pct")),
+    "on_time_pct", "high", "flag"), digits=6)
+add("better_than", lambda m: kpis.cancellation_by(m.appts, "center_name").crossJoin(
+    F.broadcast(kpis.appointment_kpis(m.appts).select(F.col("cancellation_rate").alias("reference")))).select(
+    "center_name", "cancellation_rate", "reference",
+    kpis.better_than(F.col("cancellation_rate"), F.col("reference"), higher=False).alias("verdict")), digits=6)
+add("extremes", lambda m: shape.extremes(kpis.appointment_rates(m.appts, ["center_name"]), "center_name", "cancellation_rate"), digits=6)
+
+
+def _scorecard(m: Model) -> DataFrame:
+    return kpis.centre_scorecard(m.fact, m.appts, m.load, CFG)
+
+
+add("insight_executive", lambda m: insights.executive(_scorecard(m)), digits=6)
+add("insight_operations", lambda m: insights.operations(
+    kpis.group_kpis(m.fact, ["center_name"], CFG), kpis.wait_by_weekday(m.fact)), digits=6)
+add("insight_financial", lambda m: insights.financial(
+    kpis.group_kpis(m.fact, ["service_type"], CFG), kpis.group_kpis(m.fact, ["month"], CFG)), digits=6)
+add("insight_customer", lambda m: insights.customer(
+    kpis.group_kpis(m.fact, ["center_name"], CFG), kpis.cancellation_by(m.appts, "lead_time_band")), digits=6)
+
+# ---- slicers ------------------------------------------------------------------------
+CHOSEN = filters.Filters(
+    start=date(1997, 3, 15), end=date(1999, 2, 10), regions=("ASIA", "EUROPE"),
+    service_types=("1-URGENT", "5-LOW"), models=("Model A", "Model C"),
+)
+SLICED_JOBS = "work_order_id service_date center_name region service_type model revenue on_time_flag"
+
+
+def _sliced(m: Model) -> dict[str, DataFrame]:
+    return filters.apply_slicers({"fact": m.jobs(SLICED_JOBS), "appts": m.appts, "tech": m.load}, CHOSEN)
+
+
+add("slicer_filter", lambda m: _sliced(m)["fact"].select("work_order_id", "center_name", "service_type", "model"))
+add("month_overlap_filter", lambda m: _sliced(m)["tech"].groupBy("center_name").agg(
+    F.count(F.lit(1)).alias("technician_months"), F.sum("service_hours").alias("service_hours")))
+add("slicer_selection", lambda m: shape.label_frame(m.load, "one", ["x"]).select(F.lit("selection").alias("what"))
+    .crossJoin(F.broadcast(_sliced(m)["fact"].agg(F.count(F.lit(1)).alias("jobs"), F.sum("revenue").alias("revenue"))))
+    .crossJoin(F.broadcast(_sliced(m)["appts"].agg(F.count(F.lit(1)).alias("appointments"))))
+    .crossJoin(F.broadcast(_sliced(m)["tech"].agg(F.sum("available_hours").alias("available_hours")))))
+add("slicer_options", lambda m: filters.slicer_options(m.jobs(SLICED_JOBS)))

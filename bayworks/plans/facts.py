@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bayworks.config import LEAD_BANDS, LEAD_EDGES, Config
@@ -103,79 +103,100 @@ def job_history(t: Tables, how: str = "left") -> DataFrame:
     ).select("work_order_id", "previous_end", "next_check_in", "customer_visit_number")
 
 
-def derive_job_columns(f: DataFrame, cfg: Config) -> DataFrame:
-    """Per-job measures. Hours keep two places and money stays decimal, so sums are exact."""
-    money = "decimal(14,2)"
-    total = (F.col("labor_cost") + F.col("parts_cost")).cast(money)
-    f = f.select(
-        "*",
-        F.to_date("check_in_time").alias("service_date"),
-        F.year("check_in_time").alias("year"),
-        year_month("check_in_time").alias("month"),
-        fixed(elapsed_hours("check_in_time", "start_time"), 2).alias("wait_hours"),
-        fixed(elapsed_hours("check_in_time", "end_time"), 2).alias("turnaround_hours"),
-        fixed(
-            F.when(
-                F.col("end_time").isNotNull() & F.col("promised_ready_time").isNotNull(),
-                F.greatest(elapsed_hours("promised_ready_time", "end_time"), F.lit(0.0)),
-            ),
-            2,
-        ).alias("late_hours"),
-        flag(F.col("end_time") <= F.col("promised_ready_time")).alias("on_time_flag"),
-        (F.col("actual_hours") - F.col("estimated_hours"))
-        .cast("decimal(8,2)")
-        .alias("duration_variance_hours"),
-        flag(F.col("parts_wait_hours") > 0).alias("parts_delay_flag"),
-        total.alias("total_cost"),
-        (F.col("revenue") - total).cast(money).alias("profit"),
-        (total - F.col("estimated_cost")).cast(money).alias("cost_variance"),
-    )
-    return f.withColumn(
-        "cost_variance_pct",
-        fixed(
-            F.when(F.col("estimated_cost") > 0, ratio("cost_variance", "estimated_cost")), 4
-        ),
-    ).withColumn("cost_overrun_flag", flag(F.col("cost_variance_pct") > cfg.overrun_threshold))
-
-
-def comeback_flags(f: DataFrame, cfg: Config) -> DataFrame:
-    days = elapsed_days("previous_end", "check_in_time")
-    ahead = elapsed_days("end_time", "next_check_in")
-    return f.select(
-        "*",
-        days.alias("days_since_same_service"),
-        flag(days <= cfg.repeat_window_days).alias("is_repeat_visit"),
-        flag(ahead <= cfg.repeat_window_days).alias("caused_repeat_visit"),
-    )
+# What each optional join contributes; a consumer that names its columns skips the others.
+HISTORY = {"days_since_same_service", "is_repeat_visit", "caused_repeat_visit", "customer_visit_number"}
+BILLED = {
+    "billing_type", "estimated_cost", "labor_cost", "parts_cost", "revenue", "total_cost", "profit",
+    "cost_variance", "cost_variance_pct", "cost_overrun_flag",
+}
+RATED = {"rating", "feedback_category"}
+CENTRE = {"center_name", "city", "region"}
+STAFF = {"skill_level"}
+OWNER = {"customer_id", "customer_type", "model", "variant", "vehicle_category", "vehicle_age_years"}
+BOOKING = {"vehicle_id", "center_id", "booking_channel"} | CENTRE | OWNER
 
 
-def fact_service(t: Tables, cfg: Config) -> DataFrame:
-    """One row per job, all dimensions attached and all measures derived (left joins)."""
-    by_job = (
-        t["work_orders"]
-        .join(t["financials"], "work_order_id", "left")
-        .join(t["feedback"].select("work_order_id", "rating", "feedback_category"), "work_order_id", "left")
-        .join(job_history(t), "work_order_id", "left")
-    )
-    vehicle = (
-        t["vehicles"]
-        .select("vehicle_id", "customer_id", "model", "variant", "vehicle_category", "purchase_date")
-        .join(t["customers"].select("customer_id", "customer_type"), "customer_id", "left")
+def job_columns(have: set[str], cfg: Config) -> dict[str, Column]:
+    """Derived measures available from the joined columns. Hours keep two places and money
+    stays decimal, so sums are exact."""
+    money = "decimal(14,2)"
+    late = F.when(
+        F.col("end_time").isNotNull() & F.col("promised_ready_time").isNotNull(),
+        F.greatest(elapsed_hours("promised_ready_time", "end_time"), F.lit(0.0)),
     )
-    joined = (
-        by_job.join(
-            t["appointments"].select("appointment_id", "vehicle_id", "center_id", "booking_channel"),
-            "appointment_id",
-            "left",
+    out = {
+        "service_date": F.to_date("check_in_time"),
+        "year": F.year("check_in_time"),
+        "month": year_month("check_in_time"),
+        "wait_hours": fixed(elapsed_hours("check_in_time", "start_time"), 2),
+        "turnaround_hours": fixed(elapsed_hours("check_in_time", "end_time"), 2),
+        "late_hours": fixed(late, 2),
+        "on_time_flag": flag(F.col("end_time") <= F.col("promised_ready_time")),
+        "duration_variance_hours": (F.col("actual_hours") - F.col("estimated_hours")).cast("decimal(8,2)"),
+        "parts_delay_flag": flag(F.col("parts_wait_hours") > 0),
+    }
+    if "labor_cost" in have:
+        total = F.col("labor_cost") + F.col("parts_cost")
+        variance = total - F.col("estimated_cost")
+        pct = fixed(F.when(F.col("estimated_cost") > 0, ratio(variance, "estimated_cost")), 4)
+        out |= {
+            "total_cost": total.cast(money),
+            "profit": (F.col("revenue") - total).cast(money),
+            "cost_variance": variance.cast(money),
+            "cost_variance_pct": pct,
+            "cost_overrun_flag": flag(pct > cfg.overrun_threshold),
+        }
+    if "previous_end" in have:
+        since = elapsed_days("previous_end", "check_in_time")
+        until = elapsed_days("end_time", "next_check_in")
+        out |= {
+            "days_since_same_service": since,
+            "is_repeat_visit": flag(since <= cfg.repeat_window_days),
+            "caused_repeat_visit": flag(until <= cfg.repeat_window_days),
+        }
+    if "purchase_date" in have:
+        age = age_years("purchase_date", F.to_date("check_in_time"))
+        out["vehicle_age_years"] = fixed(age, 2)
+    return out
+
+
+def fact_service(t: Tables, cfg: Config, want: set[str] | None = None) -> DataFrame:
+    """One row per job, dimensions attached and measures derived (left joins).
+
+    ``want`` limits the result to some columns. Joins on unique keys that feed none of them,
+    and the history windows, are then left out; the optimizer cannot prove that itself.
+    """
+
+    def needs(group: set[str]) -> bool:
+        return want is None or bool(want & group)
+
+    out = t["work_orders"]
+    if needs(BILLED):
+        out = out.join(t["financials"], "work_order_id", "left")
+    if needs(RATED):
+        rated = t["feedback"].select("work_order_id", "rating", "feedback_category")
+        out = out.join(rated, "work_order_id", "left")
+    if needs(HISTORY):
+        out = out.join(job_history(t), "work_order_id", "left")
+    if needs(BOOKING):
+        booked = t["appointments"].select("appointment_id", "vehicle_id", "center_id", "booking_channel")
+        out = out.join(booked, "appointment_id", "left")
+    if needs(OWNER):
+        vehicle = t["vehicles"].select(
+            "vehicle_id", "customer_id", "model", "variant", "vehicle_category", "purchase_date"
         )
-        .join(vehicle, "vehicle_id", "left")
-        .join(t["service_centers"].select("center_id", "center_name", "city", "region"), "center_id", "left")
-        .join(t["technicians"].select("technician_id", "skill_level"), "technician_id", "left")
-    )
-    fact = comeback_flags(derive_job_columns(joined, cfg), cfg)
-    return fact.withColumn(
-        "vehicle_age_years", fixed(age_years("purchase_date", "service_date"), 2)
-    ).drop("purchase_date", "previous_end", "next_check_in")
+        if needs({"customer_type"}):
+            vehicle = vehicle.join(t["customers"].select("customer_id", "customer_type"), "customer_id", "left")
+        out = out.join(vehicle, "vehicle_id", "left")
+    if needs(CENTRE):
+        centre = t["service_centers"].select("center_id", "center_name", "city", "region")
+        out = out.join(centre, "center_id", "left")
+    if needs(STAFF):
+        out = out.join(t["technicians"].select("technician_id", "skill_level"), "technician_id", "left")
+    hidden = {"purchase_date", "previous_end", "next_check_in"}
+    have = set(out.columns)
+    columns = {c: F.col(c) for c in out.columns if c not in hidden} | job_columns(have, cfg)
+    return out.select(*[c.alias(n) for n, c in columns.items() if want is None or n in want])
 
 
 # ---- appointments -------------------------------------------------------------

@@ -1,5 +1,5 @@
 """All statements by query name."""
 
-from oracle import facts, quality
+from oracle import facts, kpis, quality
 
-ALL: dict[str, str] = {**facts.SQL, **quality.SQL}
+ALL: dict[str, str] = {**facts.SQL, **quality.SQL, **kpis.SQL}
