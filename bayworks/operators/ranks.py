@@ -35,11 +35,15 @@ def bucket_of(value: Column, points: Sequence, base: int = 0) -> Column:
 
 
 def value_histogram(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str] = ()) -> DataFrame:
-    """One row per (group, distinct value) with its count and the sums of other columns."""
+    """One row per (group, distinct value) with its count and the sums of other columns.
+
+    A ``_weight`` column, when present, says how many observations a row stands for.
+    """
+    n = F.sum("_weight") if "_weight" in df.columns else F.count(F.lit(1))
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sums])
+        .agg(n.alias("n"), *[F.sum(s).alias(s) for s in sums])
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from bayworks.functions.scalars import parse_datetime, rounded_to
 from bayworks.config import LEAD_BANDS, TURNAROUND_EDGES, WEEKDAYS
 from bayworks.operators import clean, filters, shape, validate
-from bayworks.plans import facts, insights, kpis, quality, reports, views
+from bayworks.plans import explore, facts, insights, kpis, metrics, quality, reports, stats, views, whatif
 from bayworks.session import configure, settle
 from bayworks.sources import binding, defects, schemas
 
@@ -66,6 +66,29 @@ class Model:
         months = facts.fact_technician_month(self.tables, jobs, CFG).drop("comebacks_caused")
         return facts.with_centre(months, self.tables["service_centers"])
 
+    def fs(self, columns: str | None = None) -> DataFrame:
+        """Job facts with weekday, month number and year."""
+        base = self.fact if columns is None else self.jobs(columns + " service_date month")
+        return metrics.with_calendar(base)
+
+    @cached_property
+    def fa(self) -> DataFrame:
+        return metrics.with_calendar(self.appts, "scheduled_date")
+
+    @property
+    def staff(self) -> DataFrame:
+        return self.tables["technicians"]
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        jobs = self.fs("center_id center_name estimated_hours booking_channel wait_hours on_time_flag")
+        return metrics.daily_load(jobs, self.staff, CFG)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        jobs = self.fs("work_order_id center_id center_name parts_delay_flag parts_wait_hours")
+        return metrics.parts_lines(jobs, self.tables["part_usage"], self.tables["parts"])
+
     def view(self, name: str) -> DataFrame:
         return views.view(self.spark, self.tables, CFG, name)
 
@@ -299,3 +322,138 @@ add("slicer_selection", lambda m: shape.label_frame(m.load, "one", ["x"]).select
     .crossJoin(F.broadcast(_sliced(m)["appts"].agg(F.count(F.lit(1)).alias("appointments"))))
     .crossJoin(F.broadcast(_sliced(m)["tech"].agg(F.sum("available_hours").alias("available_hours")))))
 add("slicer_options", lambda m: filters.slicer_options(m.jobs(SLICED_JOBS)))
+
+
+# ---- diagnostics ----------------------------------------------------------------------
+PLAN = whatif.Plan(focus=6, benchmark=5, capacity=(6, 3, 7), hot=(1, 3, 6, 7), parts=8)
+add("service_scorecard", lambda m: metrics.service_scorecard(m.fs(), ["service_type"], CFG), digits=6)
+add("model_scorecard", lambda m: metrics.service_scorecard(m.fs(), ["model"], CFG), digits=6)
+add("cancellation_diag", lambda m: metrics.cancellation_by(m.fa, ["booking_channel"]), digits=6)
+add("cancellation_type_diag", lambda m: metrics.cancellation_by(m.fa, ["requested_service_type"]), digits=6)
+add("cancellation_lead_diag", lambda m: shape.reindex_labels(
+    metrics.cancellation_by(m.fa, ["lead_time_band"]), "lead_time_band", LEAD_BANDS), digits=6)
+add("utilisation_diag", lambda m: metrics.utilisation(m.load, ["center_id", "month"]), digits=6)
+add("centre_diag", lambda m: metrics.centre_scorecard(m.fs(), m.fa, m.load, m.staff, CFG), digits=6)
+add("monthly_diag", lambda m: metrics.monthly_trend(m.fs(), m.fa, m.load, CFG), digits=6)
+add("yoy", lambda m: metrics.year_over_year(m.fs(), m.fa, m.load, CFG), digits=6)
+add("daily_load", lambda m: m.daily, "center_id", "center_name", "service_date", "weekday", "jobs", "booked_hours",
+    "wait_h", "on_time", "capacity_hours", "load_ratio", "overloaded", digits=6)
+add("load_attach", lambda m: metrics.attach_load(m.fs("work_order_id center_id"), m.daily),
+    "work_order_id", "load_ratio", "load_band", digits=6)
+add("load_band_profile", lambda m: metrics.load_band_profile(metrics.attach_load(
+    m.fs("work_order_id center_id on_time_flag wait_hours qc_passed_first_time caused_repeat_visit rating"), m.daily)), digits=6)
+add("overloaded_share", lambda m: metrics.overloaded_share(m.daily, CFG), digits=6)
+add("weekday_profile", lambda m: metrics.weekday_profile(m.fs("on_time_flag wait_hours rating"), m.fa), digits=6)
+add("carry_over", lambda m: metrics.carry_over(m.fs("center_id parts_delay_flag on_time_flag check_in_time end_time")), digits=6)
+add("process_stages", lambda m: metrics.process_stages(m.fs(), m.fa, m.tables["feedback"], CFG), digits=6)
+add("parts_lines", lambda m: m.lines.groupBy("center_id", "part_category").agg(
+    F.count(F.lit(1)).alias("lines"), F.sum("line_cost").alias("line_cost")))
+add("parts_delay_cat", lambda m: metrics.parts_delay_by_category(m.lines), digits=6)
+add("parts_delay_cat_centre", lambda m: metrics.parts_delay_category_centre(
+    m.lines, [f"NATION_{i}" for i in range(25)]), digits=6)
+add("parts_delay_impact", lambda m: metrics.parts_delay_impact(
+    m.fs("parts_delay_flag on_time_flag turnaround_hours parts_wait_hours rating"), CFG), digits=6)
+add("abc", lambda m: metrics.abc_parts(m.lines), digits=6)
+add("abc_summary", lambda m: metrics.abc_summary(metrics.abc_parts(m.lines)), digits=6)
+add("abc_a_class", lambda m: metrics.abc_parts(m.lines).where("abc_class = 'A'").select(
+    "part_id", "part_name", "part_category", "value_share", "delay_rate", "supplier_lead_days"), digits=6)
+add("abc_a_delayed", lambda m: metrics.abc_parts(m.lines).where("abc_class = 'A' and delay_rate >= 0.1").select(
+    "part_id", "delay_rate"), digits=6)
+add("safety_stock", lambda m: metrics.safety_stock(m.lines, PLAN.parts, CFG, 0.01), digits=6)
+add("skill_profile", lambda m: metrics.skill_profile(m.fs(), CFG), digits=6)
+add("skill_profile_complex", lambda m: metrics.skill_profile(m.fs(), CFG, only_complex=True), digits=6)
+add("technician_diag", lambda m: metrics.technician_scorecard(m.fs(), m.load, CFG), digits=6)
+add("overloaded_technicians", lambda m: metrics.overloaded_technicians(m.load, CFG))
+add("rework_cost", lambda m: metrics.rework_cost(m.fs("billing_type total_cost actual_hours")), digits=6)
+add("overrun_drivers", lambda m: metrics.overrun_drivers(
+    m.fs("additional_work_found cost_overrun_flag cost_variance_pct revenue profit rating")), digits=6)
+add("technician_monthly_cost", lambda m: validate.union_all(
+    [metrics.technician_monthly_cost(m.staff, m.load, s) for s in ("Mid", "Senior")]), digits=6)
+add("crosstab_norm", lambda m: metrics.lead_band_mix(m.fa), digits=6)
+add("reasons_by_centre", lambda m: metrics.reasons_by_centre(m.fa), digits=6)
+
+# ---- tests ----------------------------------------------------------------------------
+add("kruskal_turnaround", lambda m: stats.kruskal(m.fs("center_id turnaround_hours"), "center_id", "turnaround_hours"), digits=6)
+add("kruskal_wait", lambda m: stats.kruskal(m.fs("center_id wait_hours"), "center_id", "wait_hours"), digits=6)
+add("mannwhitney", lambda m: stats.mann_whitney(
+    m.fs("center_id wait_hours"), F.col("center_id") == PLAN.focus, "wait_hours"), digits=6)
+CHI2 = {
+    "chi2_on_time_centre": ("center_id on_time_flag", "center_id", "on_time_flag"),
+    "chi2_on_time_parts": ("parts_delay_flag on_time_flag", "parts_delay_flag", "on_time_flag"),
+    "chi2_qc_skill": ("skill_level qc_passed_first_time", "skill_level", "qc_passed_first_time"),
+    "chi2_overrun_skill": ("skill_level cost_overrun_flag", "skill_level", "cost_overrun_flag"),
+}
+for _name, (_c, _a, _b) in CHI2.items():
+    add(_name, lambda m, _c=_c, _a=_a, _b=_b: stats.chi2(m.fs(_c), _a, _b), digits=6)
+add("chi2_cancel_lead", lambda m: stats.chi2(m.fa, "lead_time_band", "is_cancelled"), digits=6)
+add("chi2_on_time_saturday", lambda m: stats.chi2(
+    m.fs("on_time_flag").withColumn("saturday", F.col("weekday") == "Saturday"), "saturday", "on_time_flag"), digits=6)
+add("chi2_parts_one_centre", lambda m: stats.chi2(
+    m.fs("center_id parts_delay_flag").withColumn("own", F.col("center_id") == PLAN.parts), "own", "parts_delay_flag"), digits=6)
+add("prop_gap", lambda m: stats.proportion_gap(
+    m.fs("center_id on_time_flag"), "center_id", PLAN.focus, PLAN.benchmark, "on_time_flag"), digits=6)
+add("spearman_rating_late", lambda m: stats.spearman(m.fs("rating late_hours"), "late_hours", "rating"), digits=6)
+add("spearman_rating_wait", lambda m: stats.spearman(
+    m.fs("rating late_hours wait_hours").where("rating is not null and late_hours is not null").fillna(0, ["wait_hours"]),
+    "wait_hours", "rating"), digits=6)
+add("spearman_load_wait", lambda m: stats.spearman(
+    m.daily.select(F.round("load_ratio", 9).alias("load_ratio"), F.round("wait_h", 9).alias("wait_h")), "load_ratio", "wait_h"), digits=6)
+add("spearman_load_on_time", lambda m: stats.spearman(
+    m.daily.select(F.round("load_ratio", 9).alias("load_ratio"), F.round("on_time", 9).alias("on_time")), "load_ratio", "on_time"), digits=6)
+add("spearman_lead_cancel", lambda m: stats.spearman(
+    m.fa.where(F.col("booking_channel") != CFG.walk_in).select("lead_days", F.col("is_cancelled").cast("int").alias("c")),
+    "lead_days", "c"), digits=6)
+add("spearman_matrix", lambda m: stats.spearman_matrix(
+    settle(m.fs("late_hours parts_wait_hours wait_hours rating").select(
+        "late_hours", "parts_wait_hours", "wait_hours", "rating")),
+    ["late_hours", "parts_wait_hours", "wait_hours", "rating"]), digits=6)
+
+
+def _statistical_tests(m: Model) -> DataFrame:
+    """All tests with their p-values, one line each."""
+    fs = settle(m.fs("center_id turnaround_hours wait_hours on_time_flag parts_delay_flag rating late_hours"))
+    mw = stats.mann_whitney(fs, F.col("center_id") == PLAN.focus, "wait_hours")
+    lines = [
+        stats.summary_line(stats.kruskal(fs, "center_id", v), f"kruskal_{v}", "chi2", "h", "epsilon_sq", F.col("dof"))
+        for v in ("turnaround_hours", "wait_hours")
+    ]
+    lines.append(stats.summary_line(mw, "mannwhitney_wait", "normal", "z", "rank_biserial"))
+    for a in ("center_id", "parts_delay_flag"):
+        lines.append(stats.summary_line(
+            stats.chi2(fs, a, "on_time_flag"), f"chi2_on_time_by_{a}", "chi2", "chi2", "cramers_v", F.col("dof")))
+    lines.append(stats.summary_line(
+        stats.spearman(fs, "late_hours", "rating"), "spearman_rating_late", "correlation", "rho", "rho", F.col("n")))
+    return validate.union_all(lines)
+
+
+add("statistical_tests", _statistical_tests, digits=6)
+
+# ---- what-if and impact ------------------------------------------------------------------
+add("response_curve", lambda m: whatif.response_curve(m.daily), digits=6)
+add("whatif_capacity", lambda m: validate.union_all(
+    [whatif.add_technicians(m.daily, m.load, m.staff, c, CFG) for c in PLAN.capacity]), digits=6)
+add("whatif_shift", lambda m: whatif.shift_saturday(m.daily, CFG), digits=6)
+add("whatif_saturday", lambda m: whatif.saturday_capacity(m.daily, m.staff, PLAN.hot, CFG), digits=6)
+add("impact_recovery", lambda m: whatif.cancellation_recovery(m.fs("center_id revenue profit"), m.fa, PLAN, CFG), digits=6)
+add("impact_context", lambda m: whatif.focus_context(m.fs("center_id revenue profit"), m.staff, m.load, PLAN, CFG), digits=6)
+add("impact_parts", lambda m: whatif.parts_recovery(
+    m.fs("center_id parts_delay_flag on_time_flag turnaround_hours service_type"), m.lines, PLAN, CFG), digits=6)
+add("impact_skill", lambda m: whatif.skill_uplift(m.fs(
+    "skill_level caused_repeat_visit qc_passed_first_time duration_variance_hours billing_type total_cost actual_hours"), CFG), digits=6)
+add("impact_booking", lambda m: whatif.booking_window(m.fs("revenue profit"), m.fa, PLAN, CFG), digits=6)
+add("impact_estimate", lambda m: whatif.estimate_discipline(m.fs(
+    "additional_work_found cost_overrun_flag cost_variance_pct revenue profit rating"), CFG), digits=6)
+
+# ---- exploration ----------------------------------------------------------------------------
+NUMBERS = ["actual_hours", "wait_hours", "turnaround_hours", "late_hours", "revenue", "cost_variance_pct", "rating"]
+add("describe", lambda m: explore.describe(m.fs(" ".join(NUMBERS)), NUMBERS), digits=4)
+add("category_mix", lambda m: explore.category_mix(
+    m.fs("service_type billing_type model customer_type"), ["service_type", "billing_type", "model", "customer_type"]), digits=6)
+OUTLIERS = ["turnaround_hours", "wait_hours", "late_hours", "revenue", "duration_variance_hours"]
+add("iqr_outliers", lambda m: explore.iqr_outliers(m.fs(" ".join(OUTLIERS)), OUTLIERS), digits=6)
+add("rating_by_late_band", lambda m: explore.rating_by_late_band(m.fs("rating late_hours")), digits=6)
+add("delay_model_year", lambda m: explore.delay_by_model_year(m.fs("model parts_delay_flag"), range(1995, 2002)), digits=6)
+add("overrun_centre", lambda m: explore.overrun_by_centre(m.fs("center_name additional_work_found cost_overrun_flag")), digits=6)
+add("part_category_profile", lambda m: explore.part_category_profile(m.tables["parts"]), digits=6)
+add("column_profile", lambda m: explore.column_profile(m.tables["work_orders"]).select("column", "nulls", "distinct"))
+add("table_diff", lambda m: explore.table_diff(staged(m)["vehicles"], staged(m)["vehicles"].where("vehicle_id % 7 <> 0")))

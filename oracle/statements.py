@@ -1,5 +1,5 @@
 """All statements by query name."""
 
-from oracle import facts, kpis, quality
+from oracle import facts, kpis, metrics, quality
 
-ALL: dict[str, str] = {**facts.SQL, **quality.SQL, **kpis.SQL}
+ALL: dict[str, str] = {**facts.SQL, **quality.SQL, **kpis.SQL, **metrics.SQL}
