@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bayworks.functions.scalars import parse_datetime, rounded_to
+from bayworks.functions import shopclock
+from bayworks.functions.scalars import band, parse_datetime, rounded_to
 from bayworks.config import LEAD_BANDS, TURNAROUND_EDGES, WEEKDAYS
 from bayworks.operators import clean, filters, shape, validate
-from bayworks.plans import explore, facts, insights, kpis, metrics, quality, reports, stats, views, whatif
+from bayworks.plans import explore, facts, insights, kpis, measures, metrics, quality, reports, stats, views, whatif
 from bayworks.session import configure, settle
-from bayworks.sources import binding, defects, schemas
+from bayworks.sources import binding, defects, files, schemas
 
 CFG = binding.BOUND_CONFIG
 Query = Callable[[SparkSession, str], DataFrame]
@@ -457,3 +458,152 @@ add("overrun_centre", lambda m: explore.overrun_by_centre(m.fs("center_name addi
 add("part_category_profile", lambda m: explore.part_category_profile(m.tables["parts"]), digits=6)
 add("column_profile", lambda m: explore.column_profile(m.tables["work_orders"]).select("column", "nulls", "distinct"))
 add("table_diff", lambda m: explore.table_diff(staged(m)["vehicles"], staged(m)["vehicles"].where("vehicle_id % 7 <> 0")))
+
+
+# ---- semantic measures and visuals ----------------------------------------------------------
+def bi(m: Model, names, dims=(), filtered: bool = False) -> dict[str, DataFrame]:
+    """Fact tables of the semantic model, with only the job columns that are needed."""
+    jobs = m.jobs(measures.fact_columns(names, dims, filtered))
+    return {
+        "fact": measures.fill_unassigned(jobs),
+        "appts": m.appts,
+        "tech": measures.fill_unassigned(m.load),
+        "usage": m.tables["part_usage"],
+        "parts": m.tables["parts"],
+    }
+
+
+def visual(name: str, dims: str, names: str, sort: str | None = None, descending: bool = False, chosen=None) -> None:
+    d, n = dims.split(), names.split()
+    add(name, lambda m: measures.visual_query(
+        bi(m, n, d, chosen is not None), n, d, CFG, sort, descending, chosen), digits=6)
+
+
+ALL_MEASURES = " ".join(measures.MEASURES)
+visual("measures_total", "", ALL_MEASURES)
+visual("measures_by_centre", "center_name", ALL_MEASURES.replace("parts_cost_catalogue ", ""))
+visual("measures_filtered", "", ALL_MEASURES, chosen=CHOSEN)
+visual("visual_exec_month", "month_start", "total_revenue profit profit_margin_pct on_time_pct")
+visual("visual_ops_centre", "center_name", "avg_turnaround_hours median_turnaround_hours", "avg_turnaround_hours", True)
+visual("visual_ops_technician", "technician_id", "technician_utilisation_pct", "technician_utilisation_pct", True)
+visual("visual_ops_service_type", "service_type",
+       "completed_services avg_turnaround_hours on_time_pct avg_estimated_hours avg_actual_hours "
+       "avg_duration_variance_hours parts_delay_rate avg_rating total_revenue", "completed_services", True)
+visual("visual_ops_delay", "delay_band", "completed_services")
+visual("visual_ops_turnaround", "turnaround_band", "completed_services")
+visual("visual_ops_weekday", "weekday_name", "avg_wait_hours")
+visual("visual_fin_month", "month_start", "total_revenue total_cost profit profit_margin_pct cost_overrun_rate cost_variance")
+visual("visual_fin_centre", "center_name", "profit parts_cost labour_cost", "profit", True)
+visual("visual_fin_service_type", "service_type", "profit cost_variance", "profit", True)
+visual("visual_fin_skill", "skill_level", "cost_variance")
+visual("visual_fin_billing", "billing_type", "total_revenue", "total_revenue", True)
+visual("visual_fin_category", "part_category", "parts_cost_catalogue", "parts_cost_catalogue", True)
+visual("visual_cust_month", "month_start", "avg_rating csat_pct")
+visual("visual_cust_centre", "center_name", "cancellation_rate repeat_visit_rate comeback_rate", "cancellation_rate", True)
+visual("visual_cust_lead", "lead_time_band", "cancellation_rate")
+visual("visual_cust_reason", "cancellation_reason", "cancelled_appointments", "cancelled_appointments", True)
+visual("visual_cust_skill", "skill_level", "comeback_rate")
+visual("visual_cust_feedback", "feedback_category", "rated_services", "rated_services", True)
+visual("visual_query", "region service_type", "completed_services on_time_pct appointments technician_utilisation_pct")
+add("visual_cust_matrix", lambda m: measures.matrix(
+    bi(m, ["avg_rating"], ["service_type", "region"]), "avg_rating", "service_type", "region", CFG.regions, CFG), digits=6)
+add("visual_ops_matrix", lambda m: measures.matrix(
+    bi(m, [], []), "technician_utilisation_pct", "technician_id", "month_start",
+    [date(int(x[:4]), int(x[5:]), 1) for x in CFG.months[-12:]], CFG), digits=6)
+
+
+def _monthly(m: Model) -> DataFrame:
+    n, d = ["total_revenue", "profit"], ["month_start"]
+    return measures.evaluate(bi(m, n, d), n, d, CFG)
+
+
+add("prev_month", lambda m: measures.previous_month(measures.previous_month(_monthly(m), "total_revenue"), "profit"), digits=6)
+add("prior_year", lambda m: measures.prior_year(measures.prior_year(_monthly(m), "total_revenue"), "profit"), digits=6)
+add("ytd", lambda m: measures.year_to_date(_monthly(m), "total_revenue"), digits=6)
+add("perf_index", lambda m: measures.performance_index(bi(m, measures.INDEX_INPUTS, ["center_name"]), CFG), digits=6)
+add("centre_colours", lambda m: measures.centre_colours(bi(m, ["on_time_pct", "profit"], ["center_name"]), CFG))
+add("skill_colours", lambda m: measures.technician_dimension(m.staff, CFG).groupBy(
+    "skill_level", measures.colour_skill(F.col("skill_level")).alias("colour")).agg(F.count(F.lit(1)).alias("technicians")))
+add("key_insights", lambda m: measures.key_insights(
+    bi(m, ["on_time_pct", "avg_turnaround_hours", "avg_rating", "profit_margin_pct"], ["center_name", "service_type"]), CFG))
+add("report_header", lambda m: measures.report_header(
+    bi(m, ["total_revenue", "total_cost", "profit"], [], True), CFG, CHOSEN))
+
+# ---- import steps of the semantic model -----------------------------------------------------
+add("dim_fill_null", lambda m: measures.fill_unassigned(m.jobs("work_order_id technician_id skill_level")).groupBy(
+    "technician_id", "skill_level").agg(F.count(F.lit(1)).alias("jobs")))
+add("dim_unknown_member", lambda m: measures.technician_dimension(m.staff, CFG).select(
+    "technician_id", "skill_level", "certification", "hourly_cost", "skill_sort"))
+add("dim_distinct", lambda m: measures.service_type_dimension(m.tables["appointments"]).select(
+    F.lit("service_type").alias("dimension"), F.col("service_type").alias("member")).unionByName(
+    measures.model_dimension(m.tables["vehicles"]).select(F.lit("model").alias("dimension"), F.col("model").alias("member"))))
+add("dim_date_labels", lambda m: measures.date_dimension(facts.dim_date(m.spark, CFG)).join(
+    m.jobs("service_date work_order_id").groupBy(F.col("service_date").alias("date")).agg(F.count(F.lit(1)).alias("jobs")), "date")
+    .select("date", "month_start", "month_label", "weekday_sort", "jobs"))
+add("sort_key", lambda m: measures.sort_keys(
+    kpis.appointment_rates(m.appts, ["lead_time_band"]), "lead_time_band", LEAD_BANDS, "lead_band_sort").select(
+    "lead_time_band", "lead_band_sort", "appointments"))
+
+# ---- load verification, business hours ------------------------------------------------------
+def _load_verify(m: Model) -> DataFrame:
+    """Ordered load into the shared scratch folder, counted on both sides."""
+    tables = {n: m.tables[n] for n in schemas.LOAD_ORDER}
+    return files.verify_counts(tables, {n: settle(df) for n, df in tables.items()})
+
+
+add("load_verify", _load_verify)
+add("business_hours", lambda m: m.tables["work_orders"].select(
+    "work_order_id",
+    shopclock.align_to_open("end_time", CFG).alias("next_open"),
+    shopclock.add_work_hours("check_in_time", F.col("estimated_hours").cast("double") + CFG.promise_buffer_hours, CFG).alias("promise"),
+    shopclock.add_work_hours("end_time", F.col("actual_hours").cast("double") * 5, CFG).alias("long_job")))
+add("round_quarter", lambda m: m.jobs("work_order_id turnaround_hours").select(
+    "work_order_id", shopclock.round_quarter("turnaround_hours").alias("billed_hours")))
+
+# ---- single cleaning rules -------------------------------------------------------------------
+RULES = {
+    "dedup_first": ("part_usage", "usage_id part_id quantity"),
+    "canonicalise": ("customers", "customer_id region"),
+    "parse_mixed_dates": ("appointments", "appointment_id booking_date scheduled_date"),
+    "orphan_fk": ("appointments", "appointment_id vehicle_id"),
+    "impute_via_lookup": ("appointments", "appointment_id center_id"),
+    "swap_times": ("work_orders", "work_order_id start_time end_time"),
+    "null_invalid_fk": ("work_orders", "work_order_id technician_id"),
+    "fix_sign": ("financials", "work_order_id labor_cost"),
+    "impute_from_agg": ("financials", "work_order_id parts_cost"),
+    "fix_decimal_shift": ("financials", "work_order_id revenue"),
+    "cascade_delete": ("feedback", "feedback_id work_order_id rating"),
+}
+for _name, (_t, _c) in RULES.items():
+    add(_name, lambda m, _t=_t: cleaned(m)[_t].rows, *_c.split())
+
+
+def _reconcile(m: Model) -> DataFrame:
+    """Billed parts against the usage ledger of the cleaned tables, beyond one rupee."""
+    p = cleaned(m)
+    used = clean.usage_cost(p["part_usage"].rows, m.tables["parts"])
+    billed = p["financials"].rows.join(used, F.col("work_order_id") == F.col("_job"), "left")
+    gap = F.col("parts_cost") - F.coalesce("_usage", F.lit(0))
+    return billed.select("work_order_id", gap.cast("decimal(18,2)").alias("difference")).where(F.abs("difference") > 1)
+
+
+add("reconcile", _reconcile)
+
+# ---- generic operators on the raw tables -------------------------------------------------------
+add("lineitem_spearman", lambda m: stats.spearman(
+    m.read("lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice"), digits=6)
+add("lineitem_chi2", lambda m: stats.chi2(m.read("lineitem"), "l_returnflag", "l_linestatus"), digits=6)
+add("lineitem_abc", lambda m: metrics.classify_abc(
+    m.read("lineitem").groupBy("l_partkey").agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(14,2)")).cast("decimal(24,2)").alias("value")), "value"), digits=6)
+add("lineitem_kruskal", lambda m: stats.kruskal(
+    m.read("lineitem").select("l_returnflag", F.col("l_extendedprice").cast("decimal(14,2)").alias("price")), "l_returnflag", "price"), digits=4)
+add("orders_describe", lambda m: explore.describe(m.read("orders"), ["o_totalprice"]), digits=3)
+add("orders_iqr", lambda m: explore.iqr_outliers(m.read("orders"), ["o_totalprice"]), digits=4)
+add("orders_crosstab", lambda m: shape.row_shares(shape.crosstab(m.read("orders"), "o_orderpriority", "o_orderstatus"), "o_orderpriority"), digits=6)
+add("customer_segments", lambda m: explore.top_shares(m.read("customer"), ["c_mktsegment"]), digits=6)
+add("events_monthly", lambda m: measures.previous_month(
+    m.read("events").groupBy(F.trunc("ts", "MM").alias("month_start")).agg(
+        F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(14,2)")).alias("value")), "value"), digits=6)
+add("events_bands", lambda m: m.read("events").groupBy("event_type", band("value", (1, 5, 10, 50), ("<=1", "1-5", "5-10", "10-50", ">50")).alias("value_band"))
+    .agg(F.count(F.lit(1)).alias("events")))
