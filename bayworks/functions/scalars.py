@@ -117,7 +117,7 @@ def rounded_to(c: Column | str, digits: int) -> Column:
     """Round half away from zero at a decimal place.
 
     Scaling first makes 2.675 behave as written; ``round`` alone sees the binary value just
-    below it.
+    below it. Doubles whose scaled product is itself below the half (1.005) still round down.
     """
     scale = float(10**digits)
     return F.round(col(c).cast("double") * scale) / scale

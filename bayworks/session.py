@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,37 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a session without one (tests, a laptop) gets a scratch folder of its own; a cluster
+    always names a path that every executor can reach.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="bayworks-")
+    return folder.rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and continue from there.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a session without one (tests,
-    a laptop) gets a scratch folder; a cluster always names a shared path.
+    For narrow results that are read back whole (histograms, folds); the stored rows survive
+    lost executors.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bayworks-"))
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def settle_table(df: DataFrame) -> DataFrame:
+    """Like ``settle``, but as a columnar table.
+
+    For wide results of which later steps read few columns: they get column pruning, filter
+    pushdown and real sizes for their join choices.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

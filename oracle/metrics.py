@@ -201,7 +201,7 @@ _MON = "(SELECT count(DISTINCT month) FROM fs WHERE year = 2000)"
 
 
 def cap(c: int) -> str:
-    n = f"(SELECT technicians FROM heads WHERE center_id = {c})"
+    n = f"(SELECT count(*) FROM technicians WHERE center_id = {c})"
     sc = f"({n}::DOUBLE / ({n} + 1))"
     src = f"(SELECT * FROM fs_load WHERE center_id = {c} AND year = 2000)"
     return f"""SELECT {c} AS center_id, {n} AS technicians_now, {n} + 1 AS technicians_new, round(j, 6) AS jobs_per_month, round(u, 6) AS utilisation_now, round(u * {sc}, 6) AS utilisation_projected, round(o0, 6) AS overloaded_day_share_now,
