@@ -83,3 +83,16 @@ class Config:
         first = self.period_start.year * 12 + self.period_start.month - 1
         last = self.period_end.year * 12 + self.period_end.month - 1
         return tuple(f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(first, last + 1))
+
+    @property
+    def month_days(self) -> dict[str, int]:
+        """Working days of each month that lie inside the reporting period."""
+        out = dict.fromkeys(self.months, 0)
+        for n in range(self.period_start.toordinal(), self.period_end.toordinal() + 1):
+            day = date.fromordinal(n)
+            out[f"{day:%Y-%m}"] += day.weekday() < self.open_weekdays
+        return out
+
+    @property
+    def working_days(self) -> int:
+        return sum(self.month_days.values())

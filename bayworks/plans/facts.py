@@ -57,6 +57,19 @@ def month_calendar(spark: SparkSession, cfg: Config) -> DataFrame:
     )
 
 
+def month_array(cfg: Config) -> Column:
+    """The period's months as a constant array of (month, month_start, working_days)."""
+    rows = [
+        F.struct(
+            F.lit(m).alias("month"),
+            F.to_date(F.lit(f"{m}-01")).alias("month_start"),
+            F.lit(n).alias("working_days"),
+        )
+        for m, n in cfg.month_days.items()
+    ]
+    return F.array(*rows)
+
+
 def working_days(spark: SparkSession, cfg: Config) -> DataFrame:
     return calendar_days(spark, cfg).agg(
         F.count_if(F.weekday("date") < cfg.open_weekdays).alias("working_days")
@@ -234,19 +247,12 @@ def fact_appointments(t: Tables) -> DataFrame:
 def fact_technician_month(t: Tables, fact: DataFrame, cfg: Config) -> DataFrame:
     """Dense technician x month grid; idle months stay with zero jobs.
 
-    The calendar side is exploded inside each technician row, so no join builds the grid.
+    The months are a constant of the reporting period, exploded inside each technician row,
+    so no join builds the grid.
     """
-    spark = fact.sparkSession
-    months = month_calendar(spark, cfg).agg(
-        F.array_sort(F.collect_list(F.struct("month", "working_days"))).alias("months")
-    )
-    grid = (
-        t["technicians"]
-        .select("technician_id", "center_id", "skill_level")
-        .crossJoin(F.broadcast(months))  # one row: the period's months
-        .select("technician_id", "center_id", "skill_level", F.explode("months").alias("m"))
-        .select("technician_id", "center_id", "skill_level", "m.month", "m.working_days")
-    )
+    grid = t["technicians"].select(
+        "technician_id", "center_id", "skill_level", F.explode(month_array(cfg)).alias("m")
+    ).select("technician_id", "center_id", "skill_level", "m.month", "m.working_days")
     used = (
         fact.where(F.col("technician_id").isNotNull())
         .groupBy("technician_id", "month")

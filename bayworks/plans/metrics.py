@@ -18,7 +18,7 @@ from bayworks.functions.scalars import (
     share,
     weekday_name,
 )
-from bayworks.operators.ranks import ranked_values
+from bayworks.operators.ranks import exact_percentiles, ranked_values
 from bayworks.operators.shape import crosstab, mean_matrix, reindex_labels, row_shares
 from bayworks.plans.kpis import known
 
@@ -267,13 +267,10 @@ def process_stages(fs: DataFrame, fa: DataFrame, feedback: DataFrame, cfg: Confi
     slot = F.to_timestamp(F.concat_ws(" ", F.date_format("scheduled_date", "yyyy-MM-dd"), "scheduled_slot"))
     slots = fa.where(ahead & F.col("scheduled_slot").isNotNull()).select("appointment_id", slot.alias("slot"))
     minutes = (F.unix_micros("check_in_time") - F.unix_micros("slot")) / 60e6
-    arrivals = (
-        fs.select("appointment_id", "check_in_time")
-        .join(slots, "appointment_id")
-        .agg(
-            F.median(minutes).alias("arrival_vs_slot_median_min"),
-            F.percentile(minutes, F.lit(0.9)).alias("arrival_vs_slot_p90_min"),
-        )
+    # time differences have no bounded domain: percentiles from the ranked histogram
+    gaps = fs.select("appointment_id", "check_in_time").join(slots, "appointment_id").select(minutes.alias("_min"))
+    arrivals = exact_percentiles(
+        gaps, [], "_min", {"arrival_vs_slot_median_min": 0.5, "arrival_vs_slot_p90_min": 0.9}
     )
     lag = F.datediff("feedback_date", F.to_date("end_time"))
     answers = (

@@ -19,9 +19,9 @@ from bayworks.functions.scalars import (
     share,
     weekday_name_of_number,
 )
-from bayworks.operators.ranks import ntile, row_positions, with_rank
+from bayworks.operators.ranks import exact_percentiles, ntile, row_positions, with_rank
 from bayworks.plans import views as V
-from bayworks.plans.facts import month_calendar
+from bayworks.plans.facts import month_array
 
 Tables = dict[str, DataFrame]
 R = rounded_to
@@ -125,19 +125,15 @@ def q03(t: Tables, cfg: Config) -> DataFrame:
         flag(F.to_date("end_time") == F.to_date("check_in_time")).alias("same_day"),
     )
     hour = F.lit(float(MICROS_PER_HOUR))
-    by_centre = (
-        jobs.join(t["appointments"].select("appointment_id", "center_id"), "appointment_id")
-        .join(t["service_centers"].select("center_id", "center_name"), "center_id")
-        .groupBy("center_name")
-        .agg(
-            F.count(F.lit(1)).alias("work_orders"),
-            mean("gap").alias("_avg"),
-            F.percentile("gap", F.lit(0.5)).alias("_p50"),
-            F.percentile("gap", F.lit(0.9)).alias("_p90"),
-            share("same_day").alias("_same"),
-        )
-    )
-    return by_centre.select(
+    named = jobs.join(
+        t["appointments"].select("appointment_id", "center_id"), "appointment_id"
+    ).join(t["service_centers"].select("center_id", "center_name"), "center_id")
+    by_centre = named.groupBy("center_name").agg(
+        F.count(F.lit(1)).alias("work_orders"), mean("gap").alias("_avg"), share("same_day").alias("_same")
+    )
+    # microsecond gaps have no bounded domain, so the percentiles come from the ranked histogram
+    points = exact_percentiles(named, ["center_name"], "gap", {"_p50": 0.5, "_p90": 0.9})
+    return by_centre.join(points, "center_name", "left").select(
         "center_name", "work_orders",
         R(F.col("_avg") / hour, 2).alias("avg_turnaround_hours"),
         R(F.col("_p50") / hour, 2).alias("median_turnaround_hours"),
@@ -194,11 +190,9 @@ def q05(t: Tables, cfg: Config) -> DataFrame:
     load = with_rank(load, ["center_name"], "service_hours", rank="hours_rank_in_centre", descending=True)
     load = with_rank(load, ["center_name"], "jobs", dense="jobs_dense_rank_in_centre", descending=True)
     centre = load.groupBy("center_name").agg(F.sum("service_hours").alias("_centre"))
-    days = V.period_calendar(load.sparkSession, cfg).select("working_days")
-    capacity = F.col("working_days") * F.lit(cfg.productive_hours)
+    capacity = F.lit(cfg.working_days * cfg.productive_hours)
     return (
         load.join(centre, "center_name")
-        .crossJoin(F.broadcast(days))
         .select(
             "center_name", "technician_id", "skill_level", "jobs",
             R("service_hours", 1).alias("service_hours"),
@@ -640,7 +634,6 @@ def q19(t: Tables, cfg: Config) -> DataFrame:
 
 def q20(t: Tables, cfg: Config) -> DataFrame:
     """Centre utilisation per month with a three-month average over the dense grid."""
-    months = month_calendar(t["work_orders"].sparkSession, cfg).select("month_start", "working_days")
     heads = t["technicians"].groupBy("center_id").agg(F.count(F.lit(1)).alias("technicians"))
     per_tech = (
         t["work_orders"]
@@ -658,7 +651,8 @@ def q20(t: Tables, cfg: Config) -> DataFrame:
         t["service_centers"]
         .select("center_id", "center_name")
         .join(heads, "center_id")
-        .crossJoin(F.broadcast(months))  # months of the reporting period
+        .select("*", F.explode(month_array(cfg)).alias("_m"))  # months of the reporting period
+        .select("center_id", "center_name", "technicians", "_m.month_start", "_m.working_days")
         .join(hours, ["center_id", "month_start"], "left")
         .select(
             "center_name", "month_start",

@@ -174,6 +174,12 @@ def growth(c: str, over) -> F.Column:
     return ratio(c, F.lag(c).over(over)) - 1
 
 
+MONTHLY_INPUT = {
+    "month_start", "year_month", "service_year", "service_month", "revenue", "total_cost", "profit",
+    "on_time_flag", "turnaround_hours", "rating",
+}
+
+
 def monthly_financials(enriched: DataFrame) -> DataFrame:
     """Month trend; the growth window sees one row per month."""
     m = enriched.groupBy("month_start", "year_month", "service_year", "service_month").agg(
@@ -216,17 +222,16 @@ def technician_utilisation(t: Tables, enriched: DataFrame, cfg: Config) -> DataF
         )
     )
     hours = F.coalesce("hours", F.lit(0)).cast("decimal(18,2)")
-    available = (F.col("working_days") * F.lit(cfg.productive_hours)).cast("decimal(18,1)")
+    available = F.lit(cfg.working_days * cfg.productive_hours).cast("decimal(18,1)")
     return (
         t["technicians"]
         .join(t["service_centers"].select("center_id", "center_name"), "center_id")
         .join(used, "technician_id", "left")
-        .crossJoin(F.broadcast(period_calendar(enriched.sparkSession, cfg).select("working_days")))
         .select(
             "technician_id", "center_id", "center_name", "skill_level", "years_experience",
             F.coalesce("jobs", F.lit(0)).alias("jobs"),
             hours.alias("service_hours"),
-            "working_days",
+            F.lit(cfg.working_days).alias("working_days"),
             available.alias("available_hours"),
             R(ratio(hours, available), 4).alias("utilisation"),
             "on_time_rate", "qc_first_pass_rate",
@@ -387,21 +392,21 @@ def kpi_summary(t: Tables, enriched: DataFrame, appts: DataFrame, cfg: Config) -
         .join(staff.select("technician_id"), "technician_id", "left_semi")
         .agg(F.sum("h").alias("_hours"))
     )
-    calendar = period_calendar(enriched.sparkSession, cfg).select(
-        (F.col("working_days") * F.col("productive_hours_per_day")).alias("_per_head")
-    )
     one_row = jobs
-    for side in (demand, repeats, headcount, hours, calendar):
+    for side in (demand, repeats, headcount, hours):
         one_row = one_row.crossJoin(F.broadcast(side))
-    usage = R(ratio("_hours", F.col("_heads") * F.col("_per_head")), 4)
-    return one_row.withColumn("technician_utilisation", usage).drop("_heads", "_hours", "_per_head")
+    per_head = F.lit(cfg.working_days * cfg.productive_hours)
+    usage = R(ratio("_hours", F.col("_heads") * per_head), 4)
+    return one_row.withColumn("technician_utilisation", usage).drop("_heads", "_hours")
 
 
 VIEWS = {
     "vw_period_calendar": lambda spark, t, cfg: period_calendar(spark, cfg),
     "vw_work_order_enriched": lambda spark, t, cfg: work_order_enriched(t, cfg),
     "vw_appointment_enriched": lambda spark, t, cfg: appointment_enriched(t),
-    "vw_monthly_financials": lambda spark, t, cfg: monthly_financials(work_order_enriched(t, cfg)),
+    "vw_monthly_financials": lambda spark, t, cfg: monthly_financials(
+        work_order_enriched(t, cfg, MONTHLY_INPUT)
+    ),
     "vw_technician_utilisation": lambda spark, t, cfg: technician_utilisation(
         t, work_order_enriched(t, cfg), cfg
     ),
