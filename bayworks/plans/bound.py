@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from bayworks.functions import shopclock
 from bayworks.functions.scalars import band, parse_datetime, rounded_to
-from bayworks.config import LEAD_BANDS, TURNAROUND_EDGES, WEEKDAYS
+from bayworks.config import LEAD_BANDS, TURNAROUND_EDGES
 from bayworks.operators import clean, filters, shape, validate
 from bayworks.plans import explore, facts, insights, kpis, measures, metrics, quality, reports, stats, views, whatif
 from bayworks.session import configure, settle

@@ -23,7 +23,7 @@ from bayworks.functions.scalars import (
     share,
     weekday_name,
 )
-from bayworks.operators.shape import label_frame, mean_matrix, present_in_order, reindex_labels, value_shares
+from bayworks.operators.shape import label_frame, mean_matrix, present_in_order, value_shares
 
 
 def cost() -> Column:

@@ -20,7 +20,6 @@ UTIL = r(div("sum(service_hours)", "sum(available_hours)"))
 cte("fs", "SELECT *, dayname(service_date) AS weekday, month(service_date) AS month_num FROM fact_service")
 cte("fa", "SELECT * EXCLUDE (weekday), dayname(scheduled_date) AS weekday, month(scheduled_date) AS month_num, year(scheduled_date) AS year FROM fact_appointments")
 cte("heads", "SELECT center_id, count(*) AS technicians, count(*) FILTER (WHERE skill_level IN ('Senior', 'Master')) AS seniors FROM technicians GROUP BY 1")
-_E = ["-inf", 0, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.4, 1.6]
 _L = ["(0, 0.6]", "(0.6, 0.7]", "(0.7, 0.8]", "(0.8, 0.9]", "(0.9, 1]", "(1, 1.1]", "(1.1, 1.2]", "(1.2, 1.4]", "(1.4, 1.6]", "(1.6, inf]"]
 
 
