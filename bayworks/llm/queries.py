@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from bayworks.llm import simhash
-from bayworks.llm.common import table
+from pyspark.sql import functions as F
+
+from bayworks.llm import host_rules, languages, packing, simhash
+from bayworks.llm.common import held_out, table
 
 
 def op2_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op4_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = languages.fit(docs.select("doc_id", "text", "lang"), ~out)
+    found = languages.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "language.lang_pred", "language.score")
+
+
+def op6_best_fit_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op10_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return host_rules.judge(docs).select("doc_id", "verdict.*")
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_language_id": op4_language_id,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
