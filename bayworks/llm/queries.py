@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bayworks.llm import host_rules, languages, packing, simhash
+from bayworks.llm import host_rules, languages, packing, quality, simhash, toxicity, vectors
 from bayworks.llm.common import held_out, table
 
 
+def op1_quality_classifier(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = quality.fit(docs, labels, ~out)
+    found = quality.score(docs.select("doc_id", "text", "n_chars"), model)
+    predicted = (F.col("quality") >= 0.7).cast("int").alias("predicted")
+    return found.select("doc_id", out.alias("held_out"), F.col("quality").alias("score"), predicted)
+
+
 def op2_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -24,15 +33,31 @@ def op6_best_fit_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op7_embedding_near_dedup(spark, folder):
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op9_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, labels, ~out)
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    predicted = (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    return found.select("doc_id", out.alias("held_out"), F.col("toxicity").alias("score"), predicted)
+
+
 def op10_quality_rules(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return host_rules.judge(docs).select("doc_id", "verdict.*")
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
