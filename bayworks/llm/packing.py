@@ -10,10 +10,11 @@ then look up their places by their rank among the pieces of their length.
 from __future__ import annotations
 
 import json
-import re
+import sys
 import zlib
 from bisect import bisect_right
 from dataclasses import dataclass
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,12 @@ from bayworks.session import settle_table
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Segments whose ids a task remembers.
-REMEMBERED = 400_000
-SEGMENT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-OTHER_BLANKS = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words whose ids a worker remembers.
+REMEMBERED = 600_000
+#: A plain blank after any character that the pattern takes for white space.
+BLANK_PAIRS = [
+    chr(c) + " " for c in (32, *range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -42,11 +45,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Segments(dict):
-    """Ids of a piece of text as packed unsigned 32-bit integers, remembered up to a bound.
+    """Ids of a blank and the word after it, as packed unsigned 32-bit integers.
 
     The vocabulary is that of the tokenizers file. Where its merges come in the order of
     their ids, which is checked, the same ids come from ranks; otherwise from the file's
-    own tokenizer.
+    own tokenizer. Words are remembered up to a bound.
     """
 
     def __init__(self, path: str):
@@ -56,23 +59,34 @@ class Segments(dict):
         super().__init__()
         whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True
-        self._encode = lambda text: whole.encode(text, add_special_tokens=False).ids
+        self._ids = lambda text: whole.encode(text, add_special_tokens=False).ids
         ranks = _ranks(path)
         if ranks:
             import public_tokenizers
 
             quick = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self._encode = quick.encode_ordinary
+            self._ids = quick.encode_ordinary
 
-    def __missing__(self, segment: str) -> bytes:
+    def packed(self, text: str) -> bytes:
+        return np.array(self._ids(text), "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        packed = np.array(self._encode(segment), "<u4").tobytes()
-        if len(segment) <= 64:
-            self[segment] = packed
+        packed = self.packed(" " + word)
+        if len(word) <= 64:
+            self[word] = packed
         return packed
 
 
+def known_segments(path: str) -> Segments:
+    """The words this Python process knows already; a worker keeps them from task to task."""
+    held = sys.modules.setdefault("bayworks_known_segments", ModuleType("bayworks_known_segments"))
+    if path not in held.__dict__:
+        held.__dict__[path] = Segments(path)
+    return held.__dict__[path]
+
+
 def _ranks(path: str) -> dict[bytes, int] | None:
     """token bytes -> id when the file is byte-level BPE whose n-th merge makes the n-th id."""
     with open(path, encoding="utf-8") as f:
@@ -92,19 +106,20 @@ def _ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
 
 
-def text_segments(text: str) -> list[str]:
-    """Cuts between a visible character and a plain blank, which no pre-token crosses.
+def encode(text: str | None, known: Segments) -> bytes:
+    """Ids of a whole text (null: empty) with the end id, packed as unsigned 32-bit integers.
 
-    Texts with other blanks stay whole, as a run of mixed blanks can be one pre-token.
+    No pre-token crosses from a visible character to a plain blank, so such a text falls
+    into words. A text with a blank after another one, of whatever kind, is encoded whole, as a run of
+    blanks is cut only by what follows it.
     """
-    if OTHER_BLANKS.search(text):
-        return [text]
-    return SEGMENT.findall(text)
-
-
-def encode(text: str | None, known: Segments) -> bytes:
-    """Ids of a whole text (null: empty) with the end id, packed as unsigned 32-bit integers."""
-    body = b"".join(map(known.__getitem__, text_segments(text))) if text else b""
+    if not text:
+        body = b""
+    elif any(pair in text for pair in BLANK_PAIRS):
+        body = known.packed(text)
+    else:
+        first, *words = text.split(" ")
+        body = known.packed(first) + b"".join(map(known.__getitem__, words))
     return body + END_ID.to_bytes(4, "little")
 
 
@@ -127,7 +142,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
     schema += ", ids array<int>" if with_ids else ""
 
     def make(batches):
-        known, counts = Segments(path), [0] * (capacity + 1)
+        known, counts = known_segments(path), [0] * (capacity + 1)
         chunk = TaskContext.get().partitionId()
         for batch in batches:
             owner, rows = [], []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bayworks.llm import host_rules, languages, packing, quality, simhash, toxicity, vectors
+from bayworks.llm import host_rules, languages, packing, pieces, quality, simhash, tool_calls, toxicity, urls, vectors
 from bayworks.llm.common import held_out, table
 
 
@@ -21,6 +21,11 @@ def op2_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_url_filter(spark, folder):
+    found = urls.classify(table(spark, folder, "pages").select("page_id", "url"))
+    return found.select("page_id", "url_filter.*")
+
+
 def op4_language_id(spark, folder):
     docs = table(spark, folder, "documents")
     out = held_out(F.col("doc_id"), 5, 0)
@@ -29,6 +34,10 @@ def op4_language_id(spark, folder):
     return found.select("doc_id", out.alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op5_tool_calls(spark, folder):
+    return tool_calls.format_conversations(table(spark, folder, "conversations"))
+
+
 def op6_best_fit_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
@@ -37,6 +46,10 @@ def op7_embedding_near_dedup(spark, folder):
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op8_sentencepiece(spark, folder):
+    return pieces.digest(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "pieces.*")
+
+
 def op9_toxicity(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     out = held_out(F.col("doc_id"), 5, 0)
@@ -54,9 +67,12 @@ def op10_quality_rules(spark, folder):
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_language_id": op4_language_id,
+    "op5_tool_calls": op5_tool_calls,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }

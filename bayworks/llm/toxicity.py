@@ -28,7 +28,7 @@ PER_CLASS = 6000
 #: Lengths of the word beginnings that can become entries; whole shorter words count too.
 SHORTEST, LONGEST = 4, 10
 #: An entry occurs in this many toxic documents at least and has this log-odds at least.
-MIN_DOCS, MIN_WEIGHT = 6, 2.5
+MIN_DOCS, MIN_WEIGHT = 5, 2.5
 
 # ---- fixed values: folding ------------------------------------------------------
 HOMOGLYPHS = {
@@ -190,20 +190,20 @@ def _prune(found: list[tuple[str, float, int]]) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, exceptions: tuple[str, ...] = EXCEPTIONS, per_class: int = PER_CLASS) -> Model:
     """Learn the lexicon and the likelihood from ``labels`` (doc_id, toxic) where ``learn`` holds.
 
-    At most ``per_class`` documents of each class are used, near copies once. Half of them
-    give the entries, the other half the likelihood, so entries that only describe single
+    At most ``per_class`` documents of each class are used, near copies once. Two
+    thirds give the entries, the rest the likelihood, so entries that only describe single
     documents get no trust. With only one class known, the model answers by its share: 1 or 0.
     """
     rows = _sketched(labelled_texts(docs, labels, "toxic", learn, per_class))
-    half = F.pmod(F.col("sketch"), 2)
+    part = F.pmod(F.col("sketch"), 3)
     sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return Model({}, [0.0, 0.0, 0.0], 35.0 if 1 in sizes else -35.0, exceptions)
-    here = {r[0]: r[1] for r in rows.where(half == 0).groupBy("label").count().collect()}
+    here = {r[0]: r[1] for r in rows.where(part < 2).groupBy("label").count().collect()}
     clean, toxic = here.get(0, 0), here.get(1, 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     least = max(2, min(MIN_DOCS, toxic // 10))
-    kept = _count(rows.where(half == 0)).withColumn("weight", odds).where((F.col("toxic") >= least) & (F.col("weight") >= MIN_WEIGHT))
+    kept = _count(rows.where(part < 2)).withColumn("weight", odds).where((F.col("toxic") >= least) & (F.col("weight") >= MIN_WEIGHT))
     found = [(bytes(r["entry"]).decode("latin-1"), r["weight"], r["toxic"]) for r in kept.collect()]
     model = Model(_prune(found), [0.0, 0.0, 0.0], 0.0, exceptions)
 
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, exceptions: tuple[str
         return pa.array([signals(model, f.as_py().decode("utf-8", "replace")) for f in folded], pa.list_(pa.float64()))
 
     # The folded text folds to itself, so the signals are those of the text.
-    other = rows.where(half == 1).select(F.col("label").cast("double"), F.arrow_udf(measure, "array<double>")("folded").alias("x"))
+    other = rows.where(part == 2).select(F.col("label").cast("double"), F.arrow_udf(measure, "array<double>")("folded").alias("x"))
     other = settle_table(other).select("label", array_to_vector("x").alias("features"))
     if other.select("label").distinct().count() < 2:
         return Model(model.weights, [1.0, 0.0, 0.0], -2.0, exceptions)
