@@ -8,6 +8,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bayworks.llm.common import fresh
 from bayworks.session import settle_table
@@ -20,7 +21,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 #: A host goes when its shrunk failure rate is above this share.
 MAX_HOST_RATE = 0.5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-COUNT_TYPE = "struct<" + ",".join(f"{c}:long" for c in COUNTS) + ">"
+COUNT_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:

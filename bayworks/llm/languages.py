@@ -12,6 +12,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bayworks.llm.common import balanced_sample, fresh
 from bayworks.session import settle_table
@@ -82,7 +83,7 @@ class Model:
     within: dict[str, list[Machine]]
 
 
-@F.arrow_udf("struct<at:array<int>,value:array<double>>")
+@F.arrow_udf(T.StructType().add("at", T.ArrayType(T.IntegerType())).add("value", T.ArrayType(T.DoubleType())))
 def _sparse_profiles(texts: pa.Array) -> pa.Array:
     out = []
     for t in texts:

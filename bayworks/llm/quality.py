@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
         return Model(bias, np.zeros(WIDTH), np.zeros((WIDTH, RANK)))
 
     rows = rows.coalesce(6).select("label", array_to_vector("x").alias("features")).cache()
-    machine = FMClassifier(factorSize=RANK, maxIter=80, stepSize=0.1, regParam=1e-4, initStd=0.02, seed=7, tol=1e-5)
+    machine = FMClassifier(factorSize=RANK, maxIter=60, stepSize=0.1, regParam=1e-4, initStd=0.02, seed=7, tol=1e-5)
     fitted = machine.fit(rows)
     rows.unpersist()
     return Model(float(fitted.intercept), fitted.linear.toArray(), fitted.factors.toArray().reshape(WIDTH, RANK))

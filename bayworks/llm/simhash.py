@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bayworks.llm.common import fresh
 from bayworks.llm.components import components
@@ -50,7 +51,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
 
@@ -124,7 +125,7 @@ def local_links(values: list[int]) -> list[tuple[int, int]]:
     return list(zip(v[moved].view(np.int64).tolist(), v[root[moved]].view(np.int64).tolist()))
 
 
-@F.arrow_udf("array<struct<a:long,b:long>>")
+@F.arrow_udf(T.ArrayType(T.StructType().add("a", T.LongType()).add("b", T.LongType())))
 def _list_links(lists: pa.Array) -> pa.Array:
     out = [[{"a": a, "b": b} for a, b in local_links(x.as_py())] for x in lists]
     return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))

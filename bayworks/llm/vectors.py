@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bayworks.llm.components import components
 from bayworks.session import settle_table
@@ -40,7 +41,7 @@ def _unit(values: list | None) -> tuple[bytes, np.ndarray] | None:
     return raw.tobytes(), scaled / np.sqrt(scaled @ scaled)
 
 
-@F.arrow_udf("struct<key:binary,unit:array<double>>")
+@F.arrow_udf(T.StructType().add("key", T.BinaryType()).add("unit", T.ArrayType(T.DoubleType())))
 def _units(vectors: pa.Array) -> pa.Array:
     rows = [_unit(v.as_py()) for v in vectors]
     kind = pa.struct([("key", pa.binary()), ("unit", pa.list_(pa.float64()))])
