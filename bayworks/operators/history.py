@@ -1,32 +1,51 @@
 """Previous/next row and running row number per entity, safe for hot entities.
 
-A plain window sorts one entity's whole history in one task, which is the cheapest plan as
-long as every history is short. ``largest_history`` measures that first. When one entity
-holds too many rows, histories are cut into hour slices: the row-level windows run inside
-(entity, slice), and what crosses a slice border travels through one summary row per slice.
-The second window then sees at most one row per hour of the reporting period for an entity,
-however many rows it has.
+One entity may own a third of all rows, all of them within one hour. Histories are therefore
+cut into minute slices: the row-level windows run inside (entity, slice), and what crosses a
+slice border travels through one summary row per slice. Those summary rows are a history of
+their own and are treated alike, in day slices; the last window sees at most one row per day
+of the reporting period for an entity. Rows whose entity is unknown take no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLICE = "_slice"
-PLAIN_LIMIT = 1_000_000  # rows of one entity that a single task may sort
+#: Slices of the rows, then of the slices' summary rows.
+LEVELS = ("minute", "day")
+_NEVER = "0001-01-01"
 
 
-def largest_history(df: DataFrame, keys: Sequence[str]) -> int:
-    """Most rows held by one entity: a partial aggregation, one number to the driver."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+def _slice(ts: str, level: str) -> Column:
+    """The slice of a time stamp; a null one comes before all others, as it sorts."""
+    return F.coalesce(F.date_trunc(level, F.col(ts)), F.lit(_NEVER).cast("timestamp"))
 
 
-def _sliced(df: DataFrame, ts: str) -> DataFrame:
-    return df.withColumn(_SLICE, F.date_trunc("hour", F.col(ts)))
+def _known(keys: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return known
+
+
+def _adjacent(rows: DataFrame, keys: list[str], order: list[str], levels: Sequence[str]) -> DataFrame:
+    """Adds ``_prev`` and ``_next``: ``_out`` of the row before, ``_in`` of the row after."""
+    if not levels:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return rows.select("*", F.lag("_out").over(whole).alias("_prev"), F.lead("_in").over(whole).alias("_next"))
+    name = f"_{levels[0]}"
+    rows = rows.withColumn(name, _slice(order[0], levels[0]))
+    inside, place = Window.partitionBy(*keys, name).orderBy(*order), F.struct(*order)
+    edges = rows.groupBy(*keys, name).agg(F.max_by("_out", place).alias("_out"), F.min_by("_in", place).alias("_in"))
+    carried = _adjacent(edges, keys, [name], levels[1:])
+    carried = carried.select(*keys, name, F.col("_prev").alias("_far_prev"), F.col("_next").alias("_far_next"))
+    marked = rows.select("*", F.lag("_out").over(inside).alias("_prev"), F.lead("_in").over(inside).alias("_next"))
+    return marked.join(carried, [*keys, name], "left").withColumns(
+        {"_prev": F.coalesce("_prev", "_far_prev"), "_next": F.coalesce("_next", "_far_next")}
+    )
 
 
 def neighbours(
@@ -36,82 +55,45 @@ def neighbours(
     tie: str,
     previous: Mapping[str, str],
     following: Mapping[str, str],
-    plain: bool = False,
-    identity: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add columns from the previous / next row of the same entity.
 
     ``previous`` and ``following`` map new column names to source columns; rows are
-    ordered by ``ts`` and then ``tie``. Rows with a null ``identity`` column (all keys unless
-    given) get nulls.
+    ordered by ``ts``, nulls first, and then ``tie``. Rows with a null key get nulls.
     """
     keys = list(keys)
-    known = F.lit(True)
-    for k in identity or keys:
-        known = known & F.col(k).isNotNull()
-    if plain:
-        whole = Window.partitionBy(*keys).orderBy(ts, tie)
-        return df.select(
-            "*",
-            *[F.when(known, F.lag(src).over(whole)).alias(out) for out, src in previous.items()],
-            *[F.when(known, F.lead(src).over(whole)).alias(out) for out, src in following.items()],
-        )
-
-    rows = _sliced(df, ts)
-    inside = Window.partitionBy(*keys, _SLICE).orderBy(ts, tie)
-    order = F.struct(ts, tie)
-
-    summary = rows.groupBy(*keys, _SLICE).agg(
-        *[F.max_by(src, order).alias(f"_p_{out}") for out, src in previous.items()],
-        *[F.min_by(src, order).alias(f"_n_{out}") for out, src in following.items()],
-    )
-    across = Window.partitionBy(*keys).orderBy(_SLICE)
-    carried = summary.select(
-        *keys,
-        _SLICE,
-        *[F.lag(f"_p_{out}").over(across).alias(f"_p_{out}") for out in previous],
-        *[F.lead(f"_n_{out}").over(across).alias(f"_n_{out}") for out in following],
-    )
-
-    marked = rows.select(
-        "*",
-        F.lag(F.lit(1)).over(inside).alias("_has_prev"),
-        F.lead(F.lit(1)).over(inside).alias("_has_next"),
-        *[F.lag(src).over(inside).alias(out) for out, src in previous.items()],
-        *[F.lead(src).over(inside).alias(out) for out, src in following.items()],
-    )
-    joined = marked.join(carried, [*keys, _SLICE], "left")
-
-    def pick(out: str, has: str, carry: str):
-        return F.when(known, F.when(F.col(has).isNull(), F.col(carry)).otherwise(F.col(out)))
-
-    chosen = {out: pick(out, "_has_prev", f"_p_{out}") for out in previous}
-    chosen |= {out: pick(out, "_has_next", f"_n_{out}") for out in following}
-    return joined.select(*df.columns, *[c.alias(out) for out, c in chosen.items()])
-
-
-def running_number(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str, plain: bool = False
-) -> DataFrame:
-    """Add the 1-based position of each row in its entity's history."""
-    keys = list(keys)
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    if plain:
-        whole = Window.partitionBy(*keys).orderBy(ts, tie)
-        return df.withColumn(name, F.when(known, F.row_number().over(whole)))
-    rows = _sliced(df, ts)
-    counts = rows.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = (
-        Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = counts.select(
-        *keys, _SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(*keys, _SLICE).orderBy(ts, tie)
-    return (
-        rows.withColumn("_pos", F.row_number().over(inside))
-        .join(before, [*keys, _SLICE], "left")
-        .select(*df.columns, F.when(known, F.col("_before") + F.col("_pos")).cast("int").alias(name))
-    )
+    out = F.struct(F.lit(1).alias("_"), *[F.col(src).alias(name) for name, src in previous.items()])
+    into = F.struct(F.lit(1).alias("_"), *[F.col(src).alias(name) for name, src in following.items()])
+    rows = df.where(_known(keys)).select("*", out.alias("_out"), into.alias("_in"))
+    found = _adjacent(rows, keys, [ts, tie], LEVELS).select(
+        *df.columns, *[F.col(f"_prev.{name}").alias(name) for name in previous], *[F.col(f"_next.{name}").alias(name) for name in following]
+    )
+    kinds = df.schema
+    none = [F.lit(None).cast(kinds[src].dataType).alias(name) for name, src in {**previous, **following}.items()]
+    return found.unionByName(df.where(~_known(keys)).select("*", *none))
+
+
+def _before(counts: DataFrame, keys: list[str], at: str, levels: Sequence[str]) -> DataFrame:
+    """Adds ``_before``: the sum of ``_n`` over the entity's earlier rows."""
+    name = f"_{levels[0]}" if levels else None
+    part = [*keys, name] if name else keys
+    rows = counts.withColumn(name, _slice(at, levels[0])) if name else counts
+    earlier = Window.partitionBy(*part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    if not name:
+        return rows
+    sums = _before(rows.groupBy(*part).agg(F.sum("_n").alias("_n")), keys, name, levels[1:])
+    sums = sums.select(*part, F.col("_before").alias("_far"))
+    return rows.join(sums, part, "left").withColumn("_before", F.col("_before") + F.col("_far"))
+
+
+def running_number(df: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str) -> DataFrame:
+    """Add the 1-based position of each row in its entity's history; null for a null key."""
+    keys, at = list(keys), f"_{LEVELS[0]}"
+    rows = df.where(_known(keys)).withColumn(at, _slice(ts, LEVELS[0]))
+    counts = rows.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("_n"))
+    before = _before(counts, keys, at, LEVELS[1:]).select(*keys, at, "_before")
+    inside = Window.partitionBy(*keys, at).orderBy(ts, tie)
+    numbered = rows.withColumn("_pos", F.row_number().over(inside)).join(before, [*keys, at], "left")
+    found = numbered.select(*df.columns, (F.col("_before") + F.col("_pos")).cast("int").alias(name))
+    return found.unionByName(df.where(~_known(keys)).withColumn(name, F.lit(None).cast("int")))

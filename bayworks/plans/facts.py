@@ -17,7 +17,7 @@ from bayworks.functions.scalars import (
     weekday_name,
     year_month,
 )
-from bayworks.operators.history import PLAIN_LIMIT, largest_history, neighbours, running_number
+from bayworks.operators.history import neighbours, running_number
 
 Tables = dict[str, DataFrame]
 
@@ -96,23 +96,14 @@ def job_history(t: Tables, how: str = "left") -> DataFrame:
         .join(owner, "appointment_id", how)
         .drop("appointment_id")
     )
-    # A vehicle has one owner, so adding the customer to the keys changes no group, and the
-    # plain windows all run on one exchange by customer.
-    plain = largest_history(rows, ["customer_id"]) <= PLAIN_LIMIT
-    if plain:
-        rows = rows.repartition("customer_id")
-    numbered = running_number(
-        rows, ["customer_id"], "check_in_time", "work_order_id", "customer_visit_number", plain
-    )
+    numbered = running_number(rows, ["customer_id"], "check_in_time", "work_order_id", "customer_visit_number")
     return neighbours(
         numbered,
-        ["customer_id", "vehicle_id", "service_type"] if plain else ["vehicle_id", "service_type"],
+        ["vehicle_id", "service_type"],
         "check_in_time",
         "work_order_id",
         previous={"previous_end": "end_time"},
         following={"next_check_in": "check_in_time"},
-        plain=plain,
-        identity=["vehicle_id", "service_type"],
     ).select("work_order_id", "previous_end", "next_check_in", "customer_visit_number")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bayworks.config import Config
 from bayworks.functions.scalars import any_of, flag
-from bayworks.operators.history import PLAIN_LIMIT, largest_history, neighbours
+from bayworks.operators.history import neighbours
 from bayworks.operators.validate import counters, duplicated, one_count, orphans, union_all
 from bayworks.sources import schemas
 
@@ -224,10 +224,7 @@ def _odometer_back(t: Tables, cfg: Config) -> DataFrame:
         .select("work_order_id", "appointment_id", "check_in_time", "odometer_km")
         .join(_bookings(t, "vehicle_id"), "appointment_id")
     )
-    plain = largest_history(visits, ["vehicle_id"]) <= PLAIN_LIMIT
-    chained = neighbours(
-        visits, ["vehicle_id"], "check_in_time", "work_order_id", {"prev_km": "odometer_km"}, {}, plain
-    )
+    chained = neighbours(visits, ["vehicle_id"], "check_in_time", "work_order_id", {"prev_km": "odometer_km"}, {})
     return chained.where(F.col("odometer_km") < F.col("prev_km"))
 
 
