@@ -52,9 +52,17 @@ class Cleaned:
     log: list[DataFrame] = field(default_factory=list)
 
 
-def with_ordinal(df: DataFrame) -> DataFrame:
-    """Remember the input order (file, then position in the file) for keep-first rules."""
-    return df.withColumn(_ORD, F.monotonically_increasing_id())
+def with_ordinal(df: DataFrame, files: bool = False) -> DataFrame:
+    """Remember the input order for keep-first rules.
+
+    Of a frame read from ``files`` it is path, start of the block in the file, then position:
+    splits are handed to tasks by size, so row numbers alone would not follow the files.
+    """
+    row = F.monotonically_increasing_id()
+    if files:
+        at = F.col("_metadata")
+        row = F.struct(at["file_path"].alias("path"), at["file_block_start"].alias("start"), row.alias("row"))
+    return df.withColumn(_ORD, row)
 
 
 def as_is(df: DataFrame) -> DataFrame:

@@ -205,16 +205,26 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: More than any part key; makes one number of an order and a part.
+PART_KEYS = 100_000_000
+#: The catalogue price of a part by its key, as the part table has it. Billing follows the
+#: ledger at that price; every 41st job is billed 250 more, for the reconciliation to find.
+CATALOGUE_CENTS = "(90000 + l_partkey % 1000 * 10)"
+
+
 def part_usage(spark: SparkSession, folder: str) -> DataFrame:
     jobs = read(spark, folder, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
     return (
         read(spark, folder, "lineitem")
         .join(jobs, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+        # A line number can repeat within an order; an order and a part make one line.
+        .groupBy("l_orderkey", "l_partkey")
+        .agg(F.expr("cast(sum(cast(l_quantity as int)) as int)").alias("quantity"))
         .selectExpr(
-            "l_orderkey * 10 + l_linenumber as usage_id",
+            f"l_orderkey * {PART_KEYS} + l_partkey as usage_id",
             "l_orderkey as work_order_id",
             "l_partkey as part_id",
-            "cast(l_quantity as int) as quantity",
+            "quantity",
         )
     )
 
@@ -232,12 +242,13 @@ def financials(spark: SparkSession, folder: str) -> DataFrame:
         read(spark, folder, "lineitem")
         .selectExpr(
             "l_orderkey",
+            f"cast(l_quantity as bigint) * {CATALOGUE_CENTS} as used",
             "cast(round(l_extendedprice * 100) as bigint) as gross",
             "cast(round(l_discount * 100) as bigint) as off",
         )
         .groupBy("l_orderkey")
         .agg(
-            F.expr("sum(gross) * 55 div 100").alias("parts"),
+            F.expr("sum(used) + if(l_orderkey % 41 = 0, 25000, 0)").alias("parts"),
             F.expr("sum(gross * (100 - off) div 100)").alias("net"),
         )
     )

@@ -35,7 +35,7 @@ def load_raw(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     out = {}
     for name in schemas.TABLES:
         df = spark.read.option("header", True).schema(schemas.raw_schema(name)).csv(f"{base}/{name}.csv")
-        out[name] = with_ordinal(df)
+        out[name] = with_ordinal(df, files=True)
     return out
 
 

@@ -127,9 +127,9 @@ SELECT p_partkey AS part_id, p_name AS part_name, p_type AS part_category,
 FROM part""")
 
 cte("part_usage", """
-SELECT l_orderkey * 10 + l_linenumber AS usage_id, l_orderkey AS work_order_id, l_partkey AS part_id,
-  l_quantity::INT AS quantity
-FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+SELECT l_orderkey * 100000000 + l_partkey AS usage_id, l_orderkey AS work_order_id, l_partkey AS part_id,
+  sum(l_quantity::INT)::INT AS quantity
+FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey, l_partkey""")
 
 cte("financials", f"""
 SELECT k AS work_order_id,
@@ -140,8 +140,9 @@ SELECT k AS work_order_id,
   {mon('CASE WHEN k % 20 = 10 THEN 0 ELSE net END')} AS revenue
 FROM (SELECT o_orderkey AS k, (1 + (o_orderkey * 7) % 24) * 25 * (450 + o_orderkey % 300) AS labor
       FROM orders WHERE o_orderstatus = 'F') j
-JOIN (SELECT l_orderkey, (sum(g)::BIGINT * 55) // 100 AS pc, sum((g * (100 - f)) // 100)::BIGINT AS net
-      FROM (SELECT l_orderkey, round(l_extendedprice * 100)::BIGINT AS g, round(l_discount * 100)::BIGINT AS f FROM lineitem)
+JOIN (SELECT l_orderkey, sum(u)::BIGINT + CASE WHEN l_orderkey % 41 = 0 THEN 25000 ELSE 0 END AS pc, sum((g * (100 - f)) // 100)::BIGINT AS net
+      FROM (SELECT l_orderkey, l_quantity::BIGINT * round(p_retailprice * 100)::BIGINT AS u, round(l_extendedprice * 100)::BIGINT AS g,
+              round(l_discount * 100)::BIGINT AS f FROM lineitem JOIN part ON l_partkey = p_partkey)
       GROUP BY l_orderkey) b ON b.l_orderkey = j.k""")
 
 cte("feedback", """

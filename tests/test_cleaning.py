@@ -307,3 +307,11 @@ def test_views_are_usable_from_sql(spark):
 def test_schema_defaults(spark, value):
     df = raw(spark, "work_orders", {"work_order_id": "1", "parts_wait_hours": None if value == 0 else Decimal(1)})
     assert schemas.with_defaults(df, "work_orders").first()["parts_wait_hours"] == value
+
+
+def test_ordinal_follows_the_files_whatever_their_sizes(spark, tmp_path):
+    for name, first, n in (("a", 0, 3), ("b", 100, 4000), ("c", 9000, 40)):
+        (tmp_path / f"{name}.csv").write_text("k\n" + "".join(f"{first + i}\n" for i in range(n)))
+    df = spark.read.option("header", True).schema("k int").csv(str(tmp_path))
+    got = [r["k"] for r in clean.with_ordinal(df, files=True).orderBy("_ord").collect()]
+    assert got == sorted(got) and len(got) == 4043
