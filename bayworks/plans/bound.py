@@ -304,9 +304,9 @@ add("insight_customer", lambda m: insights.customer(
     kpis.group_kpis(m.fact, ["center_name"], CFG), kpis.cancellation_by(m.appts, "lead_time_band")), digits=6)
 
 # ---- slicers ------------------------------------------------------------------------
-CHOSEN = filters.Filters(
-    start=date(1997, 3, 15), end=date(1999, 2, 10), regions=("ASIA", "EUROPE"),
-    service_types=("1-URGENT", "5-LOW"), models=("Model A", "Model C"),
+CHOSEN = filters.select(
+    date(1997, 3, 15), date(1999, 2, 10), region=("ASIA", "EUROPE"),
+    service_type=("1-URGENT", "5-LOW"), model=("Model A", "Model C"),
 )
 SLICED_JOBS = "work_order_id service_date center_name region service_type model revenue on_time_flag"
 

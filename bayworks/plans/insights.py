@@ -16,11 +16,19 @@ def fixed1(c: Column) -> Column:
     return F.format_number(c, 1)
 
 
+def _beside(*facts: DataFrame) -> DataFrame:
+    """Independent one-row facts in one row; a fact that cannot be told leaves nulls."""
+    one = facts[0].sparkSession.range(1).select(F.lit(1).alias("_one"))
+    for df in facts:
+        one = one.join(F.broadcast(df.withColumn("_one", F.lit(1))), "_one", "left")
+    return one.drop("_one")
+
+
 def executive(scorecard: DataFrame) -> DataFrame:
     """Worst and best centre on time, the gap in points, and the top-ranked centre."""
     ends = extremes(scorecard, "center_name", "on_time_pct")
     top = scorecard.agg(F.min_by("center_name", F.struct("rank", "center_name")).alias("top_centre"))
-    return ends.crossJoin(F.broadcast(top)).select(
+    return _beside(ends, top).select(
         F.col("lowest").alias("worst_centre"),
         F.col("lowest_value").alias("worst_on_time"),
         F.col("highest").alias("best_centre"),
@@ -39,7 +47,7 @@ def operations(scorecard: DataFrame, weekday_wait: DataFrame) -> DataFrame:
         F.col("highest").alias("longest_wait_day"), F.col("highest_value").alias("longest_wait")
     )
     median = scorecard.select(F.col("center_name").alias("slowest_centre"), "median_turnaround")
-    return slow.crossJoin(F.broadcast(wait)).join(median, "slowest_centre")
+    return _beside(slow.join(median, "slowest_centre"), wait)
 
 
 def financial(by_service: DataFrame, trend: DataFrame) -> DataFrame:
@@ -52,7 +60,7 @@ def financial(by_service: DataFrame, trend: DataFrame) -> DataFrame:
         F.min_by("month", F.struct(-F.col("profit"), F.col("month"))).alias("peak_month"),
         F.max("profit").alias("peak_profit"),
     )
-    return ends.crossJoin(F.broadcast(peak))
+    return _beside(ends, peak)
 
 
 def customer(by_centre: DataFrame, by_lead: DataFrame) -> DataFrame:
@@ -63,7 +71,7 @@ def customer(by_centre: DataFrame, by_lead: DataFrame) -> DataFrame:
     lead = extremes(by_lead, "lead_time_band", "cancellation_rate").select(
         F.col("highest").alias("worst_lead_band"), F.col("highest_value").alias("worst_cancellation_rate")
     )
-    return low.crossJoin(F.broadcast(lead))
+    return _beside(low, lead)
 
 
 def sentence(template: str, *parts: Column) -> Column:

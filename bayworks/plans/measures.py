@@ -25,7 +25,7 @@ from bayworks.functions.scalars import (
     share,
     weekday_name,
 )
-from bayworks.operators.filters import Filters, apply_slicers
+from bayworks.operators.filters import Selection, apply_slicers
 from bayworks.operators.shape import extremes
 from bayworks.plans.insights import pct1
 
@@ -269,7 +269,7 @@ def usage_lines(usage: DataFrame, parts: DataFrame, fact: DataFrame) -> DataFram
     return priced.join(fact, "work_order_id").withColumn("line_cost", value)
 
 
-def evaluate(facts: Facts, names: Sequence[str], dims: Sequence[str], cfg: Config, filters: Filters | None = None) -> DataFrame:
+def evaluate(facts: Facts, names: Sequence[str], dims: Sequence[str], cfg: Config, filters: Selection | None = None) -> DataFrame:
     """One row per dimension member with the named measures."""
     sliced = apply_slicers(facts, filters) if filters else dict(facts)
     by_table: dict[str, list[str]] = {}
@@ -345,7 +345,7 @@ def year_to_date(monthly: DataFrame, measure: str, dims: Sequence[str] = ()) ->
 INDEX_INPUTS = ("on_time_pct", "avg_rating", "profit_margin_pct", "avg_turnaround_hours", "cancellation_rate")
 
 
-def performance_index(facts: Facts, cfg: Config, filters: Filters | None = None) -> DataFrame:
+def performance_index(facts: Facts, cfg: Config, filters: Selection | None = None) -> DataFrame:
     """Mean of five ascending ranks over the number of centres, x 100, and its rank."""
     c = evaluate(facts, INDEX_INPUTS, ["center_name"], cfg, filters)
 
@@ -432,7 +432,7 @@ def key_insights(facts: Facts, cfg: Config) -> DataFrame:
     )
 
 
-def selection_label(cfg: Config, chosen: Filters) -> str:
+def selection_label(cfg: Config, chosen: Selection) -> str:
     """Centres, regions and dates of a selection as one line of text."""
 
     def part(values: tuple[str, ...], one: str, many: str) -> str:
@@ -440,13 +440,13 @@ def selection_label(cfg: Config, chosen: Filters) -> str:
             return f"All {many}"
         return values[0] if len(values) == 1 else f"Selected {many}"
 
-    first: date = max(chosen.start or cfg.period_start, cfg.period_start)
-    last: date = min(chosen.end or cfg.period_end, cfg.period_end)
+    first: date = max(chosen.span.first or cfg.period_start, cfg.period_start)
+    last: date = min(chosen.span.last or cfg.period_end, cfg.period_end)
     span = f"{first:%d %b %Y} - {last:%d %b %Y}"
-    return " | ".join([part(chosen.centres, "centre", "centres"), part(chosen.regions, "region", "regions"), span])
+    return " | ".join([part(chosen.values("centre"), "centre", "centres"), part(chosen.values("region"), "region", "regions"), span])
 
 
-def report_header(facts: Facts, cfg: Config, chosen: Filters) -> DataFrame:
+def report_header(facts: Facts, cfg: Config, chosen: Selection) -> DataFrame:
     """Money cards in short form, the selection label and the titles built from it."""
     money = evaluate(facts, ["total_revenue", "total_cost", "profit"], [], cfg, chosen)
     label = selection_label(cfg, chosen)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[str] = []
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -27,15 +30,21 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """A folder of this application under the shared one named by ``spark.checkpoint.dir``.
 
-    Only a session without one (tests, a laptop) gets a scratch folder of its own; a cluster
-    always names a path that every executor can reach.
+    A local session without one (tests, a laptop) gets a folder that goes when Python ends.
+    A cluster must name a path that every executor can reach; without it this is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="bayworks-")
-    return folder.rstrip("/")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="bayworks-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        shared = _OWN[0]
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def settle(df: DataFrame) -> DataFrame:

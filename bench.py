@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from bayworks import configure  # noqa: E402
 from bayworks.operators import clean  # noqa: E402
-from bayworks.operators.filters import Filters, apply_slicers  # noqa: E402
+from bayworks.operators.filters import Selection, apply_slicers, select  # noqa: E402
 from bayworks.plans import facts, kpis  # noqa: E402
 from bayworks.plans.bound import CFG, QUERIES, Model, raw_tables  # noqa: E402
 from bayworks.session import settle  # noqa: E402
@@ -63,7 +63,7 @@ def clean_and_build(model: Model, out: str) -> None:
     files.write_tables({"fact_technician_month": facts.with_centre(months, rows["service_centers"])}, out)
 
 
-def page(tables, chosen: Filters) -> None:
+def page(tables, chosen: Selection) -> None:
     """Executive page: headline, monthly trend and centre ranking for one selection."""
     t = apply_slicers(tables, chosen)
     kpis.headline(t["fact"], t["appts"], t["tech"], CFG).collect()
@@ -91,8 +91,8 @@ def main() -> None:
             ("fact", "fact_service"), ("appts", "fact_appointments"), ("tech", "fact_technician_month"),
         )
     }
-    clock("page_render", lambda: page(stored, Filters()))
-    one = Filters(start=date(1998, 6, 1), end=date(1998, 12, 31), regions=("ASIA",))
+    clock("page_render", lambda: page(stored, Selection()))
+    one = select(date(1998, 6, 1), date(1998, 12, 31), region=("ASIA",))
     clock("page_slicer_refresh", lambda: page(stored, one))
     for df in stored.values():
         df.unpersist()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bayworks.config import Config
-from bayworks.operators.filters import BINDINGS, Filters, apply_filters, slicer_options
+from bayworks.operators.filters import Selection, apply_selection, select, slicer_options
 from bayworks.operators.shape import extremes
 from bayworks.plans import kpis
 
@@ -155,26 +155,26 @@ def test_parts_by_category_uses_filtered_jobs_only(spark, fact):
 @pytest.mark.parametrize(
     ("chosen", "expected"),
     [
-        (Filters(), 4),
-        (Filters(end=date(2025, 2, 20)), 3),
-        (Filters(start=date(2025, 2, 4), end=date(2025, 2, 4)), 1),
-        (Filters(regions=("North",), service_types=("Brake Service",)), 2),
-        (Filters(regions=("North",), models=("M1",)), 0),
+        (Selection(), 4),
+        (select(last=date(2025, 2, 20)), 3),
+        (select(date(2025, 2, 4), date(2025, 2, 4)), 1),
+        (select(region=("North",), service_type=("Brake Service",)), 2),
+        (select(region=("North",), model=("M1",)), 0),
     ],
 )
 def test_slicers(fact, chosen, expected):
-    assert apply_filters(fact, chosen, BINDINGS["fact"]).count() == expected
+    assert apply_selection(fact, chosen, "fact").count() == expected
 
 
 def test_end_day_includes_its_last_second(spark):
     df = spark.sql("select timestamp'2025-02-04 23:59:59' as service_date")
-    assert apply_filters(df, Filters(end=date(2025, 2, 4)), BINDINGS["fact"]).count() == 1
+    assert apply_selection(df, select(last=date(2025, 2, 4)), "fact").count() == 1
 
 
 def test_month_overlap(tech):
-    chosen = Filters(start=date(2025, 1, 31), end=date(2025, 1, 31))
-    assert apply_filters(tech, chosen, BINDINGS["tech"]).count() == 2
-    assert apply_filters(tech, Filters(models=("M1",)), BINDINGS["tech"]).count() == 3
+    chosen = select(date(2025, 1, 31), date(2025, 1, 31))
+    assert apply_selection(tech, chosen, "tech").count() == 2
+    assert apply_selection(tech, select(model=("M1",)), "tech").count() == 3
 
 
 def test_slicer_options(fact):
@@ -194,3 +194,14 @@ def test_tercile_flag(spark):
     assert got == {"a": "good", "b": "", "c": "bad"}
     flat = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
     assert {r["f"] for r in kpis.tercile_flag(flat, "v", "low", "f").collect()} == {""}
+
+
+def test_an_insight_that_cannot_be_told_leaves_the_other(spark):
+    from bayworks.plans import insights
+
+    two = spark.createDataFrame([("a", 2.0, 1.5), ("b", 4.0, 3.0)], "center_name string, avg_turnaround double, median_turnaround double")
+    one_day = spark.createDataFrame([("Monday", 1.0)], "weekday string, avg_wait double")
+    row = insights.operations(two, one_day).first()
+    assert row["slowest_centre"] == "b" and row["longest_wait_day"] is None
+    row = insights.operations(two.limit(1), one_day.union(spark.createDataFrame([("Friday", 2.0)], "d string, w double"))).first()
+    assert row["slowest_centre"] is None and row["longest_wait_day"] == "Friday"
