@@ -29,6 +29,11 @@ def present_in_order(df: DataFrame, column: str, labels: Sequence[str]) -> DataF
     return df.join(F.broadcast(label_frame(df, column, labels)), column).orderBy("_order").drop("_order")
 
 
+def preview(df: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
+    """The first ``rows`` of a result in a given order."""
+    return df.orderBy(*order).limit(rows)
+
+
 def extremes(df: DataFrame, label: str, value: str) -> DataFrame:
     """Labels with the lowest and highest value; empty when fewer than two rows have one.
 

@@ -15,7 +15,7 @@ from bayworks.functions.scalars import band, parse_datetime, rounded_to
 from bayworks.config import LEAD_BANDS, TURNAROUND_EDGES
 from bayworks.operators import clean, filters, shape, validate
 from bayworks.plans import explore, facts, insights, kpis, measures, metrics, quality, reports, stats, views, whatif
-from bayworks.session import configure, settle
+from bayworks.session import configure, settle, settle_table
 from bayworks.sources import binding, defects, files, schemas
 
 CFG = binding.BOUND_CONFIG
@@ -90,6 +90,12 @@ class Model:
         jobs = self.fs("work_order_id center_id center_name parts_delay_flag parts_wait_hours")
         return metrics.parts_lines(jobs, self.tables["part_usage"], self.tables["parts"])
 
+    @cached_property
+    def centres(self) -> list[str]:
+        """Names of all centres, for matrices with a column each; a dimension of bounded size."""
+        rows = self.tables["service_centers"].select("center_name").distinct().collect()
+        return sorted(r[0] for r in rows if r[0] is not None)
+
     def view(self, name: str) -> DataFrame:
         return views.view(self.spark, self.tables, CFG, name)
 
@@ -143,8 +149,6 @@ JOB_COLUMNS = (
     "cost_variance_pct", "cost_overrun_flag", "vehicle_age_years", "days_since_same_service",
     "is_repeat_visit", "caused_repeat_visit", "customer_visit_number", "rating",
 )
-add("dim_date", lambda m: facts.dim_date(m.spark, CFG))
-add("working_days", lambda m: facts.working_days(m.spark, CFG))
 add("fact_service", lambda m: m.fact, *JOB_COLUMNS)
 add("comeback", lambda m: m.jobs("work_order_id days_since_same_service is_repeat_visit caused_repeat_visit"))
 add(
@@ -158,7 +162,6 @@ add(
 )
 add("dense_grid", lambda m: m.tech.drop("center_name", "region"), digits=6)
 
-add("vw_period_calendar", lambda m: m.view("vw_period_calendar"))
 add(
     "vw_work_order_enriched", lambda m: m.view("vw_work_order_enriched"),
     "work_order_id", "vehicle_id", "customer_id", "center_id", "technician_id", "service_type", "variant",
@@ -213,14 +216,14 @@ def staged(m: Model) -> Staged:
     return Staged(raw_tables(m))
 
 
-def cleaned(m: Model, store=settle) -> clean.Pipeline:
+def cleaned(m: Model, store=settle_table) -> clean.Pipeline:
     return clean.Pipeline(raw_tables(m), CFG, store)
 
 
 for _n in quality.CATALOGUE:
     add(f"dq{_n:02d}", lambda m, _n=_n: quality.run_checks(staged(m), CFG, [_n]))
-add("dq99", lambda m: quality.summary({k: settle(staged(m)[k]) for k in schemas.TABLES}, CFG))
-add("dq_agreement", lambda m: quality.agreement({k: settle(staged(m)[k]) for k in schemas.TABLES}, CFG))
+add("dq99", lambda m: quality.summary({k: settle_table(staged(m)[k]) for k in schemas.TABLES}, CFG))
+add("dq_agreement", lambda m: quality.agreement({k: settle_table(staged(m)[k]) for k in schemas.TABLES}, CFG))
 add("constraints", lambda m: validate.validate(staged(m), schemas.table_rules(CFG)))
 add("profile", lambda m: clean.profile(raw_tables(m)))
 for _name in clean.ORDER:
@@ -231,11 +234,10 @@ add("retention", lambda m: clean.retention(clean.profile(raw_tables(m)), cleaned
 
 def _validation(m: Model) -> DataFrame:
     rows = cleaned(m).rows()
-    return clean.validation(rows, settle(facts.fact_service(rows, CFG)))
+    return clean.validation(rows, settle_table(facts.fact_service(rows, CFG)))
 
 
 add("postclean_checks", _validation)
-add("defect_manifest", lambda m: defects.manifest(m.tables, CFG, DEFECT_SCALE))
 add(
     "injected_vs_detected",
     lambda m: clean.reconcile_defects(
@@ -277,10 +279,11 @@ add("util_matrix", lambda m: kpis.utilisation_matrix(m.load, CFG.months), digits
 add("delay_distribution", lambda m: kpis.delay_distribution(m.jobs("late_hours")), digits=6)
 add("turnaround_distribution", lambda m: kpis.delay_distribution(m.jobs("turnaround_hours"), "turnaround_hours", TURNAROUND_EDGES, None), digits=6)
 add("wait_by_weekday", lambda m: kpis.wait_by_weekday(m.jobs("service_date wait_hours work_order_id")), digits=6)
-add("rating_matrix", lambda m: kpis.rating_matrix(m.jobs("service_type region rating"), "service_type", "region", CFG.regions), digits=6)
+add("rating_matrix", lambda m: kpis.rating_matrix(
+    m.jobs("service_type center_name rating"), "service_type", "center_name", m.centres), digits=6)
 add("feedback_distribution", lambda m: kpis.feedback_distribution(m.jobs("feedback_category")), digits=6)
 add("parts_by_category", lambda m: kpis.parts_by_category(
-    m.tables["part_usage"], m.tables["parts"], m.jobs("work_order_id region").where("region = 'ASIA'")), digits=6)
+    m.tables["part_usage"], m.tables["parts"], m.jobs("work_order_id")), digits=6)
 add("tercile_flag", lambda m: kpis.tercile_flag(
     kpis.known(m.jobs("center_name on_time_flag"), ["center_name"]).groupBy("center_name").agg(kpis.share("on_time_flag").alias("on_time_pct")),
     "on_time_pct", "high", "flag"), digits=6)
@@ -351,16 +354,16 @@ add("parts_lines", lambda m: m.lines.groupBy("center_id", "part_category").agg(
     F.count(F.lit(1)).alias("lines"), F.sum("line_cost").alias("line_cost")))
 add("parts_delay_cat", lambda m: metrics.parts_delay_by_category(m.lines), digits=6)
 add("parts_delay_cat_centre", lambda m: metrics.parts_delay_category_centre(
-    m.lines, [f"NATION_{i}" for i in range(25)]), digits=6)
+    m.lines, m.centres), digits=6)
 add("parts_delay_impact", lambda m: metrics.parts_delay_impact(
     m.fs("parts_delay_flag on_time_flag turnaround_hours parts_wait_hours rating"), CFG), digits=6)
 add("abc", lambda m: metrics.abc_parts(m.lines), digits=6)
 add("abc_summary", lambda m: metrics.abc_summary(metrics.abc_parts(m.lines)), digits=6)
 add("abc_a_class", lambda m: metrics.abc_parts(m.lines).where("abc_class = 'A'").select(
     "part_id", "part_name", "part_category", "value_share", "delay_rate", "supplier_lead_days"), digits=6)
-add("abc_a_delayed", lambda m: metrics.abc_parts(m.lines).where("abc_class = 'A' and delay_rate >= 0.1").select(
+add("abc_a_delayed", lambda m: metrics.abc_parts(m.lines).where("abc_class = 'A' and delay_rate >= 0.2").select(
     "part_id", "delay_rate"), digits=6)
-add("safety_stock", lambda m: metrics.safety_stock(m.lines, PLAN.parts, CFG, 0.01), digits=6)
+add("safety_stock", lambda m: metrics.safety_stock(m.lines, PLAN.parts, CFG), digits=6)
 add("skill_profile", lambda m: metrics.skill_profile(m.fs(), CFG), digits=6)
 add("skill_profile_complex", lambda m: metrics.skill_profile(m.fs(), CFG, only_complex=True), digits=6)
 add("technician_diag", lambda m: metrics.technician_scorecard(m.fs(), m.load, CFG), digits=6)
@@ -404,27 +407,53 @@ add("spearman_load_on_time", lambda m: stats.spearman(
 add("spearman_lead_cancel", lambda m: stats.spearman(
     m.fa.where(F.col("booking_channel") != CFG.walk_in).select("lead_days", F.col("is_cancelled").cast("int").alias("c")),
     "lead_days", "c"), digits=6)
-add("spearman_matrix", lambda m: stats.spearman_matrix(
-    settle(m.fs("late_hours parts_wait_hours wait_hours rating").select(
-        "late_hours", "parts_wait_hours", "wait_hours", "rating")),
-    ["late_hours", "parts_wait_hours", "wait_hours", "rating"]), digits=6)
+CORRELATED = (
+    "load_ratio", "wait_hours", "late_hours", "parts_wait_hours", "duration_variance_hours", "cost_variance_pct",
+    "qc_passed_first_time", "caused_repeat_visit", "rating",
+)
+
+
+def _correlated(m: Model) -> DataFrame:
+    jobs = m.fs("center_id " + " ".join(c for c in CORRELATED if c != "load_ratio"))
+    loaded = metrics.attach_load(jobs, m.daily)
+    return loaded.select(*[F.round(F.col(c).cast("double"), 9).alias(c) for c in CORRELATED])
+
+
+add("spearman_matrix", lambda m: stats.spearman_matrix(_correlated(m), CORRELATED), digits=6)
 
 
 def _statistical_tests(m: Model) -> DataFrame:
-    """All tests with their p-values, one line each."""
-    fs = settle(m.fs("center_id turnaround_hours wait_hours on_time_flag parts_delay_flag rating late_hours"))
-    mw = stats.mann_whitney(fs, F.col("center_id") == PLAN.focus, "wait_hours")
-    lines = [
-        stats.summary_line(stats.kruskal(fs, "center_id", v), f"kruskal_{v}", "chi2", "h", "epsilon_sq", F.col("dof"))
-        for v in ("turnaround_hours", "wait_hours")
-    ]
-    lines.append(stats.summary_line(mw, "mannwhitney_wait", "normal", "z", "rank_biserial"))
-    for a in ("center_id", "parts_delay_flag"):
-        lines.append(stats.summary_line(
-            stats.chi2(fs, a, "on_time_flag"), f"chi2_on_time_by_{a}", "chi2", "chi2", "cramers_v", F.col("dof")))
-    lines.append(stats.summary_line(
-        stats.spearman(fs, "late_hours", "rating"), "spearman_rating_late", "correlation", "rho", "rho", F.col("n")))
-    return validate.union_all(lines)
+    """All tests, one line each: statistic, effect size and number of observations."""
+    fs = settle_table(m.fs(
+        "center_id turnaround_hours wait_hours on_time_flag parts_delay_flag rating late_hours skill_level "
+        "qc_passed_first_time cost_overrun_flag"))
+    daily = settle_table(m.daily.select(*[F.round(c, 9).alias(c) for c in ("load_ratio", "wait_h", "on_time")]))
+    days = F.lit(daily.count())  # the daily correlations report all days
+    rated = fs.where("rating is not null and late_hours is not null").fillna(0, ["wait_hours"])
+    booked = m.fa.where(F.col("booking_channel") != CFG.walk_in).select(
+        "lead_days", F.col("is_cancelled").cast("int").alias("c"))
+    gap = stats.proportion_gap(fs, "center_id", PLAN.focus, PLAN.benchmark, "on_time_flag").withColumn(
+        "n", F.lit(None).cast("bigint"))
+    line, chi2, rho = stats.summary_line, stats.chi2, stats.spearman
+    return validate.union_all([
+        line(stats.kruskal(fs, "center_id", "turnaround_hours"), "kruskal_turnaround_by_centre", "h", "epsilon_sq"),
+        line(stats.kruskal(fs, "center_id", "wait_hours"), "kruskal_wait_by_centre", "h", "epsilon_sq"),
+        line(stats.mann_whitney(fs, F.col("center_id") == PLAN.focus, "wait_hours"),
+             "mannwhitney_wait_focus_vs_rest", "u", "rank_biserial"),
+        line(chi2(fs, "center_id", "on_time_flag"), "chi2_on_time_by_centre", "chi2", "cramers_v"),
+        line(chi2(fs, "parts_delay_flag", "on_time_flag"), "chi2_on_time_vs_parts_delay", "chi2", "cramers_v"),
+        line(gap, "on_time_gap_focus_vs_benchmark", "gap", "cohens_h"),
+        line(rho(fs, "late_hours", "rating"), "spearman_rating_vs_late_hours", "rho", "rho"),
+        line(rho(rated, "wait_hours", "rating"), "spearman_rating_vs_wait_hours", "rho", "rho"),
+        line(rho(daily, "load_ratio", "wait_h").withColumn("n", days), "spearman_daily_load_vs_wait", "rho", "rho"),
+        line(rho(daily, "load_ratio", "on_time").withColumn("n", days), "spearman_daily_load_vs_on_time", "rho", "rho"),
+        line(chi2(m.fa, "lead_time_band", "is_cancelled"), "chi2_cancellation_vs_lead_band", "chi2", "cramers_v"),
+        line(rho(booked, "lead_days", "c"), "spearman_lead_days_vs_cancel_booked", "rho", "rho"),
+        line(chi2(fs, "skill_level", "qc_passed_first_time"), "chi2_qc_vs_skill", "chi2", "cramers_v"),
+        line(chi2(fs, "skill_level", "cost_overrun_flag"), "chi2_overrun_vs_skill", "chi2", "cramers_v"),
+        line(chi2(fs.withColumn("saturday", F.col("weekday") == "Saturday"), "saturday", "on_time_flag"),
+             "chi2_on_time_saturday_vs_weekday", "chi2", "cramers_v"),
+    ])
 
 
 add("statistical_tests", _statistical_tests, digits=6)
@@ -446,18 +475,25 @@ add("impact_estimate", lambda m: whatif.estimate_discipline(m.fs(
     "additional_work_found cost_overrun_flag cost_variance_pct revenue profit rating"), CFG), digits=6)
 
 # ---- exploration ----------------------------------------------------------------------------
-NUMBERS = ["actual_hours", "wait_hours", "turnaround_hours", "late_hours", "revenue", "cost_variance_pct", "rating"]
+NUMBERS = [
+    "estimated_hours", "actual_hours", "duration_variance_hours", "wait_hours", "turnaround_hours", "late_hours",
+    "parts_wait_hours", "revenue", "total_cost", "profit", "cost_variance_pct", "rating",
+]
 add("describe", lambda m: explore.describe(m.fs(" ".join(NUMBERS)), NUMBERS), digits=4)
 add("category_mix", lambda m: explore.category_mix(
     m.fs("service_type billing_type model customer_type"), ["service_type", "billing_type", "model", "customer_type"]), digits=6)
-OUTLIERS = ["turnaround_hours", "wait_hours", "late_hours", "revenue", "duration_variance_hours"]
+OUTLIERS = ["turnaround_hours", "wait_hours", "late_hours", "cost_variance_pct", "revenue", "duration_variance_hours"]
 add("iqr_outliers", lambda m: explore.iqr_outliers(m.fs(" ".join(OUTLIERS)), OUTLIERS), digits=6)
 add("rating_by_late_band", lambda m: explore.rating_by_late_band(m.fs("rating late_hours")), digits=6)
-add("delay_model_year", lambda m: explore.delay_by_model_year(m.fs("model parts_delay_flag"), range(1995, 2002)), digits=6)
+add("delay_model_year", lambda m: explore.delay_by_model_year(m.fs("model parts_delay_flag"), range(CFG.period_start.year, CFG.period_end.year + 1)), digits=6)
 add("overrun_centre", lambda m: explore.overrun_by_centre(m.fs("center_name additional_work_found cost_overrun_flag")), digits=6)
 add("part_category_profile", lambda m: explore.part_category_profile(m.tables["parts"]), digits=6)
-add("column_profile", lambda m: explore.column_profile(m.tables["work_orders"]).select("column", "nulls", "distinct"))
-add("table_diff", lambda m: explore.table_diff(staged(m)["vehicles"], staged(m)["vehicles"].where("vehicle_id % 7 <> 0")))
+add("column_profile", lambda m: validate.union_all([
+    explore.column_profile(m.tables[t]).select(F.lit(t).alias("table"), "column", "nulls", "distinct") for t in schemas.TABLES]))
+add("preview", lambda m: shape.preview(reports.REPORTS["q05"](m.tables, CFG), ["technician_id"], 5))
+VEHICLE_KEYS = ["vehicle_id", "customer_id", "model", "model_year"]
+add("table_diff", lambda m: explore.table_diff(
+    staged(m)["vehicles"].select(VEHICLE_KEYS), cleaned(m)["vehicles"].rows.select(VEHICLE_KEYS)))
 
 
 # ---- semantic measures and visuals ----------------------------------------------------------
@@ -506,10 +542,10 @@ visual("visual_cust_skill", "skill_level", "comeback_rate")
 visual("visual_cust_feedback", "feedback_category", "rated_services", "rated_services", True)
 visual("visual_query", "region service_type", "completed_services on_time_pct appointments technician_utilisation_pct")
 add("visual_cust_matrix", lambda m: measures.matrix(
-    bi(m, ["avg_rating"], ["service_type", "region"]), "avg_rating", "service_type", "region", CFG.regions, CFG), digits=6)
+    bi(m, ["avg_rating"], ["service_type", "center_name"]), "avg_rating", "service_type", "center_name", m.centres, CFG), digits=6)
 add("visual_ops_matrix", lambda m: measures.matrix(
     bi(m, [], []), "technician_utilisation_pct", "technician_id", "month_start",
-    [date(int(x[:4]), int(x[5:]), 1) for x in CFG.months[-12:]], CFG), digits=6)
+    [date(int(x[:4]), int(x[5:]), 1) for x in CFG.months], CFG), digits=6)
 
 
 def _monthly(m: Model) -> DataFrame:
@@ -605,5 +641,14 @@ add("customer_segments", lambda m: explore.top_shares(m.read("customer"), ["c_mk
 add("events_monthly", lambda m: measures.previous_month(
     m.read("events").groupBy(F.trunc("ts", "MM").alias("month_start")).agg(
         F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(14,2)")).alias("value")), "value"), digits=6)
+def _events_daily(m: Model) -> DataFrame:
+    """Events by day with the day before; days without events have no row."""
+    days = m.read("events").groupBy(F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(14,2)")).alias("value"))
+    before = days.select(F.date_add("day", 1).alias("day"), F.col("events").alias("events_before"), F.col("value").alias("value_before"))
+    return days.join(before, "day", "left")
+
+
+add("events_daily", _events_daily, digits=6)
 add("events_bands", lambda m: m.read("events").groupBy("event_type", band("value", (1, 5, 10, 50), ("<=1", "1-5", "5-10", "10-50", ">50")).alias("value_band"))
     .agg(F.count(F.lit(1)).alias("events")))

@@ -21,6 +21,7 @@ from bayworks.functions.scalars import (
 from bayworks.operators.ranks import exact_percentiles, ranked_values
 from bayworks.operators.shape import crosstab, mean_matrix, reindex_labels, row_shares
 from bayworks.plans.kpis import known
+from bayworks.session import settle_table
 
 
 def with_calendar(fact: DataFrame, day: str = "service_date") -> DataFrame:
@@ -372,7 +373,7 @@ def abc_parts(lines: DataFrame) -> DataFrame:
         F.countDistinct("work_order_id").alias("jobs"),
         share("parts_delay_flag").alias("delay_rate"),
     )
-    return classify_abc(parts, "value")
+    return classify_abc(settle_table(parts), "value")
 
 
 def classify_abc(items: DataFrame, value: str) -> DataFrame:
@@ -459,13 +460,15 @@ def overrun_drivers(fs: DataFrame) -> DataFrame:
     out = known(fs, ["additional_work_found"]).groupBy("additional_work_found").agg(
         F.count(F.lit(1)).alias("jobs"),
         share("cost_overrun_flag").alias("overrun"),
-        F.median("cost_variance_pct").alias("cost_var_pct_median"),
         F.sum("revenue").alias("revenue"),
         mean("rating").alias("csat"),
         ratio(F.sum("profit"), F.sum("revenue")).alias("margin"),
     )
+    rows = known(fs, ["additional_work_found", "cost_variance_pct"])
+    halves = exact_percentiles(rows, ["additional_work_found"], "cost_variance_pct", {"cost_var_pct_median": 0.5})
     total = out.agg(F.sum("jobs").alias("_all"))
-    return out.crossJoin(F.broadcast(total)).withColumn("share_of_jobs", ratio("jobs", "_all")).drop("_all")
+    out = out.join(halves, "additional_work_found", "left").crossJoin(F.broadcast(total))
+    return out.withColumn("share_of_jobs", ratio("jobs", "_all")).drop("_all")
 
 
 def technician_monthly_cost(staff: DataFrame, ftm: DataFrame, skill: str) -> DataFrame:

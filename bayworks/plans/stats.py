@@ -1,33 +1,20 @@
 """Rank and contingency tests with effect sizes, computed on value histograms.
 
 Observations are reduced to (group, value, count); mid-ranks come from the bucketed rank
-operator. Only one row per test remains for the p-value.
+operator.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bayworks.functions.pvalues import tail
 from bayworks.functions.scalars import flag, ratio, share
-from bayworks.operators.ranks import ranked_values
+from bayworks.operators.ranks import exact_percentiles, ranked_values
 from bayworks.operators.shape import crosstab
-
-
-def with_p_value(df: DataFrame, kind: str, stat: str, extra: Column | None = None) -> DataFrame:
-    """Add ``p``. The input has one row per test, so the Python step sees a handful of rows."""
-
-    @F.pandas_udf("double")
-    def p_value(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for s, e in parts:
-            yield pd.Series([tail(kind, a, b) for a, b in zip(s, e)], dtype="float64")
-
-    other = F.lit(0.0) if extra is None else extra.cast("double")
-    return df.withColumn("p", p_value(F.col(stat).cast("double"), other))
+from bayworks.session import settle_table
 
 
 def mid_rank() -> Column:
@@ -75,9 +62,10 @@ def mann_whitney(df: DataFrame, chosen: Column, value: str) -> DataFrame:
         F.sum(F.col("_a") * F.col("_r")).alias("R1"),
         _tie_sum("_c").alias("T"),
     )
-    medians = df.agg(
-        F.median(F.when(F.col("_g"), F.col("_x"))).alias("median_focus"),
-        F.median(F.when(~F.col("_g"), F.col("_x"))).alias("median_rest"),
+    halves = exact_percentiles(df, ["_g"], "_x", {"_m": 0.5})
+    medians = halves.agg(
+        F.max(F.when(F.col("_g"), F.col("_m"))).alias("median_focus"),
+        F.max(F.when(~F.col("_g"), F.col("_m"))).alias("median_rest"),
     )
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
@@ -149,6 +137,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         .groupBy("_x", "_y")
         .agg(F.count(F.lit(1)).alias("m"))
     )
+    pairs = settle_table(pairs)  # ranked on either side, then joined
     ranks, squares = {}, {}
     for c in ("_x", "_y"):
         hist = ranked_values(_weighted(pairs, c), [], c)
@@ -172,21 +161,35 @@ def _weighted(pairs: DataFrame, c: str) -> DataFrame:
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise rank correlations, each over the rows complete for its pair."""
-    out = []
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            out.append(spearman(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho", "n"))
-    first, *rest = out
-    for other in rest:
-        first = first.unionByName(other)
-    return first
-
-
-def summary_line(df: DataFrame, name: str, kind: str, stat: str, effect: str, extra: Column | None = None) -> DataFrame:
-    """(test, statistic, effect, n, p) of a one-row test result."""
-    base = df.select(
+    """Pairwise rank correlations, each over the rows complete for its pair.
+
+    All pairs are stacked and pre-aggregated to their distinct values, so one pass ranks all.
+    """
+    two = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("_x"), F.col(b).alias("_y"))
+        for i, a in enumerate(columns) for b in columns[i + 1 :]
+    ]
+    cells = df.select(F.inline(F.array(*two))).where("_x is not null and _y is not null")
+    cells = settle_table(cells.groupBy("a", "b", "_x", "_y").agg(F.count(F.lit(1)).alias("m")))
+    joined, spread = cells, None
+    for c in ("_x", "_y"):
+        hist = ranked_values(cells.select("a", "b", c, F.col("m").alias("_weight")), ["a", "b"], c)
+        hist = hist.select("a", "b", c, mid_rank().alias(f"{c}r"), "n")
+        one = hist.groupBy("a", "b").agg(
+            F.sum("n").cast("double").alias(f"N{c}"), F.sum(F.col("n") * F.col(f"{c}r") * F.col(f"{c}r")).alias(f"S{c}")
+        )
+        spread = one if spread is None else spread.join(one, ["a", "b"])
+        joined = joined.join(hist.drop("n"), ["a", "b", c])
+    cross = joined.groupBy("a", "b").agg(F.sum(F.col("m") * F.col("_xr") * F.col("_yr")).alias("P"))
+    n = F.col("N_x")
+    centre = n * (n + 1) * (n + 1) / 4
+    rho = F.try_divide(F.col("P") - centre, F.sqrt((F.col("S_x") - centre) * (F.col("S_y") - centre)))
+    return cross.join(spread, ["a", "b"]).select("a", "b", rho.alias("rho"), n.cast("bigint").alias("n"))
+
+
+def summary_line(df: DataFrame, name: str, stat: str, effect: str) -> DataFrame:
+    """(test, statistic, effect, n) of a one-row test result."""
+    return df.select(
         F.lit(name).alias("test"), F.col(stat).cast("double").alias("statistic"),
-        F.col(effect).cast("double").alias("effect"), "n", (F.lit(0.0) if extra is None else extra).alias("_e"),
+        F.col(effect).cast("double").alias("effect"), F.col("n").cast("bigint").alias("n"),
     )
-    return with_p_value(base, kind, "statistic", F.col("_e")).drop("_e")

@@ -325,4 +325,5 @@ Q["q21"] = f"""WITH n AS (SELECT *, ntile(10) OVER (ORDER BY coalesce(total_reve
 SELECT t::INT AS revenue_decile, c AS customers, rev::DOUBLE AS revenue, round(av, 2) AS avg_visits, {r(div('rev', 'sum(rev) OVER ()') + ' * 100', 2)} AS revenue_share_pct,
   {r(div('sum(rev) OVER (ORDER BY t)', 'sum(rev) OVER ()') + ' * 100', 2)} AS cumulative_share_pct FROM d"""
 
+Q["preview"] = f"SELECT * FROM ({Q['q05']}) ORDER BY technician_id LIMIT 5"
 SQL = {k: query(v) for k, v in {**FACTS, **VIEWS, **Q}.items()}

@@ -90,12 +90,12 @@ K["delay_distribution"] = bands("late_hours", steps("late_hours", [0, 1, 2, 4, 8
 K["turnaround_distribution"] = bands("turnaround_hours", steps("turnaround_hours", [2, 4, 8, 24, 72], "<= 2h"))
 K["wait_by_weekday"] = f"SELECT dayname(service_date) AS weekday, {r(avg('wait_hours'))} AS avg_wait, count(work_order_id) AS work_orders FROM fact_service GROUP BY 1"
 K["rating_matrix"] = "SELECT service_type, " + ", ".join(
-    f"""{r(f"(sum(rating) FILTER (WHERE region = '{g}'))::DOUBLE / nullif(count(rating) FILTER (WHERE region = '{g}'), 0)")} AS "{g}\""""
-    for g in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+    f"""{r(f"(sum(rating) FILTER (WHERE center_name = '{g}'))::DOUBLE / nullif(count(rating) FILTER (WHERE center_name = '{g}'), 0)")} AS "{g}\""""
+    for g in [f"NATION_{i}" for i in range(25)]
 ) + " FROM fact_service WHERE rating IS NOT NULL GROUP BY 1"
 K["feedback_distribution"] = f"SELECT feedback_category, count(*) AS responses, {r(div('count(*)', 'sum(count(*)) OVER ()'))} AS share FROM fact_service WHERE feedback_category IS NOT NULL GROUP BY 1"
 K["parts_by_category"] = f"""SELECT part_category, sum(quantity)::BIGINT AS quantity, sum(quantity * unit_cost)::DOUBLE AS parts_cost, {r(div('sum(quantity * unit_cost)', 'sum(sum(quantity * unit_cost)) OVER ()'))} AS share
-  FROM part_usage JOIN parts USING (part_id) WHERE work_order_id IN (SELECT work_order_id FROM fact_service WHERE region = 'ASIA') GROUP BY 1"""
+  FROM part_usage JOIN parts USING (part_id) WHERE work_order_id IN (SELECT work_order_id FROM fact_service) GROUP BY 1"""
 K["tercile_flag"] = f"""WITH g AS (SELECT center_name, {share('on_time_flag')} AS v FROM fact_service GROUP BY 1),
   p AS (SELECT count(DISTINCT v) AS d, quantile_cont(v, 1.0/3) AS lo, quantile_cont(v, 2.0/3) AS hi FROM g)
 SELECT center_name, round(v, 6) AS on_time_pct, CASE WHEN d >= 3 AND v >= hi THEN 'good' WHEN d >= 3 AND v <= lo THEN 'bad' ELSE '' END AS flag FROM g, p"""

@@ -103,7 +103,7 @@ cte("abc2", "SELECT *, CASE WHEN above < 0.80 THEN 'A' WHEN above < 0.95 THEN 'B
 M["abc"] = """SELECT part_id, part_name, part_category, unit_cost::DOUBLE AS unit_cost, supplier_lead_days, units, value::DOUBLE AS value, jobs, round(delay_rate, 6) AS delay_rate, round(value_share, 6) AS value_share, round(cum_share, 6) AS cum_share, abc_class FROM abc2"""
 M["abc_summary"] = "SELECT abc_class, count(*) AS parts, round(sum(value_share), 6) AS value_share, round(avg(delay_rate), 6) AS mean_delay_rate FROM abc2 GROUP BY 1"
 M["abc_a_class"] = "SELECT part_id, part_name, part_category, round(value_share, 6) AS value_share, round(delay_rate, 6) AS delay_rate, supplier_lead_days FROM abc2 WHERE abc_class = 'A'"
-M["abc_a_delayed"] = "SELECT part_id, round(delay_rate, 6) AS delay_rate FROM abc2 WHERE abc_class = 'A' AND delay_rate >= 0.1"
+M["abc_a_delayed"] = "SELECT part_id, round(delay_rate, 6) AS delay_rate FROM abc2 WHERE abc_class = 'A' AND delay_rate >= 0.2"
 
 
 def stock(rate: str) -> str:
@@ -111,7 +111,7 @@ def stock(rate: str) -> str:
   FROM (SELECT part_id, part_name, part_category, unit_cost, supplier_lead_days, sum(quantity)::BIGINT AS u, {share('parts_delay_flag')} AS dr, count(DISTINCT work_order_id) AS j FROM lines WHERE center_id = 8 AND {FOCUS} GROUP BY 1, 2, 3, 4, 5) WHERE dr >= {rate})"""
 
 
-M["safety_stock"] = f"SELECT * REPLACE (unit_cost::DOUBLE AS unit_cost, round(delay_rate, 6) AS delay_rate, round(monthly_units, 6) AS monthly_units), (cover_units * unit_cost)::DOUBLE AS stock_value FROM {stock('0.01')}"
+M["safety_stock"] = f"SELECT * REPLACE (unit_cost::DOUBLE AS unit_cost, round(delay_rate, 6) AS delay_rate, round(monthly_units, 6) AS monthly_units), (cover_units * unit_cost)::DOUBLE AS stock_value FROM {stock('0.10')}"
 _SK = "(VALUES ('Junior'), ('Mid'), ('Senior'), ('Master')) l(skill_level)"
 M["skill_profile"] = f"SELECT * FROM {_SK} LEFT JOIN (SELECT skill_level, {CARD}, {r(share(HARD))} AS complex_share FROM fs GROUP BY 1) USING (skill_level)"
 M["skill_profile_complex"] = f"SELECT * FROM {_SK} LEFT JOIN (SELECT skill_level, {CARD} FROM fs WHERE {HARD} GROUP BY 1) USING (skill_level)"
@@ -185,8 +185,26 @@ M["spearman_rating_wait"] = rho("(SELECT coalesce(wait_hours, 0) AS w, rating FR
 M["spearman_load_wait"] = rho("daily", "round(load_ratio, 9)", "round(wait_h, 9)")
 M["spearman_load_on_time"] = rho("daily", "round(load_ratio, 9)", "round(on_time, 9)")
 M["spearman_lead_cancel"] = rho("(SELECT lead_days, is_cancelled::INT AS c FROM fa WHERE booking_channel <> 'Walk-in')", "lead_days", "c")
-_C = ["late_hours", "parts_wait_hours", "wait_hours", "rating"]
-M["spearman_matrix"] = " UNION ALL ".join(rho("fs", a, b, f"'{a}' AS a, '{b}' AS b,") for i, a in enumerate(_C) for b in _C[i + 1 :])
+_C = ["load_ratio", "wait_hours", "late_hours", "parts_wait_hours", "duration_variance_hours", "cost_variance_pct", "qc_passed_first_time", "caused_repeat_visit", "rating"]
+M["spearman_matrix"] = " UNION ALL ".join(rho("fs_load", f"round({a}::DOUBLE, 9)", f"round({b}::DOUBLE, 9)", f"'{a}' AS a, '{b}' AS b,") for i, a in enumerate(_C) for b in _C[i + 1 :])
+
+
+
+def line(test: str, stat: str, effect: str, sql: str, n: str = "n") -> str:
+    return f"SELECT '{test}' AS test, {stat}::DOUBLE AS statistic, {effect}::DOUBLE AS effect, {n}::BIGINT AS n FROM ({sql})"
+
+
+_DAYS = "(SELECT count(*) FROM daily)"
+M["statistical_tests"] = " UNION ALL ".join([
+    line("kruskal_turnaround_by_centre", "h", "epsilon_sq", M["kruskal_turnaround"]), line("kruskal_wait_by_centre", "h", "epsilon_sq", M["kruskal_wait"]),
+    line("mannwhitney_wait_focus_vs_rest", "u", "rank_biserial", M["mannwhitney"]), line("chi2_on_time_by_centre", "chi2", "cramers_v", M["chi2_on_time_centre"]),
+    line("chi2_on_time_vs_parts_delay", "chi2", "cramers_v", M["chi2_on_time_parts"]), line("on_time_gap_focus_vs_benchmark", "gap", "cohens_h", M["prop_gap"], "NULL"),
+    line("spearman_rating_vs_late_hours", "rho", "rho", M["spearman_rating_late"]), line("spearman_rating_vs_wait_hours", "rho", "rho", M["spearman_rating_wait"]),
+    line("spearman_daily_load_vs_wait", "rho", "rho", M["spearman_load_wait"], _DAYS), line("spearman_daily_load_vs_on_time", "rho", "rho", M["spearman_load_on_time"], _DAYS),
+    line("chi2_cancellation_vs_lead_band", "chi2", "cramers_v", M["chi2_cancel_lead"]), line("spearman_lead_days_vs_cancel_booked", "rho", "rho", M["spearman_lead_cancel"]),
+    line("chi2_qc_vs_skill", "chi2", "cramers_v", M["chi2_qc_skill"]), line("chi2_overrun_vs_skill", "chi2", "cramers_v", M["chi2_overrun_skill"]),
+    line("chi2_on_time_saturday_vs_weekday", "chi2", "cramers_v", M["chi2_on_time_saturday"]),
+])
 
 # ---- what-if ------------------------------------------------------------------------
 M["response_curve"] = "SELECT band, round(rate, 6) AS rate FROM curve"
@@ -259,7 +277,7 @@ M["impact_estimate"] = f"""WITH d AS (SELECT {_OD} FROM fs WHERE {FOCUS} GROUP B
   round(max(overrun) FILTER (WHERE NOT additional_work_found), 6) AS overrun_rate_without, round(max(csat) FILTER (WHERE additional_work_found), 6) AS csat_with_additional_work, round(max(csat) FILTER (WHERE NOT additional_work_found), 6) AS csat_without FROM d"""
 
 # ---- exploration ----------------------------------------------------------------------
-_N = ["actual_hours", "wait_hours", "turnaround_hours", "late_hours", "revenue", "cost_variance_pct", "rating"]
+_N = ["estimated_hours", "actual_hours", "duration_variance_hours", "wait_hours", "turnaround_hours", "late_hours", "parts_wait_hours", "revenue", "total_cost", "profit", "cost_variance_pct", "rating"]
 M["describe"] = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count({c}) AS count, round({avg(c)}, 4) AS mean, round(stddev_samp({c}::DOUBLE), 4) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(skewness({c}::DOUBLE), 4) AS skew,
   {r(md(c, 0.25), 4)} AS p25, {r(md(c, 0.5), 4)} AS p50, {r(md(c, 0.75), 4)} AS p75, {r(md(c, 0.95), 4)} AS p95 FROM fs""" for c in _N
@@ -268,17 +286,31 @@ M["category_mix"] = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", {c} AS value, {r(div('count(*)', 'sum(count(*)) OVER ()'))} AS share_of_jobs FROM fs WHERE {c} IS NOT NULL GROUP BY 2""" for c in ("service_type", "billing_type", "model", "customer_type")
 )
 M["iqr_outliers"] = " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c}::DOUBLE > q3 + 1.5 * (q3 - q1)) AS high_outliers, round(max(p95), 6) AS p95, max({c})::DOUBLE AS max, {r(div(f'count(*) FILTER (WHERE {c}::DOUBLE > q3 + 1.5 * (q3 - q1))', 'count(*)'))} AS share_of_jobs
-  FROM fs, (SELECT {md(c, 0.25)} AS q1, {md(c, 0.75)} AS q3, {md(c, 0.95)} AS p95 FROM fs)""" for c in ("turnaround_hours", "wait_hours", "late_hours", "revenue", "duration_variance_hours")
+    f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c}::DOUBLE > q3 + 1.5 * (q3 - q1)) AS high_outliers, round(max(p95), 6) AS p95, round(max({c})::DOUBLE, 6) AS max, {r(div(f'count(*) FILTER (WHERE {c}::DOUBLE > q3 + 1.5 * (q3 - q1))', 'count(*)'))} AS share_of_jobs
+  FROM fs, (SELECT {md(c, 0.25)} AS q1, {md(c, 0.75)} AS q3, {md(c, 0.95)} AS p95 FROM fs)""" for c in ("turnaround_hours", "wait_hours", "late_hours", "cost_variance_pct", "revenue", "duration_variance_hours")
 )
 M["rating_by_late_band"] = f"""SELECT CASE WHEN late_hours <= 0 THEN 'On time' WHEN late_hours <= 2 THEN '<=2 h' WHEN late_hours <= 8 THEN '2-8 h' WHEN late_hours <= 24 THEN '8-24 h' WHEN late_hours <= 72 THEN '1-3 days' ELSE '>3 days' END AS late_band,
   count(*) AS responses, {r(avg('rating'))} AS csat, {r(share('rating >= 4'))} AS csat_pct FROM fs WHERE rating IS NOT NULL GROUP BY 1"""
 M["delay_model_year"] = "SELECT model, " + ", ".join(f"""round((sum(parts_delay_flag::INT) FILTER (WHERE year = {y}))::DOUBLE / nullif(count(*) FILTER (WHERE year = {y}), 0), 6) AS "{y}\"""" for y in range(1995, 2002)) + " FROM fs GROUP BY 1"
 M["overrun_centre"] = f"SELECT center_name, {r(share('CASE WHEN NOT additional_work_found THEN cost_overrun_flag END'))} AS no_extra_work, {r(share('CASE WHEN additional_work_found THEN cost_overrun_flag END'))} AS extra_work_found FROM fs GROUP BY 1"
 M["part_category_profile"] = f"SELECT part_category, count(*) AS skus, {r(avg('supplier_lead_days'))} AS mean_lead_days, {r(md('unit_cost'))} AS median_unit_cost FROM parts GROUP BY 1"
+_COLUMNS = {
+    "service_centers": "center_id center_name city state region service_bays daily_job_capacity opened_date",
+    "customers": "customer_id customer_type city region registration_date",
+    "vehicles": "vehicle_id customer_id model variant vehicle_category battery_kwh model_year purchase_date mileage_km",
+    "technicians": "technician_id center_id skill_level years_experience certification hourly_cost shift_hours_per_day",
+    "appointments": "appointment_id vehicle_id center_id booking_date scheduled_date scheduled_slot booking_channel requested_service_type status cancellation_reason",
+    "work_orders": "work_order_id appointment_id technician_id service_type check_in_time start_time end_time promised_ready_time estimated_hours actual_hours parts_wait_hours odometer_km additional_work_found qc_passed_first_time",
+    "parts": "part_id part_name part_category unit_cost compatible_models supplier_lead_days",
+    "part_usage": "usage_id work_order_id part_id quantity",
+    "financials": "work_order_id billing_type estimated_cost labor_cost parts_cost revenue",
+    "feedback": "feedback_id work_order_id rating feedback_category feedback_date",
+}
 M["column_profile"] = " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS "distinct" FROM work_orders"""
-    for c in "work_order_id appointment_id technician_id service_type check_in_time start_time end_time promised_ready_time estimated_hours actual_hours parts_wait_hours odometer_km additional_work_found qc_passed_first_time".split()
+    f"""SELECT '{t}' AS "table", '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS "distinct" FROM {t}"""
+    for t, names in _COLUMNS.items() for c in names.split()
 )
-M["table_diff"] = "SELECT count(*) FILTER (WHERE vehicle_id % 7 = 0) AS only_left, 0::BIGINT AS only_right, count(*) FILTER (WHERE vehicle_id % 7 = 0) = 0 AS identical FROM s_vehicles"
+_V = "vehicle_id, customer_id, model, model_year"
+M["table_diff"] = f"""WITH a AS (SELECT {_V} FROM s_vehicles), b AS (SELECT {_V} FROM c_vehicles), l AS (SELECT count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)), r AS (SELECT count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+SELECT l.n AS only_left, r.n AS only_right, l.n + r.n = 0 AS identical FROM l, r"""
 SQL = {k: query(v) for k, v in M.items()}

@@ -102,9 +102,9 @@ S: dict[str, str] = {
     "visual_query": visual("region service_type", "completed_services on_time_pct appointments technician_utilisation_pct"),
 }
 S["visual_cust_matrix"] = "SELECT service_type, " + ", ".join(
-    f"""round((sum(rating) FILTER (WHERE region = '{g}'))::DOUBLE / nullif(count(rating) FILTER (WHERE region = '{g}'), 0), 6) AS "{g}\"""" for g in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+    f"""round((sum(rating) FILTER (WHERE center_name = '{g}'))::DOUBLE / nullif(count(rating) FILTER (WHERE center_name = '{g}'), 0), 6) AS "{g}\"""" for g in [f"NATION_{i}" for i in range(25)]
 ) + " FROM b_fact GROUP BY 1"
-_M12 = [f"{y}-{m:02d}" for y in (2000, 2001) for m in range(1, 13) if "2000-09" <= f"{y}-{m:02d}" <= "2001-08"]
+_M12 = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if f"{y}-{m:02d}" <= "2001-08"]
 S["visual_ops_matrix"] = "SELECT technician_id, " + ", ".join(
     f"""{r(div(f"sum(service_hours) FILTER (WHERE month = '{m}')", f"sum(available_hours) FILTER (WHERE month = '{m}')"))} AS "{m}-01\"""" for m in _M12
 ) + " FROM b_tech GROUP BY 1"
@@ -212,6 +212,8 @@ S["orders_iqr"] = f"""SELECT '{_O}' AS "column", count(*) FILTER (WHERE {_O} > q
   FROM orders, (SELECT {om.md(_O, 0.25)} AS q1, {om.md(_O, 0.75)} AS q3, {om.md(_O, 0.95)} AS p95 FROM orders)"""
 S["orders_crosstab"] = f"SELECT o_orderpriority, o_orderstatus, count(*) AS n, {r(div('count(*)', 'sum(count(*)) OVER (PARTITION BY o_orderpriority)'))} AS share FROM orders GROUP BY 1, 2"
 S["customer_segments"] = f"""SELECT 'c_mktsegment' AS "column", c_mktsegment AS value, count(*) AS rows, {r(div('count(*)', 'sum(count(*)) OVER ()'))} AS share FROM customer GROUP BY 2"""
+S["events_daily"] = """WITH d AS (SELECT ts::DATE AS day, count(*) AS n, sum(value::DECIMAL(14,2)) AS v FROM events GROUP BY 1)
+SELECT strftime(d.day, '%Y-%m-%d') AS day, d.n AS events, round(d.v::DOUBLE, 6) AS value, b.n AS events_before, round(b.v::DOUBLE, 6) AS value_before FROM d LEFT JOIN d b ON b.day = d.day - 1"""
 S["events_monthly"] = f"""WITH m AS (SELECT date_trunc('month', ts)::DATE AS ms, count(*) AS n, sum(value::DECIMAL(14,2)) AS v FROM events GROUP BY 1)
 SELECT strftime(a.ms, '{MK}') AS month_start, a.n AS events, a.v::DOUBLE AS value, b.v::DOUBLE AS value_pm, {r(div('a.v - b.v', 'b.v'))} AS value_mom_pct FROM m a LEFT JOIN m b ON b.ms + INTERVAL 1 MONTH = a.ms"""
 S["events_bands"] = "SELECT event_type, CASE WHEN value <= 1 THEN '<=1' WHEN value <= 5 THEN '1-5' WHEN value <= 10 THEN '5-10' WHEN value <= 50 THEN '10-50' ELSE '>50' END AS value_band, count(*) AS events FROM events GROUP BY 1, 2"

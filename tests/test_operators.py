@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pvalues
 import pytest
 from pyspark.sql import functions as F
 
 from bayworks.config import Config
-from bayworks.functions import pvalues, scalars, shopclock
+from bayworks.functions import scalars, shopclock
 from bayworks.operators import ranks
 from bayworks.operators.history import neighbours, running_number
 from bayworks.plans import explore, stats
