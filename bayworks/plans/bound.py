@@ -43,6 +43,11 @@ class Model:
     def fact(self) -> DataFrame:
         return facts.fact_service(self.tables, CFG)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The job facts, built once and stored, for queries that read them more than once."""
+        return settle_table(self.fact)
+
     def jobs(self, columns: str) -> DataFrame:
         """Job facts reduced to the named columns and the joins those need."""
         return facts.fact_service(self.tables, CFG, set(columns.split()))
@@ -258,21 +263,21 @@ for _name, _key, _cols in (
 
 
 # ---- KPI library ------------------------------------------------------------------
-add("fact_kpis", lambda m: kpis.fact_kpis(m.fact, CFG), digits=6)
+add("fact_kpis", lambda m: kpis.fact_kpis(m.stored, CFG), digits=6)
 add("appointment_kpis", lambda m: kpis.appointment_kpis(m.appts), digits=6)
 add("utilisation_total", lambda m: kpis.utilisation(m.load), digits=6)
-add("headline", lambda m: kpis.headline(m.fact, m.appts, m.load, CFG), digits=6)
-add("group_kpis", lambda m: kpis.group_kpis(m.fact, ["center_name"], CFG), digits=6)
-add("group_kpis_two_keys", lambda m: kpis.group_kpis(m.fact, ["region", "model"], CFG), digits=6)
-add("monthly_trend", lambda m: kpis.monthly_trend(m.fact, CFG), digits=6)
-add("service_type_kpis", lambda m: kpis.service_type_performance(m.fact, CFG), digits=6)
-add("billing_type_kpis", lambda m: kpis.group_kpis(m.fact, ["billing_type"], CFG), digits=6)
+add("headline", lambda m: kpis.headline(m.stored, m.appts, m.load, CFG), digits=6)
+add("group_kpis", lambda m: kpis.group_kpis(m.stored, ["center_name"], CFG), digits=6)
+add("group_kpis_two_keys", lambda m: kpis.group_kpis(m.stored, ["region", "model"], CFG), digits=6)
+add("monthly_trend", lambda m: kpis.monthly_trend(m.stored, CFG), digits=6)
+add("service_type_kpis", lambda m: kpis.service_type_performance(m.stored, CFG), digits=6)
+add("billing_type_kpis", lambda m: kpis.group_kpis(m.stored, ["billing_type"], CFG), digits=6)
 add("skill_comeback", lambda m: kpis.skill_table(m.fact, CFG).select("skill_level", "work_orders", "comeback_rate", "qc_first_pass_rate"), digits=6)
 add("appt_rates", lambda m: kpis.appointment_rates(m.appts, ["center_name", "month"]), digits=6)
 add("cancellation_by_lead", lambda m: kpis.cancellation_by(m.appts, "lead_time_band", LEAD_BANDS), digits=6)
 add("reason_share", lambda m: kpis.cancellation_reasons(m.appts), digits=6)
-add("centre_scorecard", lambda m: kpis.centre_scorecard(m.fact, m.appts, m.load, CFG), digits=6)
-add("index_vs_average", lambda m: kpis.index_against_average(kpis.centre_scorecard(m.fact, m.appts, m.load, CFG)), digits=6)
+add("centre_scorecard", lambda m: kpis.centre_scorecard(m.stored, m.appts, m.load, CFG), digits=6)
+add("index_vs_average", lambda m: kpis.index_against_average(kpis.centre_scorecard(m.stored, m.appts, m.load, CFG)), digits=6)
 add("utilisation_by", lambda m: kpis.utilisation_by(m.load, ["center_name"]), digits=6)
 add("technician_scorecard", lambda m: kpis.technician_scorecard(m.fact, m.tech, CFG), digits=6)
 add("util_matrix", lambda m: kpis.utilisation_matrix(m.load, CFG.months), digits=6)
@@ -295,16 +300,16 @@ add("extremes", lambda m: shape.extremes(kpis.appointment_rates(m.appts, ["cente
 
 
 def _scorecard(m: Model) -> DataFrame:
-    return kpis.centre_scorecard(m.fact, m.appts, m.load, CFG)
+    return kpis.centre_scorecard(m.stored, m.appts, m.load, CFG)
 
 
 add("insight_executive", lambda m: insights.executive(_scorecard(m)), digits=6)
 add("insight_operations", lambda m: insights.operations(
-    kpis.group_kpis(m.fact, ["center_name"], CFG), kpis.wait_by_weekday(m.fact)), digits=6)
+    kpis.group_kpis(m.stored, ["center_name"], CFG), kpis.wait_by_weekday(m.stored)), digits=6)
 add("insight_financial", lambda m: insights.financial(
-    kpis.group_kpis(m.fact, ["service_type"], CFG), kpis.group_kpis(m.fact, ["month"], CFG)), digits=6)
+    kpis.group_kpis(m.stored, ["service_type"], CFG), kpis.group_kpis(m.stored, ["month"], CFG)), digits=6)
 add("insight_customer", lambda m: insights.customer(
-    kpis.group_kpis(m.fact, ["center_name"], CFG), kpis.cancellation_by(m.appts, "lead_time_band")), digits=6)
+    kpis.group_kpis(m.stored, ["center_name"], CFG), kpis.cancellation_by(m.appts, "lead_time_band")), digits=6)
 
 # ---- slicers ------------------------------------------------------------------------
 CHOSEN = filters.select(
@@ -349,7 +354,7 @@ add("load_band_profile", lambda m: metrics.load_band_profile(metrics.attach_load
 add("overloaded_share", lambda m: metrics.overloaded_share(m.daily, CFG), digits=6)
 add("weekday_profile", lambda m: metrics.weekday_profile(m.fs("on_time_flag wait_hours rating"), m.fa), digits=6)
 add("carry_over", lambda m: metrics.carry_over(m.fs("center_id parts_delay_flag on_time_flag check_in_time end_time")), digits=6)
-add("process_stages", lambda m: metrics.process_stages(m.fs(), m.fa, m.tables["feedback"], CFG), digits=6)
+add("process_stages", lambda m: metrics.process_stages(metrics.with_calendar(m.stored), m.fa, m.tables["feedback"], CFG), digits=6)
 add("parts_lines", lambda m: m.lines.groupBy("center_id", "part_category").agg(
     F.count(F.lit(1)).alias("lines"), F.sum("line_cost").alias("line_cost")))
 add("parts_delay_cat", lambda m: metrics.parts_delay_by_category(m.lines), digits=6)
@@ -498,10 +503,10 @@ add("table_diff", lambda m: explore.table_diff(
 
 # ---- semantic measures and visuals ----------------------------------------------------------
 def bi(m: Model, names, dims=(), filtered: bool = False) -> dict[str, DataFrame]:
-    """Fact tables of the semantic model, with only the job columns that are needed."""
+    """Fact tables of the semantic model, with only the job columns that are needed, stored once."""
     jobs = m.jobs(measures.fact_columns(names, dims, filtered))
     return {
-        "fact": measures.fill_unassigned(jobs),
+        "fact": measures.fill_unassigned(settle_table(jobs)),
         "appts": m.appts,
         "tech": measures.fill_unassigned(m.load),
         "usage": m.tables["part_usage"],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def running(c: str, *order) -> F.Column:
 
 def q01(t: Tables, cfg: Config) -> DataFrame:
     """Headline scorecard in long form."""
-    s = V.kpi_summary(t, V.work_order_enriched(t, cfg), V.appointment_enriched(t), cfg)
+    s = V.kpi_summary(t, partial(V.work_order_enriched, t, cfg), V.appointment_enriched(t), cfg)
     hundred = {
         "profit_margin", "on_time_rate", "cost_overrun_rate", "cancellation_rate", "no_show_rate",
         "technician_utilisation", "csat_rate", "repeat_visit_rate", "comeback_rate",
@@ -206,7 +207,7 @@ def q05(t: Tables, cfg: Config) -> DataFrame:
 
 def q06(t: Tables, cfg: Config) -> DataFrame:
     """Service types by revenue, with shares."""
-    s = V.service_type_performance(V.work_order_enriched(t, cfg))
+    s = V.service_type_performance(V.work_order_enriched(t, cfg, V.SERVICE_INPUT))
     return s.select(
         "service_type", "work_orders", "revenue", "profit",
         percentage(F.col("profit_margin")).alias("profit_margin_pct"),
@@ -443,8 +444,7 @@ def q13(t: Tables, cfg: Config) -> DataFrame:
 
 def q14(t: Tables, cfg: Config) -> DataFrame:
     """Balanced centre ranking. All windows run over one row per centre."""
-    enriched, appts = V.work_order_enriched(t, cfg), V.appointment_enriched(t)
-    c = V.center_performance(t, enriched, appts, cfg)
+    c = V.center_performance(t, partial(V.work_order_enriched, t, cfg), V.appointment_enriched(t), cfg)
 
     def pct(name: str, better_high: bool):
         col = F.col(name)
@@ -524,7 +524,7 @@ def q15(t: Tables, cfg: Config) -> DataFrame:
 def q16(t: Tables, cfg: Config) -> DataFrame:
     """Quality by skill level, jobs without a technician left out."""
     cut = (
-        V.work_order_enriched(t, cfg)
+        jobs(t, cfg, "skill_level technician_id caused_comeback qc_passed_first_time duration_variance_hours on_time_flag rating profit")
         .where(F.col("skill_level").isNotNull())
         .groupBy("skill_level")
         .agg(

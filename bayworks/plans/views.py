@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -201,6 +204,22 @@ def monthly_financials(enriched: DataFrame) -> DataFrame:
     )
 
 
+# Columns that the summaries below read from the enriched jobs.
+JOB_INPUT = set(
+    "revenue total_cost profit on_time_flag turnaround_hours wait_hours cost_variance cost_overrun_flag "
+    "duration_variance_hours parts_delay_flag qc_passed_first_time caused_comeback rating".split()
+)
+CENTRE_INPUT = JOB_INPUT | {"center_id"}
+SERVICE_INPUT = JOB_INPUT | {"service_type"}
+VISIT_INPUT = {"customer_id", "customer_type", "customer_region"}
+CUSTOMER_INPUT = VISIT_INPUT | {"vehicle_id", "service_date", "revenue", "rating", "is_comeback"}
+HOURS_INPUT = {"technician_id", "actual_hours"}
+TECHNICIAN_INPUT = HOURS_INPUT | {
+    "on_time_flag", "qc_passed_first_time", "caused_comeback", "duration_variance_hours", "rating",
+}
+Jobs = Callable[[set[str]], DataFrame]
+
+
 def technician_utilisation(t: Tables, enriched: DataFrame, cfg: Config) -> DataFrame:
     """Whole-period load per technician; idle technicians stay with zero jobs.
 
@@ -241,9 +260,9 @@ def technician_utilisation(t: Tables, enriched: DataFrame, cfg: Config) -> DataF
     )
 
 
-def center_performance(t: Tables, enriched: DataFrame, appts: DataFrame, cfg: Config) -> DataFrame:
-    """Centre scorecard from three pre-aggregated inputs."""
-    jobs = enriched.groupBy("center_id").agg(
+def center_performance(t: Tables, jobs_with: Jobs, appts: DataFrame, cfg: Config) -> DataFrame:
+    """Centre scorecard from three pre-aggregated inputs, each with the columns it needs."""
+    jobs = jobs_with(CENTRE_INPUT).groupBy("center_id").agg(
         F.count(F.lit(1)).alias("work_orders"),
         F.sum("revenue").alias("_rev"),
         F.sum("total_cost").alias("_cost"),
@@ -265,14 +284,12 @@ def center_performance(t: Tables, enriched: DataFrame, appts: DataFrame, cfg: Co
         R(share("is_cancelled"), 4).alias("cancellation_rate"),
         R(share("is_no_show"), 4).alias("no_show_rate"),
     )
-    capacity = (
-        technician_utilisation(t, enriched, cfg)
-        .groupBy("center_id")
-        .agg(
-            F.count(F.lit(1)).alias("technicians"),
-            R(ratio(F.sum("service_hours"), F.sum("available_hours")), 4).alias("utilisation"),
-        )
-    )
+    used = jobs_with(HOURS_INPUT).where("technician_id is not null").groupBy("technician_id").agg(F.sum("actual_hours").alias("_h"))
+    heads = F.count(F.lit(1))
+    capacity = t["technicians"].select("technician_id", "center_id").join(used, "technician_id", "left").groupBy("center_id").agg(
+        heads.alias("technicians"),
+        R(ratio(F.coalesce(F.sum("_h"), F.lit(0)), heads * (cfg.working_days * cfg.productive_hours)), 4).alias("utilisation"),
+    )
     return (
         t["service_centers"]
         .join(jobs, "center_id", "left")
@@ -341,9 +358,9 @@ def customer_repeat(enriched: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
-def kpi_summary(t: Tables, enriched: DataFrame, appts: DataFrame, cfg: Config) -> DataFrame:
-    """Single-row headline: four one-row aggregates side by side."""
-    jobs = enriched.agg(
+def kpi_summary(t: Tables, jobs_with: Jobs, appts: DataFrame, cfg: Config) -> DataFrame:
+    """Single-row headline: four one-row aggregates side by side, each from lean jobs."""
+    jobs = jobs_with(JOB_INPUT).agg(
         F.count(F.lit(1)).alias("work_orders"),
         F.sum("revenue").alias("total_revenue"),
         F.sum("total_cost").alias("total_cost"),
@@ -373,7 +390,7 @@ def kpi_summary(t: Tables, enriched: DataFrame, appts: DataFrame, cfg: Config) -
         R(ratio(F.count_if("is_no_show"), F.count(F.lit(1))), 4).alias("no_show_rate"),
     )
     # Only the visit count is needed per customer, not the whole customer view.
-    visits = enriched.groupBy("customer_id", "customer_type", "customer_region").agg(
+    visits = jobs_with(VISIT_INPUT).groupBy("customer_id", "customer_type", "customer_region").agg(
         F.count(F.lit(1)).alias("n")
     )
     repeat = F.count_if(F.col("n") >= cfg.repeat_min_orders)
@@ -386,7 +403,7 @@ def kpi_summary(t: Tables, enriched: DataFrame, appts: DataFrame, cfg: Config) -
     staff = t["technicians"].join(t["service_centers"].select("center_id"), "center_id", "left_semi")
     headcount = staff.agg(F.count(F.lit(1)).alias("_heads"))
     hours = (
-        enriched.where(F.col("technician_id").isNotNull())
+        jobs_with(HOURS_INPUT).where(F.col("technician_id").isNotNull())
         .groupBy("technician_id")
         .agg(F.sum("actual_hours").alias("h"))
         .join(staff.select("technician_id"), "technician_id", "left_semi")
@@ -408,16 +425,16 @@ VIEWS = {
         work_order_enriched(t, cfg, MONTHLY_INPUT)
     ),
     "vw_technician_utilisation": lambda spark, t, cfg: technician_utilisation(
-        t, work_order_enriched(t, cfg), cfg
+        t, work_order_enriched(t, cfg, TECHNICIAN_INPUT), cfg
     ),
     "vw_center_performance": lambda spark, t, cfg: center_performance(
-        t, work_order_enriched(t, cfg), appointment_enriched(t), cfg
+        t, partial(work_order_enriched, t, cfg), appointment_enriched(t), cfg
     ),
-    "vw_service_type_performance": lambda spark, t, cfg: service_type_performance(work_order_enriched(t, cfg)),
+    "vw_service_type_performance": lambda spark, t, cfg: service_type_performance(work_order_enriched(t, cfg, SERVICE_INPUT)),
     "vw_appointment_funnel": lambda spark, t, cfg: appointment_funnel(appointment_enriched(t)),
-    "vw_customer_repeat": lambda spark, t, cfg: customer_repeat(work_order_enriched(t, cfg), cfg),
+    "vw_customer_repeat": lambda spark, t, cfg: customer_repeat(work_order_enriched(t, cfg, CUSTOMER_INPUT), cfg),
     "vw_kpi_summary": lambda spark, t, cfg: kpi_summary(
-        t, work_order_enriched(t, cfg), appointment_enriched(t), cfg
+        t, partial(work_order_enriched, t, cfg), appointment_enriched(t), cfg
     ),
 }
 
