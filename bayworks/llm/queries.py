@@ -61,7 +61,8 @@ def op9_toxicity(spark, folder):
 
 def op10_quality_rules(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return host_rules.judge(docs).select("doc_id", "verdict.*")
+    found = host_rules.judge(docs).select("doc_id", "verdict.*")
+    return found.withColumn("host_rate", F.round("host_rate", 6))
 
 
 QUERIES = {
@@ -76,4 +77,54 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+ORACLE_SQL: dict[str, str] = {
+    "op5_tool_calls": rf"""
+WITH calls AS (
+  SELECT conv_id, turn, role, text, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id,
+    len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS words
+  FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
+results AS (
+  SELECT conv_id, turn, text, conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id
+  FROM conversations WHERE role = 'assistant'),
+judged AS (
+  SELECT c.*, r.call_id IS NOT NULL AS answered, r.text AS result,
+    CASE WHEN role IS NULL OR role NOT IN ('user', 'system') THEN 'unknown tool' WHEN c.text IS NULL THEN 'missing text'
+         WHEN c.text = '' THEN 'text breaks minLength' ELSE '' END AS errors
+  FROM calls c LEFT JOIN results r USING (call_id))
+SELECT conv_id, call_id, turn, turn AS step, role AS tool, CASE WHEN answered THEN 'linked' ELSE 'unanswered' END AS status,
+  errors = '' AS valid, errors,
+  '{{"arguments":{{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) || ',' END || '"words":' || words || '}},"call_id":"'
+    || call_id || '"' || CASE WHEN result IS NULL THEN '' ELSE ',"result":' || to_json(result) END || ',"step":' || turn
+    || CASE WHEN role IS NULL THEN '' ELSE ',"tool":' || to_json(role) END || '}}' AS line
+FROM judged
+UNION ALL
+SELECT conv_id, call_id, turn, NULL, NULL, 'orphan', NULL, NULL,
+  '{{"call_id":"' || call_id || '"' || CASE WHEN text IS NULL THEN '' ELSE ',"result":' || to_json(text) END || '}}'
+FROM results WHERE call_id NOT IN (SELECT call_id FROM calls)""",
+    "op10_quality_rules": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+wins AS (
+  SELECT rid, pos, ws[pos:pos + 4] AS w FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS pos FROM d WHERE len(ws) >= 5)),
+twice AS (SELECT rid, w FROM wins GROUP BY rid, w HAVING count(*) > 1),
+covered AS (
+  SELECT rid, count(DISTINCT pos + k) AS n FROM wins JOIN twice USING (rid, w) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(k) GROUP BY rid),
+counted AS (
+  SELECT d.*, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN covered c USING (rid)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
+hosts AS (
+  SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
+prior AS (
+  SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n))
+    - (sum(f) / sum(n)) * (1 - sum(f) / sum(n)) * (count(*) - 1) / sum(n) AS b FROM hosts),
+shrunk AS (SELECT m, CASE WHEN b > 0 THEN least(greatest(m * (1 - m) / b - 1, 1), 1e6) ELSE 1e6 END AS k FROM prior),
+rates AS (SELECT source, (f + k * m) / (n + k) AS rate FROM hosts, shrunk)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words,
+  base_failed, round(rate, 6) AS host_rate, NOT base_failed AND coalesce(rate <= 0.5, TRUE) AS kept
+FROM judged LEFT JOIN rates USING (source)""",
+}
