@@ -14,11 +14,21 @@ from pyspark.sql import functions as F
 
 from bayworks.session import settle
 
-BUCKETS = 64
+LEAST_BUCKETS, MOST_BUCKETS = 64, 2048
 
 
-def split_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> list:
-    """Approximate quantiles of ``value``: at most ``buckets`` numbers reach the driver."""
+def bucket_count(df: DataFrame) -> int:
+    """Twice as many buckets as the session has shuffle partitions, so that they grow with the cluster.
+
+    The upper bound keeps the comparison tree small; it bounds tasks, not rows or results.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(2 * partitions, LEAST_BUCKETS), MOST_BUCKETS)
+
+
+def split_points(df: DataFrame, value: str, buckets: int | None = None) -> list:
+    """Approximate quantiles of ``value``: one number for each bucket reaches the driver."""
+    buckets = buckets or bucket_count(df)
     probs = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(value, probs, 10_000).alias("p")).first()
     return [p for p in (row["p"] or []) if p is not None]

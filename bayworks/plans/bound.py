@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from functools import cached_property
@@ -15,12 +16,14 @@ from bayworks.functions.scalars import band, parse_datetime, rounded_to
 from bayworks.config import LEAD_BANDS, TURNAROUND_EDGES
 from bayworks.operators import clean, filters, shape, validate
 from bayworks.plans import explore, facts, insights, kpis, measures, metrics, quality, reports, stats, views, whatif
-from bayworks.session import configure, settle, settle_table
+from bayworks.session import configure, scratch_folder, settle_table
 from bayworks.sources import binding, defects, files, schemas
 
 CFG = binding.BOUND_CONFIG
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: The same results for a model at hand, which may share what it has stored.
+RESULTS: dict[str, Callable[[Model], DataFrame]] = {}
 TECH_INPUT = "technician_id month actual_hours qc_passed_first_time caused_repeat_visit"
 
 
@@ -136,13 +139,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def add(name: str, build: Callable[[Model], DataFrame], *columns: str, digits: int | None = None) -> None:
     """Register a query; ``columns`` narrows the result, ``digits`` rounds its doubles."""
 
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        df = build(Model(spark, folder))
+    def finish(m: Model) -> DataFrame:
+        df = build(m)
         df = df.select(*columns) if columns else df
         return present(df) if digits is None else rounded(df, digits)
 
     assert name not in QUERIES, name
-    QUERIES[name] = run
+    RESULTS[name] = finish
+    QUERIES[name] = lambda spark, folder: finish(Model(spark, folder))
 
 
 # ---- facts and views ------------------------------------------------------------
@@ -562,6 +566,8 @@ add("prev_month", lambda m: measures.previous_month(measures.previous_month(_mon
 add("prior_year", lambda m: measures.prior_year(measures.prior_year(_monthly(m), "total_revenue"), "profit"), digits=6)
 add("ytd", lambda m: measures.year_to_date(_monthly(m), "total_revenue"), digits=6)
 add("perf_index", lambda m: measures.performance_index(bi(m, measures.INDEX_INPUTS, ["center_name"]), CFG), digits=6)
+add("centre_ranking", lambda m: measures.centre_ranking(
+    bi(m, {*measures.INDEX_INPUTS, *measures.RANKING}, ["center_name"]), CFG), digits=6)
 add("centre_colours", lambda m: measures.centre_colours(bi(m, ["on_time_pct", "profit"], ["center_name"]), CFG))
 add("skill_colours", lambda m: measures.technician_dimension(m.staff, CFG).groupBy(
     "skill_level", measures.colour_skill(F.col("skill_level")).alias("colour")).agg(F.count(F.lit(1)).alias("technicians")))
@@ -587,12 +593,48 @@ add("sort_key", lambda m: measures.sort_keys(
 
 # ---- load verification, business hours ------------------------------------------------------
 def _load_verify(m: Model) -> DataFrame:
-    """Ordered load into the shared scratch folder, counted on both sides."""
+    """Ordered load into the shared scratch folder; the written tables are read back and counted."""
     tables = {n: m.tables[n] for n in schemas.LOAD_ORDER}
-    return files.verify_counts(tables, {n: settle(df) for n, df in tables.items()})
+    target = f"{scratch_folder(m.spark)}/load-{uuid.uuid4().hex}"
+    files.write_tables(tables, target, schemas.LOAD_ORDER)
+    return files.verify_counts(tables, files.load_cleaned(m.spark, target, schemas.LOAD_ORDER))
 
 
 add("load_verify", _load_verify)
+METRICS = (
+    "service_scorecard", "cancellation_diag", "cancellation_lead_diag", "centre_diag", "monthly_diag", "yoy", "load_band_profile",
+    "overloaded_share", "weekday_profile", "carry_over", "process_stages", "parts_delay_cat", "parts_delay_cat_centre",
+    "parts_delay_impact", "abc_summary", "safety_stock", "skill_profile", "technician_diag", "rework_cost", "overrun_drivers",
+    "reasons_by_centre", "technician_monthly_cost",
+)
+
+
+class SharedModel(Model):
+    """A model whose job facts, daily load and part lines are built once and stored."""
+
+    def jobs(self, columns: str) -> DataFrame:
+        return self.stored
+
+    def fs(self, columns: str | None = None) -> DataFrame:
+        return metrics.with_calendar(self.stored)
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        return settle_table(metrics.daily_load(self.fs(), self.staff, CFG))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return settle_table(metrics.parts_lines(self.fs(), self.tables["part_usage"], self.tables["parts"]))
+
+
+def compute_all(m: Model, target: str, names=METRICS) -> DataFrame:
+    """Write every result to ``target`` from shared inputs; (name, rows) of what was written."""
+    shared = SharedModel(m.spark, m.folder)
+    written = files.save_parquet({n: RESULTS[n](shared) for n in names}, target)
+    return validate.union_all([files.row_count(df, n, "rows").withColumnRenamed("table", "name") for n, df in written.items()])
+
+
+add("metrics_job", lambda m: compute_all(m, f"{scratch_folder(m.spark)}/metrics-{uuid.uuid4().hex}"))
 add("business_hours", lambda m: m.tables["work_orders"].select(
     "work_order_id",
     shopclock.align_to_open("end_time", CFG).alias("next_open"),

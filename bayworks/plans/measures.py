@@ -269,6 +269,17 @@ def usage_lines(usage: DataFrame, parts: DataFrame, fact: DataFrame) -> DataFram
     return priced.join(fact, "work_order_id").withColumn("line_cost", value)
 
 
+def _full(left: DataFrame, right: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Full join in which a null member of one table meets the null member of the other."""
+    other = right.withColumnsRenamed({d: f"_r_{d}" for d in dims})
+    same = F.lit(True)
+    for d in dims:
+        same = same & F.col(d).eqNullSafe(F.col(f"_r_{d}"))
+    keys = [F.coalesce(d, f"_r_{d}").alias(d) for d in dims]
+    rest = [c for c in (*left.columns, *right.columns) if c not in dims]
+    return left.join(other, same, "full").select(*keys, *rest)
+
+
 def evaluate(facts: Facts, names: Sequence[str], dims: Sequence[str], cfg: Config, filters: Selection | None = None) -> DataFrame:
     """One row per dimension member with the named measures."""
     sliced = apply_slicers(facts, filters) if filters else dict(facts)
@@ -291,7 +302,7 @@ def evaluate(facts: Facts, names: Sequence[str], dims: Sequence[str], cfg: Confi
         if len(used) < len(dims):
             loose.append((cut, used))
         else:
-            out = cut if out is None else (out.join(cut, list(dims), "full") if dims else out.crossJoin(F.broadcast(cut)))
+            out = cut if out is None else (_full(out, cut, dims) if dims else out.crossJoin(F.broadcast(cut)))
     for cut, used in loose:  # tables that do not know every dimension repeat their value
         out = cut if out is None else (out.join(cut, used, "left") if used else out.crossJoin(F.broadcast(cut)))
     return out.select(*dims, *names)
@@ -365,6 +376,19 @@ def performance_index(facts: Facts, cfg: Config, filters: Selection | None = Non
     return out.withColumn("centre_rank", F.rank().over(Window.orderBy(F.desc("performance_index"))))
 
 
+RANKING = (
+    "completed_services", "total_revenue", "profit_margin_pct", "on_time_pct", "avg_turnaround_hours", "avg_rating",
+    "cancellation_rate",
+)
+
+
+def centre_ranking(facts: Facts, cfg: Config, filters: Selection | None = None) -> DataFrame:
+    """The ranking table: each centre's place with the measures shown beside it."""
+    place = performance_index(facts, cfg, filters).select("centre_rank", "center_name")
+    values = evaluate(facts, RANKING, ["center_name"], cfg, filters)
+    return place.join(values, "center_name").select("centre_rank", "center_name", *RANKING).orderBy("centre_rank", "center_name")
+
+
 def inr_short(v: Column) -> Column:
     """Rupees in crore / lakh text, '-' when blank."""
     x, size = v.cast("double"), F.abs(v.cast("double"))

@@ -73,6 +73,13 @@ def write_csv(tables: Mapping[str, DataFrame], base: str) -> None:
         )
 
 
+def save_parquet(results: Mapping[str, DataFrame], base: str) -> dict[str, DataFrame]:
+    """Write one folder per result and return what was written, read back."""
+    for name, df in results.items():
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+    return {name: df.sparkSession.read.parquet(f"{base}/{name}") for name, df in results.items()}
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

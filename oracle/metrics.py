@@ -313,4 +313,8 @@ M["column_profile"] = " UNION ALL ".join(
 _V = "vehicle_id, customer_id, model, model_year"
 M["table_diff"] = f"""WITH a AS (SELECT {_V} FROM s_vehicles), b AS (SELECT {_V} FROM c_vehicles), l AS (SELECT count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)), r AS (SELECT count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
 SELECT l.n AS only_left, r.n AS only_right, l.n + r.n = 0 AS identical FROM l, r"""
+_JOB = """service_scorecard cancellation_diag cancellation_lead_diag centre_diag monthly_diag yoy load_band_profile overloaded_share weekday_profile carry_over
+  process_stages parts_delay_cat parts_delay_cat_centre parts_delay_impact abc_summary safety_stock skill_profile technician_diag rework_cost overrun_drivers
+  reasons_by_centre technician_monthly_cost"""
+M["metrics_job"] = " UNION ALL ".join(f"SELECT '{n}' AS name, (SELECT count(*) FROM ({M[n]})) AS rows" for n in _JOB.split())
 SQL = {k: query(v) for k, v in M.items()}

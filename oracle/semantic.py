@@ -217,4 +217,5 @@ SELECT strftime(d.day, '%Y-%m-%d') AS day, d.n AS events, round(d.v::DOUBLE, 6)
 S["events_monthly"] = f"""WITH m AS (SELECT date_trunc('month', ts)::DATE AS ms, count(*) AS n, sum(value::DECIMAL(14,2)) AS v FROM events GROUP BY 1)
 SELECT strftime(a.ms, '{MK}') AS month_start, a.n AS events, a.v::DOUBLE AS value, b.v::DOUBLE AS value_pm, {r(div('a.v - b.v', 'b.v'))} AS value_mom_pct FROM m a LEFT JOIN m b ON b.ms + INTERVAL 1 MONTH = a.ms"""
 S["events_bands"] = "SELECT event_type, CASE WHEN value <= 1 THEN '<=1' WHEN value <= 5 THEN '1-5' WHEN value <= 10 THEN '5-10' WHEN value <= 50 THEN '10-50' ELSE '>50' END AS value_band, count(*) AS events FROM events GROUP BY 1, 2"
+S["centre_ranking"] = f"""SELECT p.centre_rank, v.* FROM ({S['perf_index']}) p JOIN ({visual('center_name', 'completed_services total_revenue profit_margin_pct on_time_pct avg_turnaround_hours avg_rating cancellation_rate')}) v USING (center_name)"""
 SQL = {k: query(v) for k, v in S.items()}
