@@ -43,6 +43,45 @@ class Entry:
     action: str
 
 
+# ---- fixed values: issue and action texts of the log, as published -------------
+LOG_TEXTS = {
+    "DQ01 *": ("Exact duplicate rows", "Removed"),
+    "DQ02 key": ("Duplicate primary key with conflicting values", "Kept first occurrence"),
+    "DQ03 region": ("Case/whitespace variants", "Standardised to canonical region"),
+    "DQ03 model": ("Model name variants", "Mapped to canonical model name"),
+    "DQ15 model_year": ("Model year before model launch or after purchase", "Imputed from purchase_date year"),
+    "DQ16 mileage_km": ("Negative or > {max_km_per_day} km/day since purchase", "Set to null (excluded from mileage analysis)"),
+    "DQ20 status": ("Status spelling/case variants", "Mapped to Completed/Cancelled/No-Show"),
+    "DQ04 scheduled_date": ("DD/MM/YYYY format mixed with ISO", "Parsed to ISO date"),
+    "DQ05 scheduled_date": ("Unparseable or outside reporting period", "Removed"),
+    "DQ05 booking_date": ("Booking after scheduled date", "Capped at scheduled date"),
+    "DQ06 vehicle_id": ("Vehicle not in vehicle master (orphan FK)", "Removed with dependent rows"),
+    "DQ07 center_id": ("Missing service centre", "Imputed from assigned technician's centre"),
+    "DQ07 center_id again": ("Missing service centre with no technician to infer from", "Removed"),
+    "DQ03 service_type": ("Case/whitespace variants", "Standardised to canonical service type"),
+    "DQ08 start_time/end_time": ("End time earlier than start time", "Treated as transposed entry and swapped"),
+    "DQ09 start_time": ("Missing start time", "Retained; wait_hours null and excluded from wait KPIs"),
+    "DQ10 technician_id": ("Technician missing or not in technician master", "Set to null; kept for financial KPIs, excluded from technician KPIs"),
+    "DQ17 quantity": ("Zero or negative quantity", "Removed"),
+    "DQ17 part_id": ("Part not in parts master", "Removed"),
+    "DQ11 amount": ("Negative amount", "Sign-entry error: converted to absolute value"),
+    "DQ12 parts_cost": ("Missing parts cost", "Recomputed from part_usage x unit_cost"),
+    "DQ13 revenue": ("Revenue > {revenue_shift_ratio}x job cost and > INR {revenue_shift_floor:,}", "Decimal-place entry error: divided by 100"),
+    "DQ19 parts_cost": ("Parts cost differs from sum of part_usage lines", "Reported only; financials kept as billing system of record"),
+    "DQ14 rating": ("Missing rating", "Removed"),
+    "DQ14 rating again": ("Rating outside 1-5 scale", "Removed"),
+    "DQ02 work_order_id": ("More than one feedback per work order", "Kept first"),
+}
+CASCADE = "Removed (cascade)"
+# --------------------------------------------------------------------------------
+
+
+def log_entry(key: str, column: str, cfg: Config | None = None) -> Entry:
+    """The log entry of a rule; the key names rule and column, numbers come from ``cfg``."""
+    issue, action = LOG_TEXTS[key]
+    return Entry(key.split()[0], column, issue.format(**vars(cfg)) if cfg else issue, action)
+
+
 @dataclass
 class Cleaned:
     """Clean rows and the pending log of one table."""
@@ -89,7 +128,7 @@ class Stage:
             .agg((F.count(F.lit(1)) - 1).alias("_h0"), *order)
             .withColumn("_alive", F.lit(True))
         )
-        self.notes.append((Entry("DQ01", "*", "Exact duplicate rows", "Removed"), "_h0"))
+        self.notes.append((log_entry("DQ01 *", "*"), "_h0"))
 
     def note(self, entry: Entry, condition: Column) -> Column:
         """Record a rule hit on the rows still kept and return it as a condition."""
@@ -114,14 +153,12 @@ class Stage:
 
     def cascade(self, column: str, parent: DataFrame, key: str, issue: str) -> Stage:
         self.lookup(column, parent, key, "_found")
-        return self.remove(Entry("DQ18", column, issue, "Removed (cascade)"), F.col("_found").isNull())
+        return self.remove(Entry("DQ18", column, issue, CASCADE), F.col("_found").isNull())
 
     def keep_first(self, key: str | None = None, entry: Entry | None = None) -> Stage:
         """Fold by key: first surviving row per key, hit counts, number of extra rows."""
         key = key or self.key
-        entry = entry or Entry(
-            "DQ02", key, "Duplicate primary key with conflicting values", "Kept first occurrence"
-        )
+        entry = entry or log_entry("DQ02 key", key)
         rest = F.struct(*([_ORD] if self.ordered else []), *[c for c in self.names if c != key])
         alive = F.col("_alive") if "_alive" in self.df.columns else F.lit(True)
         folded = self.store(
@@ -168,7 +205,7 @@ def clean_customers(raw: DataFrame, cfg: Config, store: Store = as_is) -> Cleane
     s = Stage(raw, "customers", store)
     s.set(_region=canonical_label("region", cfg.regions))
     s.note(
-        Entry("DQ03", "region", "Case/whitespace variants", "Standardised to canonical region"),
+        log_entry("DQ03 region", "region"),
         changed(F.col("region"), F.col("_region")),
     )
     s.set(
@@ -184,7 +221,7 @@ def clean_vehicles(raw: DataFrame, cfg: Config, store: Store = as_is) -> Cleaned
     c = F.col
     s.set(_model=alias_lookup("model", cfg.model_aliases))
     s.note(
-        Entry("DQ03", "model", "Model name variants", "Mapped to canonical model name"),
+        log_entry("DQ03 model", "model"),
         changed(c("model"), c("_model")),
     )
     s.set(model=c("_model"), purchase_date=F.to_date(parse_datetime("purchase_date")))
@@ -198,16 +235,14 @@ def clean_vehicles(raw: DataFrame, cfg: Config, store: Store = as_is) -> Cleaned
         | flag(c("model_year") > cfg.period_end.year)
     )
     hit = s.note(
-        Entry("DQ15", "model_year", "Model year before model launch or after purchase",
-              "Imputed from purchase_date year"),
+        log_entry("DQ15 model_year", "model_year"),
         bad_year,
     )
     s.set(model_year=F.when(hit, bought).otherwise(c("model_year")).cast("smallint"))
     limit = F.greatest(F.datediff(F.lit(cfg.period_end), c("purchase_date")), F.lit(1)) * cfg.max_km_per_day
     bad_km = flag(c("mileage_km") < 0) | (c("purchase_date").isNotNull() & flag(c("mileage_km") > limit))
     hit = s.note(
-        Entry("DQ16", "mileage_km", f"Negative or > {cfg.max_km_per_day} km/day since purchase",
-              "Set to null (excluded from mileage analysis)"),
+        log_entry("DQ16 mileage_km", "mileage_km", cfg),
         bad_km,
     )
     s.set(mileage_km=F.when(~hit, c("mileage_km")))
@@ -238,38 +273,38 @@ def clean_appointments(
     c = F.col
     s.set(_status=alias_lookup("status", cfg.status_aliases))
     s.note(
-        Entry("DQ20", "status", "Status spelling/case variants", "Mapped to Completed/Cancelled/No-Show"),
+        log_entry("DQ20 status", "status"),
         changed(c("status"), c("_status")),
     )
     s.set(status=c("_status"), _iso=iso_timestamp("scheduled_date"), _when=parse_datetime("scheduled_date"))
     s.note(
-        Entry("DQ04", "scheduled_date", "DD/MM/YYYY format mixed with ISO", "Parsed to ISO date"),
+        log_entry("DQ04 scheduled_date", "scheduled_date"),
         c("_iso").isNull() & c("_when").isNotNull(),
     )
     s.set(scheduled_date=F.to_date("_when"), booking_date=F.to_date(parse_datetime("booking_date")))
     inside = flag(c("scheduled_date").between(F.lit(cfg.period_start), F.lit(cfg.period_end)))
     s.remove(
-        Entry("DQ05", "scheduled_date", "Unparseable or outside reporting period", "Removed"), ~inside
+        log_entry("DQ05 scheduled_date", "scheduled_date"), ~inside
     )
     s.note(
-        Entry("DQ05", "booking_date", "Booking after scheduled date", "Capped at scheduled date"),
+        log_entry("DQ05 booking_date", "booking_date"),
         c("booking_date") > c("scheduled_date"),
     )
     capped = F.when(c("booking_date").isNotNull(), F.least("booking_date", "scheduled_date"))
     s.set(booking_date=capped)
     s.lookup("vehicle_id", vehicles, "vehicle_id", "_vehicle")
     s.remove(
-        Entry("DQ06", "vehicle_id", "Vehicle not in vehicle master (orphan FK)", "Removed with dependent rows"),
+        log_entry("DQ06 vehicle_id", "vehicle_id"),
         c("_vehicle").isNull(),
     )
     s.df = s.df.join(technician_centre(raw_jobs, technicians), c("appointment_id") == c("_appt"), "left")
     s.note(
-        Entry("DQ07", "center_id", "Missing service centre", "Imputed from assigned technician's centre"),
+        log_entry("DQ07 center_id", "center_id"),
         c("center_id").isNull() & c("_centre").isNotNull(),
     )
     s.set(center_id=F.coalesce("center_id", "_centre"))
     s.remove(
-        Entry("DQ07", "center_id", "Missing service centre with no technician to infer from", "Removed"),
+        log_entry("DQ07 center_id again", "center_id"),
         c("center_id").isNull(),
     )
     for name in ("booking_channel", "requested_service_type", "cancellation_reason"):
@@ -296,7 +331,7 @@ def clean_work_orders(
     spelled = F.lower(normalise_text("service_type"))
     s.df = s.df.join(canonical_service_types(appointments), spelled == c("_lower"), "left")
     s.note(
-        Entry("DQ03", "service_type", "Case/whitespace variants", "Standardised to canonical service type"),
+        log_entry("DQ03 service_type", "service_type"),
         changed(c("service_type"), c("_canon")),
     )
     s.set(service_type=c("_canon"))
@@ -306,8 +341,7 @@ def clean_work_orders(
         "appointment_id", appointments, "appointment_id", "Parent appointment removed or missing"
     )
     hit = s.note(
-        Entry("DQ08", "start_time/end_time", "End time earlier than start time",
-              "Treated as transposed entry and swapped"),
+        log_entry("DQ08 start_time/end_time", "start_time/end_time"),
         c("end_time") < c("start_time"),
     )
     s.set(_start=c("start_time"))
@@ -316,14 +350,12 @@ def clean_work_orders(
         end_time=F.when(hit, c("_start")).otherwise(c("end_time")),
     )
     s.note(
-        Entry("DQ09", "start_time", "Missing start time",
-              "Retained; wait_hours null and excluded from wait KPIs"),
+        log_entry("DQ09 start_time", "start_time"),
         c("start_time").isNull(),
     )
     s.lookup("technician_id", technicians, "technician_id", "_staff")
     s.note(
-        Entry("DQ10", "technician_id", "Technician missing or not in technician master",
-              "Set to null; kept for financial KPIs, excluded from technician KPIs"),
+        log_entry("DQ10 technician_id", "technician_id"),
         c("_staff").isNull(),
     )
     s.set(technician_id=F.when(c("_staff"), c("technician_id")))
@@ -336,9 +368,9 @@ def clean_part_usage(
     raw: DataFrame, work_orders: DataFrame, parts: DataFrame, store: Store = as_is
 ) -> Cleaned:
     s = Stage(raw, "part_usage", store)
-    s.remove(Entry("DQ17", "quantity", "Zero or negative quantity", "Removed"), F.col("quantity") <= 0)
+    s.remove(log_entry("DQ17 quantity", "quantity"), F.col("quantity") <= 0)
     s.lookup("part_id", parts, "part_id", "_part")
-    s.remove(Entry("DQ17", "part_id", "Part not in parts master", "Removed"), F.col("_part").isNull())
+    s.remove(log_entry("DQ17 part_id", "part_id"), F.col("_part").isNull())
     s.cascade("work_order_id", work_orders, "work_order_id", "Parent work order removed")
     return s.keep_first().done()
 
@@ -364,29 +396,26 @@ def clean_financials(
     s.cascade("work_order_id", work_orders, "work_order_id", "Parent work order removed")
     for name in ("estimated_cost", "labor_cost", "parts_cost", "revenue"):
         s.note(
-            Entry("DQ11", name, "Negative amount", "Sign-entry error: converted to absolute value"), c(name) < 0
+            log_entry("DQ11 amount", name), c(name) < 0
         )
         s.set(**{name: F.abs(name)})
     s.df = s.df.join(usage_cost(part_usage, parts), c("work_order_id") == c("_job"), "left")
     used = F.coalesce("_usage", F.lit(0)).cast("decimal(18,2)")
     s.note(
-        Entry("DQ12", "parts_cost", "Missing parts cost", "Recomputed from part_usage x unit_cost"),
+        log_entry("DQ12 parts_cost", "parts_cost"),
         c("parts_cost").isNull(),
     )
     s.set(parts_cost=F.coalesce("parts_cost", used).cast("decimal(12,2)"))
     cost = c("labor_cost") + c("parts_cost")
     hit = s.note(
-        Entry("DQ13", "revenue",
-              f"Revenue > {cfg.revenue_shift_ratio}x job cost and > INR {cfg.revenue_shift_floor:,}",
-              "Decimal-place entry error: divided by 100"),
+        log_entry("DQ13 revenue", "revenue", cfg),
         (c("revenue") > cost * cfg.revenue_shift_ratio) & (c("revenue") > cfg.revenue_shift_floor),
     )
     s.set(
         revenue=F.when(hit, rounded_to(c("revenue") / 100, 2)).otherwise(c("revenue")).cast("decimal(12,2)")
     )
     s.note(
-        Entry("DQ19", "parts_cost", "Parts cost differs from sum of part_usage lines",
-              "Reported only; financials kept as billing system of record"),
+        log_entry("DQ19 parts_cost", "parts_cost"),
         F.abs(c("parts_cost") - used) > 1,
     )
     s.set(billing_type=normalise_text("billing_type"))
@@ -395,9 +424,9 @@ def clean_financials(
 
 def clean_feedback(raw: DataFrame, work_orders: DataFrame, store: Store = as_is) -> Cleaned:
     s = Stage(raw, "feedback", store)
-    s.remove(Entry("DQ14", "rating", "Missing rating", "Removed"), F.col("rating").isNull())
+    s.remove(log_entry("DQ14 rating", "rating"), F.col("rating").isNull())
     s.remove(
-        Entry("DQ14", "rating", "Rating outside 1-5 scale", "Removed"), ~F.col("rating").between(1, 5)
+        log_entry("DQ14 rating again", "rating"), ~F.col("rating").between(1, 5)
     )
     s.set(rating=F.col("rating").cast("smallint"))
     s.cascade("work_order_id", work_orders, "work_order_id", "Parent work order removed")
@@ -407,7 +436,7 @@ def clean_feedback(raw: DataFrame, work_orders: DataFrame, store: Store = as_is)
     )
     s.keep_first()
     s.keep_first(
-        "work_order_id", Entry("DQ02", "work_order_id", "More than one feedback per work order", "Kept first")
+        "work_order_id", log_entry("DQ02 work_order_id", "work_order_id")
     )
     return s.done()
 

@@ -444,6 +444,7 @@ def key_insights(facts: Facts, cfg: Config) -> DataFrame:
     def page(df: DataFrame, name: str, *parts: Column) -> DataFrame:
         return df.select(F.lit(name).alias("page"), F.concat(*parts).alias("insight"))
 
+    # fixed values: the sentences, as published
     return (
         page(time, "executive", low, F.lit(" has the lowest on-time rate at "), pct1(lv), F.lit(" (network "),
              pct1(F.col("_n")), F.lit(")."))
@@ -459,6 +460,7 @@ def key_insights(facts: Facts, cfg: Config) -> DataFrame:
 def selection_label(cfg: Config, chosen: Selection) -> str:
     """Centres, regions and dates of a selection as one line of text."""
 
+    # fixed values: the words of the label, as published
     def part(values: tuple[str, ...], one: str, many: str) -> str:
         if not values:
             return f"All {many}"
@@ -474,6 +476,7 @@ def report_header(facts: Facts, cfg: Config, chosen: Selection) -> DataFrame:
     """Money cards in short form, the selection label and the titles built from it."""
     money = evaluate(facts, ["total_revenue", "total_cost", "profit"], [], cfg, chosen)
     label = selection_label(cfg, chosen)
+    # fixed values: titles and footer, as published
     titles = {
         "title_trend": "Monthly revenue and profit - ",
         "title_turnaround": "Turnaround time by centre (hours) - ",

@@ -385,6 +385,7 @@ def q12(t: Tables, cfg: Config) -> DataFrame:
 def q13(t: Tables, cfg: Config) -> DataFrame:
     """Same months of two consecutive years, in long form."""
     early = cfg.compare_months
+    # fixed values: the metric labels here and in ``order`` below, as published
     served = (
         jobs(
             t, cfg,
