@@ -199,4 +199,5 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     found = classes(prints.select("fp"))
     member = prints.join(found, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
     stay = settle_table(member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
-    return held.join(stay, row, "left_semi").drop(fp, row)
+    # One row for each component: as large as the input allows, so never a side to broadcast.
+    return held.join(stay.hint("merge"), row, "left_semi").drop(fp, row)
