@@ -28,7 +28,7 @@ CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: A plain blank after any character that the pattern takes for white space.
 BLANK_PAIRS = [
     chr(c) + " " for c in (32, *range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -53,16 +53,17 @@ class Segments(dict):
     """
 
     def __init__(self, path: str):
-        import tiktoken
-        from tokenizers import Tokenizer
-
         super().__init__()
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        self._ids = lambda text: whole.encode(text, add_special_tokens=False).ids
         ranks = _ranks(path)
-        if ranks:
+        if ranks is None:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(path)
+            whole.encode_special_tokens = True
+            self._ids = lambda text: whole.encode(text, add_special_tokens=False).ids
+        else:
             import public_tokenizers
+            import tiktoken
 
             quick = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             self._ids = quick.encode_ordinary
@@ -74,7 +75,7 @@ class Segments(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         packed = self.packed(" " + word)
-        if len(word) <= 64:
+        if len(word) <= 32:
             self[word] = packed
         return packed
 

@@ -24,7 +24,7 @@ SPACE = "▁"
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN_COST = 10.0
 #: Words whose ids a worker remembers, and the longest such word.
-REMEMBERED, LONGEST_WORD = 400_000, 48
+REMEMBERED, LONGEST_WORD = 200_000, 32
 
 
 def model_path(name: str = MODEL) -> str:
