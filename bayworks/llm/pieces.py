@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import sys
 import zlib
+from array import array
 from types import ModuleType
 
 import numpy as np
@@ -23,8 +24,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN_COST = 10.0
-#: Words whose ids a worker remembers, and the longest such word.
-REMEMBERED, LONGEST_WORD = 200_000, 32
+#: Words whose ids a worker remembers, and the longest such word; two windows at most.
+REMEMBERED, LONGEST_WORD = 300_000, 32
 
 
 def model_path(name: str = MODEL) -> str:
@@ -33,6 +34,22 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+class Words(dict):
+    """Packed ids of words, worked out when first asked for; short words are remembered up to a bound."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self._pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONGEST_WORD:
+            return np.fromiter(self._pieces.stream(word), "<u4").tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = packed = array("I", self._pieces.short(word)).tobytes()
+        return packed
+
+
 class Pieces:
     """Pieces and scores of a model file, and the search over them.
 
@@ -59,8 +76,14 @@ class Pieces:
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_COST
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.tree: dict = {}  # of the pieces' characters; "" holds (score, id)
+        for p, i in self.ids.items():
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = (self.score[p], i)
         self.words = self._cuts()
-        self.known: dict[str, bytes] = {}
+        self.known = Words(self)
 
     def _cuts(self):
         """A pattern of words that ends at boundaries which no piece crosses, so all paths meet there.
@@ -115,6 +138,36 @@ class Pieces:
                     cut = meet - base
                     best, back, base = [b - best[cut] for b in best[cut:]], back[cut:], meet
 
+    def short(self, word: str) -> list[int]:
+        """Ids of a word that fits the window, so that its end is the boundary where paths meet.
+
+        The same search as ``stream``, walking the tree of pieces instead of cutting strings.
+        """
+        n = len(word)
+        best, back, which = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        for start in range(n):
+            here, node, end = best[start], self.tree, start
+            if word[start] not in self.score and here + self.unknown > best[start + 1]:
+                best[start + 1], back[start + 1], which[start + 1] = here + self.unknown, start, -1
+            for c in word[start : start + self.longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                end += 1
+                found = node.get("")
+                if found is not None and here + found[0] > best[end]:
+                    best[end], back[end], which[end] = here + found[0], start, found[1]
+        out: list[int] = []
+        end = n
+        while end:
+            start = back[end]
+            if which[end] >= 0:
+                out.append(which[end])
+            else:
+                out += [self.bytes[b] for b in reversed(word[start:end].encode("utf-8", "surrogatepass"))]
+            end = start
+        return out[::-1]
+
     def _meeting(self, back: list[int], base: int, done: int, last: int) -> int:
         """The last boundary that every path to an end in reach of the search runs through.
 
@@ -138,17 +191,6 @@ class Pieces:
             end = start
         return out[::-1]
 
-    def _word(self, word: str) -> bytes:
-        """Packed ids of one word, from memory where it is short and was seen."""
-        packed = self.known.get(word)
-        if packed is None:
-            packed = np.fromiter(self.stream(word), "<u4").tobytes()
-            if len(word) <= LONGEST_WORD:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[word] = packed
-        return packed
-
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as packed unsigned 32-bit integers; null and empty texts have none."""
         if not text:
@@ -156,7 +198,7 @@ class Pieces:
         marked = SPACE + text.replace(" ", SPACE)
         if self.words is None:
             return np.fromiter(self.stream(marked), "<u4").tobytes()
-        return b"".join(map(self._word, self.words.findall(marked)))
+        return b"".join(map(self.known.__getitem__, self.words.findall(marked)))
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids, without the blank that encoding put in front."""
