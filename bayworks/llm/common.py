@@ -8,7 +8,20 @@ from pyspark.sql import functions as F
 from bayworks.session import settle_table
 
 
+#: Rows that travel to a Python worker at a time; texts can be long.
+BATCH_ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keep Python workers small: no more than ``BATCH_ROWS`` rows in a batch, fewer if the session says so."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

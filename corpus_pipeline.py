@@ -14,28 +14,32 @@ import uuid
 from pyspark.sql import functions as F
 
 from bayworks.llm import host_rules, languages, packing, simhash
-from bayworks.llm.common import held_out
+from bayworks.llm.common import held_out, short_batches
 from bayworks.session import scratch_folder
 
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that fail their own rules, or come from a host that mostly fails, go."""
+    short_batches(spark)
     return host_rules.keep(docs)
 
 
 def language_id(spark, docs, sf_dir):
     """Documents without a letter, or whose language cannot be told, go."""
+    short_batches(spark)
     model = languages.fit(docs, ~held_out(F.col("doc_id"), 5, 0))
     return languages.keep_identified(docs, model)
 
 
 def near_dedup(spark, docs, sf_dir):
     """One document of each near-duplicate component stays."""
+    short_batches(spark)
     return simhash.keep_one(docs)
 
 
 def best_fit_packing(spark, docs, sf_dir):
     """The places of all pieces of all remaining documents in sequences of 1024 ids."""
+    short_batches(spark)
     return packing.pack(docs)
 
 
