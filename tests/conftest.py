@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -14,10 +16,12 @@ def spark():
 
     from bayworks import configure
 
+    shared = tempfile.mkdtemp(prefix="bayworks-tests-")
     session = (
         SparkSession.builder.master("local[8]")
         .appName("bayworks-tests")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -26,3 +30,4 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
     session.stop()
+    shutil.rmtree(shared, ignore_errors=True)

@@ -32,6 +32,13 @@ def test_matches_sql(spark, con, name):
     assert differences(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name]) == []
 
 
+@pytest.mark.full
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_all_match_sql(spark, con, name):
+    """All of them: ``pytest -m full tests/test_queries.py``"""
+    assert differences(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name]) == []
+
+
 def test_every_query_of_the_library_has_sql():
     assert set(entry.QUERIES) <= set(entry.oracle_sql())
 
