@@ -24,7 +24,7 @@ SEED_WORDS = (
     "malware", "phishing", "pills", "poker", "porn", "replica", "slots", "spam", "torrent", "viagra", "warez", "xxx",
 )
 # ---------------------------------------------------------------------------------
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.0005, 0.9, 2.0
+MIN_SUPPORT, MIN_CONFIDENCE = 0.0005, 0.9
 #: URLs that rules are mined from, about, and tokens that a rule can name.
 SAMPLE, MAX_ITEMS = 200_000, 4
 _LABEL = "label="
@@ -78,7 +78,7 @@ def seed_label(host: Column, words=SEED_WORDS) -> Column:
     return F.when(F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*map(F.lit, words))), BLOCK).otherwise(ALLOW)
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, sample: int = SAMPLE) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, sample: int = SAMPLE) -> DataFrame:
     """(rule_id, items, size, says, confidence, lift): rules of ``labelled`` (url, items, label).
 
     FP-growth runs on about ``sample`` rows, chosen by a hash, which bounds what the model is
@@ -96,7 +96,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         F.array_sort("antecedent").alias("items"), F.size("antecedent").alias("size"), "confidence", "lift",
         F.substring(F.col("consequent")[0], len(_LABEL) + 1, 100).alias("says"),
     )
-    found = settle_table(found.where((F.col("lift") >= min_lift) & ~F.exists("items", lambda i: i.startswith(_LABEL))))
+    found = settle_table(found.where(~F.exists("items", lambda i: i.startswith(_LABEL))))
     part = F.expr("filter(items, (x, i) -> (mask & shiftleft(1, i)) <> 0)")
     parts = found.withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, size) - 1)"))).select("items", "says", "confidence", "mask", part.alias("part"))
     parts = parts.where(F.size("part") < F.size("items"))
@@ -110,8 +110,12 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(items, says, confidence, lift, size): the strongest rule for each distinct ``items`` of ``urls``.
 
     Each rule stands in the index under its rarest token only, so tokens that most URLs have
-    carry few rules. More confidence wins, then lift, then more tokens, then the smaller id.
+    carry few rules. The rule that raises the odds of its label most wins, so of one label
+    more confidence does, and a rule for the common label that is hardly better than its share
+    does not hide one for the rare label; then lift, then more tokens, then the smaller id.
     """
+    share = F.col("confidence") / F.col("lift")
+    odds = F.when(F.col("confidence") >= 1, float("inf")).otherwise(F.col("confidence") * (1 - share) / ((1 - F.col("confidence")) * share))
     postings = urls.select("items").distinct().select("items", F.explode("items").alias("token"))
     often = postings.join(rules.select(F.explode("items").alias("token")).distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
     placed = rules.select("*", F.explode("items").alias("token")).join(often, "token", "left")
@@ -119,7 +123,7 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     index = settle_table(placed.groupBy("rule_id").agg(rarest.alias("token"), F.first("items").alias("rule"), F.first("says").alias("says"),
         F.first("confidence").alias("confidence"), F.first("lift").alias("lift"), F.first("size").alias("size")))
     hits = postings.join(index, "token").where(F.size(F.array_except("rule", "items")) == 0)
-    strength = F.struct("confidence", "lift", "size", (-F.col("rule_id")).alias("id"))
+    strength = F.struct(odds.alias("odds"), "lift", "size", (-F.col("rule_id")).alias("id"))
     return hits.groupBy("items").agg(F.max_by(F.struct("says", "rule", "confidence"), strength).alias("hit")).select("items", "hit.*")
 
 

@@ -113,6 +113,27 @@ def test_given_pages_are_blocked_by_their_seed_words(spark):
         assert v.verdict == (says or ("block" if seed else "allow")), r.url
 
 
+@pytest.mark.parametrize("blocked", [3, 6, 9, 10])
+def test_rules_are_mined_whatever_share_is_blocked(spark, blocked):
+    rows = [(i, f"https://www.site{i % 40}.net/{'bad' if i // 40 % 10 < blocked else 'ok'}/page{i}.html") for i in range(800)]
+    labelled = spark.createDataFrame([(u, "block" if "/bad/" in u else "allow") for _, u in rows], "url string, label string")
+    new = spark.createDataFrame([(1, "http://unseen.org/bad/9"), (2, "http://unseen.org/ok/9"), (3, "http://unseen.org/9"), (4, None)], "page_id long, url string")
+    got = {r.page_id: r.url_filter.verdict for r in urls.classify(new, labelled=labelled, listed=()).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+    hosts = [(i, f"http://{'casino' if i // 40 % 10 < blocked else 'news'}.site{i % 40}.net/page{i}") for i in range(800)]
+    pages = urls.classify(spark.createDataFrame(hosts, "page_id long, url string"), listed=()).collect()
+    assert all(r.url_filter.verdict == ("block" if "casino" in r.url else "allow") for r in pages)
+
+
+def test_common_label_does_not_hide_the_rare_one(spark):
+    rows = [(f"http://a.net/{'bad' if i < 60 else 'ok'}/p{i}", "block" if i < 57 else "allow") for i in range(800)]
+    rows += [(f"http://b.net/fine/q{i}", "block" if i < 20 else "allow") for i in range(1000)]
+    new = spark.createDataFrame([(1, "http://b.net/bad/9"), (2, "http://b.net/ok/9")], "page_id long, url string")
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    got = {r.page_id: r.url_filter.verdict for r in urls.classify(new, labelled=labelled, listed=()).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 # ---- tool calls ---------------------------------------------------------------
 SCHEMAS = {
     "sum": {
