@@ -10,6 +10,7 @@ then look up their places by their rank among the pieces of their length.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import zlib
 from bisect import bisect_right
@@ -29,6 +30,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers.
 REMEMBERED = 200_000
+#: A text with a longer run of white space goes to the file's own tokenizer: tiktoken's pattern engine ends on very long ones.
+LONG_RUN = 100_000
 #: A plain blank after any character that the pattern takes for white space.
 BLANK_PAIRS = [
     chr(c) + " " for c in (32, *range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -54,13 +57,10 @@ class Segments(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self._path, self._tokenizer = path, None
         ranks = _ranks(path)
         if ranks is None:
-            from tokenizers import Tokenizer
-
-            whole = Tokenizer.from_file(path)
-            whole.encode_special_tokens = True
-            self._ids = lambda text: whole.encode(text, add_special_tokens=False).ids
+            self._ids = self._own_ids
         else:
             import public_tokenizers
             import tiktoken
@@ -68,9 +68,24 @@ class Segments(dict):
             quick = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             self._ids = quick.encode_ordinary
 
+    def _own_ids(self, text: str) -> list[int]:
+        """Ids by the file's own tokenizer, which is loaded when first needed."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self._path)
+            self._tokenizer.encode_special_tokens = True
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
     def packed(self, text: str) -> bytes:
         return np.array(self._ids(text), "<u4").tobytes()
 
+    def whole(self, text: str) -> bytes | None:
+        """Ids of a text that only the file's own tokenizer takes as it should, else None."""
+        if has_long_run(text):
+            return np.array(self._own_ids(text), "<u4").tobytes()
+        return None
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
@@ -80,6 +95,11 @@ class Segments(dict):
         return packed
 
 
+def has_long_run(text: str) -> bool:
+    """Whether more than ``LONG_RUN`` characters of white space follow each other."""
+    return len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in re.finditer(r"\s+", text))
+
+
 def known_segments(path: str) -> Segments:
     """The words this Python process knows already; a worker keeps them from task to task."""
     held = sys.modules.setdefault("bayworks_known_segments", ModuleType("bayworks_known_segments"))
@@ -112,10 +132,13 @@ def encode(text: str | None, known: Segments) -> bytes:
 
     No pre-token crosses from a visible character to a plain blank, so such a text falls
     into words. A text with a blank after another one, of whatever kind, is encoded whole, as a run of
-    blanks is cut only by what follows it.
+    blanks is cut only by what follows it. A text with a very long run of white space
+    goes to the file's own tokenizer.
     """
     if not text:
         body = b""
+    elif (own := known.whole(text)) is not None:
+        body = own
     elif any(pair in text for pair in BLANK_PAIRS):
         body = known.packed(text)
     else:

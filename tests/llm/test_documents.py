@@ -254,6 +254,19 @@ def test_ids_are_those_of_the_tokenizer():
         assert got == plain.encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_very_long_white_space_is_encoded(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.vocabulary_path())
+    for sign in (" ", "\n", "\u3000"):
+        text = "a" + sign * 1_500_000 + "b"
+        got = np.frombuffer(packing.encode(text, packing.known_segments(packing.vocabulary_path())), "<u4").tolist()
+        assert got == plain.encode(text, add_special_tokens=False).ids + [2]
+    docs = spark.createDataFrame([(1, "a" + " " * 1_500_000 + "b"), (2, "x y")], "doc_id long, text string")
+    rows = packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in rows} == {1, 2} and sum(r.n for r in rows if r.doc_id == 2) == 3
+
+
 def test_packing_is_gapless_and_complete(spark, docs):
     packed = packing.pack(docs, with_ids=True)
     rows = packed.toPandas().sort_values(["sequence_id", "offset"])
