@@ -52,12 +52,18 @@ class Segments(dict):
 
     The vocabulary is that of the tokenizers file. Where its merges come in the order of
     their ids, which is checked, the same ids come from ranks; otherwise from the file's
-    own tokenizer. Words are remembered up to a bound.
+    own tokenizer. Words are remembered up to a bound. With ``added_tokens`` the file's added
+    tokens are found in a text, as its tokenizer does by default; without, they are plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         super().__init__()
-        self._path, self._tokenizer = path, None
+        self._path, self._tokenizer, self._added = path, None, None
+        if added_tokens:
+            with open(path, encoding="utf-8") as f:
+                found = [t["content"] for t in json.load(f).get("added_tokens", [])]
+            self._added = re.compile("|".join(map(re.escape, found))) if found else None
+        self._by_default = added_tokens
         ranks = _ranks(path)
         if ranks is None:
             self._ids = self._own_ids
@@ -74,7 +80,7 @@ class Segments(dict):
             from tokenizers import Tokenizer
 
             self._tokenizer = Tokenizer.from_file(self._path)
-            self._tokenizer.encode_special_tokens = True
+            self._tokenizer.encode_special_tokens = not self._by_default
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
     def packed(self, text: str) -> bytes:
@@ -82,7 +88,7 @@ class Segments(dict):
 
     def whole(self, text: str) -> bytes | None:
         """Ids of a text that only the file's own tokenizer takes as it should, else None."""
-        if has_long_run(text):
+        if (self._added and self._added.search(text)) or has_long_run(text):
             return np.array(self._own_ids(text), "<u4").tobytes()
         return None
 
@@ -104,7 +110,7 @@ def known_segments(path: str) -> Segments:
     """The words this Python process knows already; a worker keeps them from task to task."""
     held = sys.modules.setdefault("bayworks_known_segments", ModuleType("bayworks_known_segments"))
     if path not in held.__dict__:
-        held.__dict__[path] = Segments(path)
+        held.__dict__[path] = Segments(path, added_tokens=True)
     return held.__dict__[path]
 
 
@@ -132,8 +138,8 @@ def encode(text: str | None, known: Segments) -> bytes:
 
     No pre-token crosses from a visible character to a plain blank, so such a text falls
     into words. A text with a blank after another one, of whatever kind, is encoded whole, as a run of
-    blanks is cut only by what follows it. A text with a very long run of white space
-    goes to the file's own tokenizer.
+    blanks is cut only by what follows it. A text with an added token or a very long run of
+    white space goes to the file's own tokenizer.
     """
     if not text:
         body = b""

@@ -267,6 +267,19 @@ def test_very_long_white_space_is_encoded(spark):
     assert {r.doc_id for r in rows} == {1, 2} and sum(r.n for r in rows if r.doc_id == 2) == 3
 
 
+def test_added_tokens_get_the_ids_of_the_unmodified_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.vocabulary_path())
+    known = packing.known_segments(packing.vocabulary_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z", "<|endoftext|><|endoftext|> \n", "<|endoftext", "a b <|endoftext|>", LONG[:3000] + "<|endoftext|>"]
+    for text in texts:
+        got = np.frombuffer(packing.encode(text, known), "<u4").tolist()
+        assert got == plain.encode(text, add_special_tokens=False).ids + [2]
+    docs = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
+    assert packing.pack(docs, with_ids=True).first().ids == [64, 220, 50256, 275, 2]
+
+
 def test_packing_is_gapless_and_complete(spark, docs):
     packed = packing.pack(docs, with_ids=True)
     rows = packed.toPandas().sort_values(["sequence_id", "offset"])
