@@ -7,8 +7,10 @@ rule's rarest token. Listed rules for hosts and paths come first.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bayworks.llm.common import fresh
@@ -25,7 +27,9 @@ SEED_WORDS = (
 )
 # ---------------------------------------------------------------------------------
 MIN_SUPPORT, MIN_CONFIDENCE = 0.0005, 0.9
-#: URLs that rules are mined from, about, and tokens that a rule can name.
+#: A single token needs this many distinct URLs at most for a rule, however many there are.
+MIN_URLS = 2
+#: URLs that rules of several tokens are mined from, about, and tokens that a rule can name.
 SAMPLE, MAX_ITEMS = 200_000, 4
 _LABEL = "label="
 
@@ -81,12 +85,14 @@ def seed_label(host: Column, words=SEED_WORDS) -> Column:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, sample: int = SAMPLE) -> DataFrame:
     """(rule_id, items, size, says, confidence, lift): rules of ``labelled`` (url, items, label).
 
-    FP-growth runs on about ``sample`` rows, chosen by a hash, which bounds what the model is
-    fitted on; the rules judge every URL. A rule is dropped if part of its items says the same with no less confidence. An empty table, or
+    Rules of one token are counted over all rows, with a support of ``MIN_URLS`` rows or less.
+    For those of several tokens FP-growth runs on about ``sample`` rows, chosen by a hash, which
+    bounds what the model is fitted on; the rules judge every URL. A rule is dropped if part of its items says the same with no less confidence. An empty table, or
     one without a frequent set, gives no rules.
     """
     usable = labelled.where(F.size("items") > 0)
-    share = sample / max(usable.count(), 1)
+    total = usable.count()
+    share = sample / max(total, 1)
     picked = usable if share >= 1 else usable.where(F.pmod(F.xxhash64("url", "label"), F.lit(1_000_000)) < int(1_000_000 * share))
     both = F.array_append("items", F.concat(F.lit(_LABEL), "label")).alias("items")
     rows = settle_table(picked.select(both))
@@ -96,7 +102,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         F.array_sort("antecedent").alias("items"), F.size("antecedent").alias("size"), "confidence", "lift",
         F.substring(F.col("consequent")[0], len(_LABEL) + 1, 100).alias("says"),
     )
-    found = settle_table(found.where(~F.exists("items", lambda i: i.startswith(_LABEL))))
+    found = found.where((F.col("size") > 1) & ~F.exists("items", lambda i: i.startswith(_LABEL)))
+    found = settle_table(found.unionByName(_single(usable, total, min(MIN_URLS, ceil(min_support * total)), min_confidence)))
     part = F.expr("filter(items, (x, i) -> (mask & shiftleft(1, i)) <> 0)")
     parts = found.withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, size) - 1)"))).select("items", "says", "confidence", "mask", part.alias("part"))
     parts = parts.where(F.size("part") < F.size("items"))
@@ -106,6 +113,17 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return settle_table(kept.withColumn("rule_id", F.xxhash64("items", "says")))
 
 
+def _single(usable: DataFrame, total: int, least: int, min_confidence: float) -> DataFrame:
+    """Rules of one token that ``least`` rows with the label hold, counted over all rows."""
+    counted = usable.select(F.explode("items").alias("item"), "label").groupBy("item", "label").agg(F.count("*").alias("n"))
+    share = usable.groupBy("label").agg((F.count("*") / F.lit(total)).alias("share"))
+    confidence = F.col("n") / F.sum("n").over(Window.partitionBy("item"))
+    rules = counted.withColumn("confidence", confidence).where((F.col("n") >= least) & (F.col("confidence") >= min_confidence))
+    return rules.join(share, "label").select(
+        F.array("item").alias("items"), F.lit(1).alias("size"), "confidence", (F.col("confidence") / F.col("share")).alias("lift"), F.col("label").alias("says")
+    )
+
+
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(items, says, confidence, lift, size): the strongest rule for each distinct ``items`` of ``urls``.
 

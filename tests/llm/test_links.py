@@ -134,6 +134,14 @@ def test_common_label_does_not_hide_the_rare_one(spark):
     assert got == {1: "block", 2: "allow"}
 
 
+def test_rare_seed_words_get_a_rule_on_a_large_table(spark):
+    rows = spark.range(9000).select("id", F.concat(F.lit("http://news"), F.col("id") % 50, F.lit(".net/page"), "id").alias("url"))
+    rare = [(10_000 + i, f"http://{w}.net/page{i}{k}") for i, w in enumerate(urls.SEED_WORDS) for k in range(3)]
+    pages = rows.union(spark.createDataFrame(rare, "page_id long, url string"))
+    got = urls.classify(pages.withColumnRenamed("id", "page_id"), listed=()).groupBy("url_filter.verdict").count().collect()
+    assert dict(got) == {"allow": 9000, "block": 3 * len(urls.SEED_WORDS)}
+
+
 # ---- tool calls ---------------------------------------------------------------
 SCHEMAS = {
     "sum": {
