@@ -62,11 +62,13 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, allowed: Colu
 
     ``allowed`` is a predicate on ``doc_id``. The sampled ids number at most twice
     ``per_class``, a fixed parameter, so sending them to every task is bounded. A document
-    with several labels counts once for each.
+    with several labels counts once for each, repeated rows of one id count once, by their texts' hash.
     """
     known = labels.where(allowed & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     known = known.distinct()
     picked = settle_table(balanced_sample(known, "doc_id", "label", [0, 1], per_class))
     size = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
     texts = docs.select("doc_id", "text", size.alias("n_chars"))
-    return texts.join(F.broadcast(picked), "doc_id").select("text", "n_chars", "label")
+    order = F.when(F.col("text").isNotNull(), F.xxhash64("text")).otherwise(2**63 - 1)
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min_by(F.struct("text", "n_chars"), order).alias("one"))
+    return found.select("one.text", "one.n_chars", "label")

@@ -106,20 +106,21 @@ def _pairs(rows: DataFrame, column: str, names: list[str]) -> list[Machine]:
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on at most ``per_language`` documents of each language among the rows where ``learn`` holds.
 
-    Null languages, null texts and rows without an id are never learnt from. Languages
+    Null languages, null texts and rows without an id are never learnt from, and of repeated
+    rows of one id in one language one is. Languages
     without a known family form one of their own. The number of languages, not of
     documents, bounds what the sample holds. With no language the model is empty, with one
     it always answers that one.
     """
     usable = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    ids = usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("name"))
+    ids = settle_table(usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("name")).distinct())
     names = sorted(r[0] for r in ids.select("name").distinct().collect())
     if not names:
         return Model({}, [], {})
-    picked = settle_table(balanced_sample(ids, "id", "name", names, per_language).distinct())
+    picked = settle_table(balanced_sample(ids, "id", "name", names, per_language))
     texts = usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("name"), F.col(text).alias("text"))
     family = F.create_map(*(F.lit(x) for n in names for x in (n, FAMILY_OF.get(n, n))))[F.col("name")]
-    texts = texts.join(F.broadcast(picked), ["id", "name"])
+    texts = texts.join(F.broadcast(picked), ["id", "name"]).groupBy("id", "name").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = settle_table(texts.select("name", family.alias("family"), _sparse_profiles("text").alias("p")))
     vector = F.udf(lambda at, value: Vectors.sparse(BUCKETS, at, value), VectorUDT())
     rows = rows.coalesce(6).select("name", "family", vector("p.at", "p.value").alias("features")).cache()

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 import corpus_pipeline
 from bayworks.llm import components, host_rules, languages, packing, pieces, quality, queries, simhash, toxicity
-from bayworks.llm.common import held_out
+from bayworks.llm.common import held_out, labelled_texts
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -194,6 +194,18 @@ def test_odd_rows_of_languages(odd, none):
     assert kept.columns == odd.columns and all(any(c.isalpha() for c in r.text) for r in kept.collect())
 
 
+def test_repeated_rows_of_an_id_are_learnt_from_once(spark, monkeypatch):
+    rows = [(i, f"{'the house' if i % 2 else 'das Haus'} {i}", "en" if i % 2 else "de") for i in range(100)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text"))
+    seen = []
+    monkeypatch.setattr(languages, "_pairs", lambda rows, column, names: seen.append(dict(rows.groupBy("name").count().collect())) or [])
+    languages.fit(docs, F.lit(True), per_language=20)
+    assert seen[0] == {"en": 20, "de": 20}
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    found = labelled_texts(docs, labels, "toxic", F.lit(True), 20)
+    assert dict(found.groupBy("label").count().collect()) == {0: 20, 1: 20} and found.select("text").distinct().count() == 40
+
+
 # ---- packing ------------------------------------------------------------------
 def smallest(lengths, capacity):
     """Fewest sequences by search; for small sets only."""
