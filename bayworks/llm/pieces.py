@@ -198,7 +198,10 @@ class Pieces:
         marked = SPACE + text.replace(" ", SPACE)
         if self.words is None:
             return np.fromiter(self.stream(marked), "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, self.words.findall(marked)))
+        out = bytearray()
+        for word in self.words.finditer(marked):
+            out += self.known[word[0]]
+        return bytes(out)
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids, without the blank that encoding put in front."""

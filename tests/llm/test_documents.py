@@ -333,6 +333,19 @@ def test_streamed_pieces_are_the_best_ones_and_come_back(docs):
         assert np.frombuffer(p.encode(t), "<u4").tolist() == want and p.decode(p.encode(t)) == t
 
 
+def test_words_of_a_long_text_are_not_held_at_once():
+    import tracemalloc
+
+    p = pieces.Pieces(pieces.model_path())
+    text = "ab cd " * 300_000
+    want = p.encode(text[:600])
+    tracemalloc.start()
+    got = p.encode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.startswith(want[:-4]) and peak < 3 * len(got) + 4 * len(text)
+
+
 def test_odd_rows_of_pieces(odd, none):
     both = pieces.decode(pieces.encode(odd), "piece_ids_").collect()
     assert [r.decoded for r in both] == [r.text or "" for r in both] and all(r.piece_ids == "own piece_ids" for r in both)
