@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bayworks.llm import host_rules, languages, packing, pieces, quality, simhash, tool_calls, toxicity, urls, vectors
+from bayworks.llm import (
+    collocations, host_rules, languages, line_dedup, merkle, packing, pieces, quality, simhash, tool_calls, toxicity, urls, vectors,
+)
 from bayworks.llm.common import held_out, table
 
 
@@ -65,6 +67,22 @@ def op10_quality_rules(spark, folder):
     return found.withColumn("host_rate", F.round("host_rate", 6))
 
 
+def op11_collocations(spark, folder):
+    return collocations.phrases(table(spark, folder, "documents").select("text", "lang"))
+
+
+def op12_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    tampered = {"n_chars": F.col("n_chars") + F.coalesce(held_out(F.col("doc_id"), 7, 0) & F.col("doc_id").isNotNull(), F.lit(False)).cast("long")}
+    found = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", tampered)
+    proof = F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def op13_line_dedup(spark, folder):
+    return line_dedup.digest(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -76,6 +94,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_line_dedup": op13_line_dedup,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL: dict[str, str] = {
@@ -127,4 +148,85 @@ rates AS (SELECT source, (f + k * m) / (n + k) AS rate FROM hosts, shrunk)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words,
   base_failed, round(rate, 6) AS host_rate, NOT base_failed AND coalesce(rate <= 0.5, TRUE) AS kept
 FROM judged LEFT JOIN rates USING (source)""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT id, lang, unnest(w) AS w1, unnest(range(len(w))) AS i FROM lists),
+runs AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY id ORDER BY i)),
+grams AS (
+  SELECT lang, 1 AS k, w1 AS p FROM runs UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM runs WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM runs WHERE w3 IS NOT NULL),
+f AS (SELECT lang, k, p, count(*)::BIGINT AS c FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (
+  SELECT lang, k, p, c AS a, split_part(p, ' ', 1) AS w1, split_part(p, ' ', 2) AS w2, split_part(p, ' ', 3) AS w3
+  FROM f WHERE k >= 2 AND c >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.p, c.a, l.c AS l, r.c AS r, cut,
+    (1000000::HUGEINT * c.a * c.a // (l.c::HUGEINT * r.c))::BIGINT AS score
+  FROM (SELECT *, 1 AS cut, w1 AS lp, CASE WHEN k = 2 THEN w2 ELSE w2 || ' ' || w3 END AS rp FROM cand
+        UNION ALL SELECT *, 2, w1 || ' ' || w2, w3 FROM cand WHERE k = 3) c
+  JOIN f l ON l.lang = c.lang AND l.p = c.lp JOIN f r ON r.lang = c.lang AND r.p = c.rp),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+around AS (
+  SELECT lang, p, max(a) AS most FROM (
+    SELECT lang, w1 || ' ' || w2 AS p, a FROM cand WHERE k = 3 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM cand WHERE k = 3) GROUP BY lang, p),
+kept AS (SELECT b.* FROM best b LEFT JOIN around t ON t.lang = b.lang AND t.p = b.p WHERE coalesce(100 * t.most < 50 * b.a, TRUE))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_concat([b], range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)),
+field AS (
+  SELECT doc_id, lang, n_chars, 7 AS every,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+tested AS (
+  SELECT field.*, doc_id IS NOT NULL AND xor(4294967295::BIGINT, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8))) % every = 0 AS tampered FROM field, crc_table),
+leaf AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen((n_chars + tampered::INT)::VARCHAR) || ':' || (n_chars + tampered::INT), '-') || tail) AS received,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM tested),
+low AS (
+  SELECT lang, 0 AS lvl, i, leaf AS h, n FROM leaf
+  UNION ALL
+  SELECT lang, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY lang, lvl, i // 2, n),
+subroots AS (
+  SELECT lang, h AS subroot, lvl AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, t AS i, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY lvl, i // 2, n),
+path AS (
+  SELECT l.doc_id, l.leaf, s.lvl, s.h, s.i < (l.i >> s.lvl) AS is_left
+  FROM leaf l JOIN low s ON s.lang IS NOT DISTINCT FROM l.lang AND s.i = xor(l.i >> s.lvl, 1)
+  UNION ALL
+  SELECT l.doc_id, l.leaf, u.depth + s.lvl, s.h, s.i < (u.t >> s.lvl)
+  FROM leaf l JOIN subroots u ON u.lang IS NOT DISTINCT FROM l.lang JOIN high s ON s.i = xor(u.t >> s.lvl, 1)),
+folded AS (
+  SELECT l.doc_id, l.leaf, l.received AS h, 0 AS lvl, u.depth + (SELECT max(lvl) FROM high) AS depth
+  FROM leaf l JOIN subroots u ON u.lang IS NOT DISTINCT FROM l.lang
+  UNION ALL
+  SELECT f.doc_id, f.leaf, sha256(CASE WHEN p.h IS NULL THEN f.h WHEN p.is_left THEN p.h || f.h ELSE f.h || p.h END), f.lvl + 1, f.depth
+  FROM folded f LEFT JOIN path p ON p.leaf = f.leaf AND p.doc_id IS NOT DISTINCT FROM f.doc_id AND p.lvl = f.lvl WHERE f.lvl < f.depth),
+proofs AS (SELECT doc_id, leaf, string_agg(h, '' ORDER BY lvl) AS proof FROM path GROUP BY doc_id, leaf)
+SELECT l.doc_id, l.leaf, u.subroot, r.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM leaf l JOIN subroots u ON u.lang IS NOT DISTINCT FROM l.lang
+JOIN high r ON r.n = 1 JOIN folded f ON f.leaf = l.leaf AND f.doc_id IS NOT DISTINCT FROM l.doc_id AND f.lvl = f.depth
+LEFT JOIN proofs p ON p.leaf = l.leaf AND p.doc_id IS NOT DISTINCT FROM l.doc_id""",
+    "op13_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+common AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (keeper IS NOT NULL AND doc_id <> keeper)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
+FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id""",
 }
