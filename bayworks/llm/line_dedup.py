@@ -36,7 +36,8 @@ def _text_key(text: Column) -> list[Column]:
 
 def _long_lines(texts: DataFrame, min_chars: int) -> DataFrame:
     """(id, t1, t2, pos, h1, h2): a row for each line that is long enough to be judged."""
-    bare = texts.select("id", *_text_key(F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    keyed = texts.select("id", *_text_key(F.col("text")), "text")  # once a text, not once a line
+    bare = keyed.select("id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     bare = bare.where(F.char_length(F.btrim("line", F.lit(BLANKS))) >= min_chars)
     return bare.select("id", "t1", "t2", "pos", *_hashes(line_key(F.col("line"))))
 
@@ -77,12 +78,15 @@ def drop_shared_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     body = F.coalesce(F.col(text), F.lit(""))
     t1, t2 = _text_key(body)
     same = F.col(doc_id).eqNullSafe(F.col(names["id"])) & (t1 == F.col(names["t1"])) & (t2 == F.col(names["t2"]))
-    split, gone = F.split(body, "\n"), F.col(names["gone"])
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
-    kept = F.when(gone.isNull(), body).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
-    lines = F.struct(
-        F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text")
-    )
+    gone = F.col(names["gone"])
+
+    def rest(split: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
+        kept = F.when(gone.isNull(), body).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
+        return F.struct(F.size(split).cast("long").alias("n_lines"), F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"), kept.alias("text"))
+
+    # As the argument of a function a text is split once, not again for each of its lines.
+    lines = F.transform(F.array(F.split(body, "\n")), rest)[0]
     joined = docs.join(back, same, "left")
     return joined.withColumn(names["lines"], lines).select(*docs.columns, names["lines"])
 
