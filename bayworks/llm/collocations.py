@@ -12,6 +12,8 @@ weight on; such nodes are compacted into paths, inside of which every count is t
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,8 +27,8 @@ COVER_PERCENT = 50
 SCALE = 1_000_000
 TOP = 2000
 UNKNOWN = "und"
-#: Words that a task counts before it hands its sums on; bounds its memory.
-HELD_WORDS = 4_000_000
+#: Words, and different words, that a task counts before it hands its sums on; they bound its memory.
+HELD_WORDS, WORD_BITS = 6_000_000, 21
 #: Rows handed to Spark at a time.
 OUT_ROWS = 100_000
 #: A pair with more than this share of the edges is spread over this many salts. The shares
@@ -50,31 +52,35 @@ class _Words(dict):
         return number
 
 
-def _edges_of(words: _Words, texts: dict[str, list[int]]):
+def _edges_of(words: _Words, texts: dict[bytes, array]):
     """Record batches (node, next, c) of the word numbers held for each language; 0 ends a piece.
 
     ``node`` is the first word, or the first two with a blank, then a tab and the language;
     ``next`` is the third word or empty. Words hold neither blank nor tab.
     """
-    names = pa.array([b"", *words], pa.binary())
-    rank = np.argsort(np.argsort(np.array([b"", *words], dtype=object)))  # numbers in order of words pack better
-    by_rank = names.take(pa.array(np.argsort(rank)))
+    spelt = np.array([b"", *words], dtype=object)
+    order = np.argsort(spelt)  # in order of words, neighbours share their beginnings and pack better
+    names = pa.array(spelt[order], pa.binary())
+    gaps = pa.array(np.where(np.arange(len(spelt)) > 0, b" ", b"").tolist(), pa.binary())
+    number = np.empty(len(spelt), np.int64)
+    number[order] = np.arange(len(spelt))
+    low = (1 << WORD_BITS) - 1
     for lang, ids in texts.items():
-        a = rank[np.array([*ids, 0], np.int64)]
-        x, y = a[:-2], a[1:-1]
-        z = a[2:]
-        starts = x > 0
-        x, y, z = x[starts], y[starts], np.where(y > 0, z, 0)[starts]
-        order = np.lexsort((z, y, x))
-        x, y, z = x[order], y[order], z[order]
-        first = np.flatnonzero(np.r_[len(x) > 0, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])][: len(x)])
-        count = np.diff(np.r_[first, len(x)])
-        for at in range(0, len(first), OUT_ROWS):
-            i = first[at : at + OUT_ROWS]
-            one, two, three = (by_rank.take(pa.array(v[i])) for v in (x, y, z))
-            gap = pa.array(np.where(y[i] > 0, b" ", b"").tolist(), pa.binary())
-            node = pc.binary_join_element_wise(one, gap, two, pa.scalar(b"\t" + lang, pa.binary()), b"")
-            columns = [node.view(pa.string()), three.view(pa.string()), pa.array(count[at : at + OUT_ROWS])]
+        ids.append(0)
+        a = number[np.frombuffer(ids, np.int32)]
+        code = a[:-2] << WORD_BITS | a[1:-1]
+        code <<= WORD_BITS
+        code |= np.where(a[1:-1] > 0, a[2:], 0)
+        code = code[a[:-2] > 0]
+        code.sort()
+        first = np.flatnonzero(np.r_[len(code) > 0, code[1:] != code[:-1]][: len(code)])
+        count = np.diff(np.r_[first, len(code)])
+        code = code[first]
+        for at in range(0, len(code), OUT_ROWS):
+            part = code[at : at + OUT_ROWS]
+            one, two, three = (pa.array(part >> k * WORD_BITS & low) for k in (2, 1, 0))
+            node = pc.binary_join_element_wise(names.take(one), gaps.take(two), names.take(two), pa.scalar(b"\t" + lang, pa.binary()), b"")
+            columns = [node.view(pa.string()), names.take(three).view(pa.string()), pa.array(count[at : at + OUT_ROWS])]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "next", "c"])
 
 
@@ -86,19 +92,20 @@ def count_edges(batches):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not text:
                 continue
-            ids = texts.setdefault(lang, [])
             for piece in text.translate(_FOLD).split(b"\n"):
                 found = piece.split()  # of the blanks only space and tab are left
-                if found:
-                    ids.extend(map(number, found))
-                    ids.append(0)
-                    held += len(found) + 1
-                    if held >= HELD_WORDS:
-                        yield from _edges_of(words, texts)
-                        words.clear()
-                        texts.clear()
-                        ids = texts.setdefault(lang, [])
-                        held = 0
+                if not found:
+                    continue
+                if held + len(found) > HELD_WORDS or len(words) + len(found) >= 1 << WORD_BITS:
+                    yield from _edges_of(words, texts)
+                    words, held, texts = _Words(), 0, {}
+                    number = words.__getitem__
+                ids = texts.get(lang)
+                if ids is None:
+                    ids = texts[lang] = array("i")
+                ids.extend(map(number, found))
+                ids.append(0)
+                held += len(found) + 1
     yield from _edges_of(words, texts)
 
 
@@ -142,22 +149,25 @@ def graph(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     salt = F.when(F.col("node").isin(hot), F.pmod(F.hash("next"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     # A filter or a sum must not pull the counting into itself: it ends at this exchange.
     dealt = found.withColumn("salt", salt).repartition("node", "salt")
-    edges = dealt.groupBy("node", "salt", "next").agg(F.sum("c").alias("c"))
-    part = edges.groupBy("node", "salt").agg(F.sum("c").alias("c"))
+    # The three sums read one exchange. So all of them use all its columns, and what they ask of a
+    # node or a next word they ask of sums: else Spark would narrow or filter each one's input
+    # below the exchange and count the texts anew for each.
+    times = F.sum(F.when(F.col("next").isNotNull(), F.col("c"))).alias("c")
+    edges = dealt.groupBy("node", "salt", "next").agg(F.sum("c").alias("c"), F.max(F.col("next") != "").alias("inner"))
+    edges = edges.where(F.col("inner") & (F.col("c") >= least))
+    pair = F.max(F.contains("node", F.lit(" "))).alias("pair")
+    flow = dealt.groupBy("node", "salt").agg(times, pair, F.max(F.col("node").isin(hot) if hot else F.lit(False)).alias("hot"))
     if hot:
-        whole = part.where(F.col("node").isin(hot)).groupBy("node").agg(F.sum("c").alias("c"))
-        flow = part.where(~F.col("node").isin(hot)).select("node", "c").unionByName(whole)
-    else:
-        flow = part.select("node", "c")
-    flow = flow.select(_lang_of(F.col("node")).alias("lang"), _words_of(F.col("node")).alias("first"), "c")
-    pairs = flow.where(F.contains("first", F.lit(" ")))
-    words = flow.groupBy("lang", F.substring_index("first", " ", 1).alias("first")).agg(F.sum("c").alias("c"))
+        whole = flow.where("hot").groupBy("node").agg(F.sum("c").alias("c"), F.max("pair").alias("pair"))
+        flow = flow.where("not hot").select("node", "c", "pair").unionByName(whole)
+    pairs = flow.where(F.col("pair") & (F.col("c") >= least))
+    words = dealt.groupBy(_lang_of(F.col("node")).alias("lang"), F.substring_index(_words_of(F.col("node")), " ", 1).alias("first")).agg(times)
     total = words.groupBy("lang").agg(F.sum("c").alias("c"))
-    heavy = edges.where((F.col("next") != "") & (F.col("c") >= least))
     none = F.lit("")
+    named = (_lang_of(F.col("node")).alias("lang"), _words_of(F.col("node")).alias("first"))
     return settle_table(
-        heavy.select(F.lit("edge").alias("kind"), _lang_of(F.col("node")).alias("lang"), _words_of(F.col("node")).alias("first"), "next", "c")
-        .unionByName(pairs.where(F.col("c") >= least).select(F.lit("pair").alias("kind"), "lang", "first", none.alias("next"), "c"))
+        edges.select(F.lit("edge").alias("kind"), *named, "next", "c")
+        .unionByName(pairs.select(F.lit("pair").alias("kind"), *named, none.alias("next"), "c"))
         .unionByName(words.where(F.col("c") >= least).select(F.lit("word").alias("kind"), "lang", "first", none.alias("next"), "c"))
         .unionByName(total.select(F.lit("total").alias("kind"), "lang", none.alias("first"), none.alias("next"), "c"))
     )
