@@ -1,10 +1,11 @@
 """Phrase mining on a weighted de Bruijn graph.
 
 Nodes are pairs of neighbouring words, edges are triples: the triple x y z leads from x y to
-y z and weighs as much as it occurs. Only edges are counted in the corpus, one for each word
+y z and weighs as much as it occurs. Only edges are counted in the texts, one for each word
 that starts one; where a piece ends, the edge leads to the end (two words) or is the last
 word alone. Shorter counts are flows: a pair occurs as often as edges leave its node, ends
-of pieces included, and a word as often as its pairs and its own ends.
+of pieces included, and a word as often as its pairs and its own ends. Words are summed up
+so where the edges are, in each task, and travel with them.
 
 A node with one edge in, one edge out and no piece that starts or ends there passes its
 weight on; such nodes are compacted into paths, inside of which every count is the weight.
@@ -31,9 +32,10 @@ UNKNOWN = "und"
 HELD_WORDS, WORD_BITS = 6_000_000, 21
 #: Rows handed to Spark at a time.
 OUT_ROWS = 100_000
-#: A pair with more than this share of the edges is spread over this many salts. The shares
-#: come from one text in so many; they only balance the work, counts do not depend on them.
-HOT_SHARE, SALTS, SAMPLED = 1 / 256, 64, 64
+#: A pair that holds more edges than a shuffle partition does on average (of so many at least
+#: and at most) is spread over this many salts. The shares come from one text in so many; they
+#: only balance the work, counts do not depend on them.
+LEAST_PARTS, MOST_PARTS, SALTS, SAMPLED = 256, 8192, 64, 64
 #: First rows of a language come from this many independent lists, so no task sees all phrases.
 RANK_LISTS = 16
 
@@ -55,8 +57,9 @@ class _Words(dict):
 def _edges_of(words: _Words, texts: dict[bytes, array]):
     """Record batches (node, next, c) of the word numbers held for each language; 0 ends a piece.
 
-    ``node`` is the first word, or the first two with a blank, then a tab and the language;
-    ``next`` is the third word or empty. Words hold neither blank nor tab.
+    ``node`` is the first two words with a blank, then a tab and the language; ``next`` is the
+    third word or empty where the piece ends. Rows with one word in ``node`` are the flow of
+    that word: its pairs and its ends. Words hold neither blank nor tab.
     """
     spelt = np.array([b"", *words], dtype=object)
     order = np.argsort(spelt)  # in order of words, neighbours share their beginnings and pack better
@@ -76,6 +79,11 @@ def _edges_of(words: _Words, texts: dict[bytes, array]):
         first = np.flatnonzero(np.r_[len(code) > 0, code[1:] != code[:-1]][: len(code)])
         count = np.diff(np.r_[first, len(code)])
         code = code[first]
+        # A word's flow takes the place of its own ends.
+        flow = np.bincount(code >> 2 * WORD_BITS, count).astype(np.int64)
+        paired = (code >> WORD_BITS & low) > 0
+        seen = np.flatnonzero(flow)
+        code, count = np.r_[code[paired], seen << 2 * WORD_BITS], np.r_[count[paired], flow[seen]]
         for at in range(0, len(code), OUT_ROWS):
             part = code[at : at + OUT_ROWS]
             one, two, three = (pa.array(part >> k * WORD_BITS & low) for k in (2, 1, 0))
@@ -125,14 +133,15 @@ def _lang_of(node: Column) -> Column:
 
 
 def hot_nodes(docs: DataFrame, text: str, lang: str) -> list[str]:
-    """Nodes that hold more than ``HOT_SHARE`` of the edges of a fixed sample of texts: at most
-    1 / ``HOT_SHARE`` of them, so they fit into every task."""
+    """Nodes that hold more than a partition's share of the edges of a fixed sample of texts: at
+    most ``MOST_PARTS`` of them, so they fit into every task."""
+    parts = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_PARTS), MOST_PARTS)
     some = _pieces(docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLED)) == 0), text, lang)
     sizes = some.mapInArrow(count_edges, _EDGE).groupBy("node").agg(F.count("*").alias("n"))
-    sizes = settle_table(sizes.orderBy(F.desc("n"), "node").limit(int(1 / HOT_SHARE)).unionByName(sizes.select(F.lit("").alias("node"), "n").groupBy("node").agg(F.sum("n").alias("n"))))
-    rows = sizes.collect()
-    total = max((r["n"] for r in rows if not r["node"]), default=0) or 0
-    return [r["node"] for r in rows if r["node"] and r["n"] > HOT_SHARE * total]
+    sizes = settle_table(sizes)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = sizes.where(F.col("n") * parts > total).collect()
+    return [r["node"] for r in rows]
 
 
 def graph(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = MIN_COUNT) -> DataFrame:
@@ -146,29 +155,28 @@ def graph(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     """
     found = _pieces(docs, text, lang).mapInArrow(count_edges, _EDGE)
     hot = hot_nodes(docs, text, lang)
-    salt = F.when(F.col("node").isin(hot), F.pmod(F.hash("next"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
-    # A filter or a sum must not pull the counting into itself: it ends at this exchange.
-    dealt = found.withColumn("salt", salt).repartition("node", "salt")
+    keys = ["node", "salt"] if hot else ["node"]
+    if hot:
+        found = found.withColumn("salt", F.when(F.col("node").isin(hot), F.pmod(F.hash("next"), F.lit(SALTS))).otherwise(0))
+    dealt = found.repartition(*keys)
     # The three sums read one exchange. So all of them use all its columns, and what they ask of a
     # node or a next word they ask of sums: else Spark would narrow or filter each one's input
     # below the exchange and count the texts anew for each.
     times = F.sum(F.when(F.col("next").isNotNull(), F.col("c"))).alias("c")
-    edges = dealt.groupBy("node", "salt", "next").agg(F.sum("c").alias("c"), F.max(F.col("next") != "").alias("inner"))
+    edges = dealt.groupBy(*keys, "next").agg(F.sum("c").alias("c"), F.max(F.col("next") != "").alias("inner"))
     edges = edges.where(F.col("inner") & (F.col("c") >= least))
     pair = F.max(F.contains("node", F.lit(" "))).alias("pair")
-    flow = dealt.groupBy("node", "salt").agg(times, pair, F.max(F.col("node").isin(hot) if hot else F.lit(False)).alias("hot"))
+    flow = dealt.groupBy(*keys).agg(times, pair, F.max(F.col("node").isin(hot) if hot else F.lit(False)).alias("hot"))
     if hot:
         whole = flow.where("hot").groupBy("node").agg(F.sum("c").alias("c"), F.max("pair").alias("pair"))
         flow = flow.where("not hot").select("node", "c", "pair").unionByName(whole)
-    pairs = flow.where(F.col("pair") & (F.col("c") >= least))
-    words = dealt.groupBy(_lang_of(F.col("node")).alias("lang"), F.substring_index(_words_of(F.col("node")), " ", 1).alias("first")).agg(times)
-    total = words.groupBy("lang").agg(F.sum("c").alias("c"))
+    total = dealt.groupBy(_lang_of(F.col("node")).alias("lang")).agg(F.sum(F.when(~F.contains("node", F.lit(" ")) & (F.col("next") == ""), F.col("c"))).alias("c"))
     none = F.lit("")
     named = (_lang_of(F.col("node")).alias("lang"), _words_of(F.col("node")).alias("first"))
+    flow = flow.where(F.col("c") >= least)
     return settle_table(
         edges.select(F.lit("edge").alias("kind"), *named, "next", "c")
-        .unionByName(pairs.select(F.lit("pair").alias("kind"), *named, none.alias("next"), "c"))
-        .unionByName(words.where(F.col("c") >= least).select(F.lit("word").alias("kind"), "lang", "first", none.alias("next"), "c"))
+        .unionByName(flow.select(F.when(F.col("pair"), "pair").otherwise("word").alias("kind"), *named, none.alias("next"), "c"))
         .unionByName(total.select(F.lit("total").alias("kind"), "lang", none.alias("first"), none.alias("next"), "c"))
     )
 
