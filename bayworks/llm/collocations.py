@@ -29,7 +29,7 @@ SCALE = 1_000_000
 TOP = 2000
 UNKNOWN = "und"
 #: Words, and different words, that a task counts before it hands its sums on; they bound its memory.
-HELD_WORDS, WORD_BITS = 6_000_000, 21
+HELD_WORDS, WORD_BITS = 4_000_000, 21
 #: Rows handed to Spark at a time.
 OUT_ROWS = 100_000
 #: A pair that holds more edges than a shuffle partition does on average (of so many at least
