@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bayworks.functions import tails
 from bayworks.functions.scalars import flag, ratio, share
 from bayworks.operators.ranks import exact_percentiles, ranked_values
 from bayworks.operators.shape import crosstab
@@ -27,7 +28,7 @@ def _tie_sum(n: str = "n") -> Column:
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Kruskal-Wallis H with tie correction and epsilon squared."""
+    """Kruskal-Wallis H with tie correction, p-value and epsilon squared."""
     df = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     ranked = ranked_values(df, [], value).select(F.col(value).alias("_v"), mid_rank().alias("_r"), "n")
     cells = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
@@ -46,13 +47,14 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     return total.crossJoin(F.broadcast(ties)).select(
         h.alias("h"),
         (F.col("k") - 1).alias("dof"),
+        tails.chi2_tail(h, F.col("k") - 1).alias("p"),
         F.try_divide(h, n - 1).alias("epsilon_sq"),
         n.cast("bigint").alias("n"),
     )
 
 
 def mann_whitney(df: DataFrame, chosen: Column, value: str) -> DataFrame:
-    """U of the chosen group against the rest, rank-biserial effect, normal approximation z."""
+    """U of the chosen group against the rest, rank-biserial effect, normal approximation z and its p-value."""
     df = df.where(F.col(value).isNotNull()).select(flag(chosen).alias("_g"), F.col(value).alias("_x"))
     ranked = ranked_values(df, [], "_x").select(F.col("_x").alias("_v"), mid_rank().alias("_r"), "n")
     cells = df.groupBy("_x").agg(F.count_if("_g").alias("_a"), F.count(F.lit(1)).alias("_c"))
@@ -72,9 +74,11 @@ def mann_whitney(df: DataFrame, chosen: Column, value: str) -> DataFrame:
     u = F.col("R1") - n1 * (n1 + 1) / 2
     largest = F.greatest(u, n1 * n2 - u)
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("T"), n * (n - 1))))
+    z = F.try_divide(largest - n1 * n2 / 2 - 0.5, spread)
     return one.crossJoin(F.broadcast(medians)).select(
         u.alias("u"),
-        F.try_divide(largest - n1 * n2 / 2 - 0.5, spread).alias("z"),
+        z.alias("z"),
+        tails.normal_upper_doubled(z).alias("p"),
         (F.try_divide(2 * u, n1 * n2) - 1).alias("rank_biserial"),
         "median_focus", "median_rest",
         n.cast("bigint").alias("n"),
@@ -104,7 +108,7 @@ def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
     stat = F.when(dof == 1, yates).otherwise(plain)
     width = F.least("R", "C") - 1
     return one.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(c)).select(
-        stat.alias("chi2"), dof.alias("dof"), F.sqrt(F.try_divide(stat, n * width)).alias("cramers_v"),
+        stat.alias("chi2"), dof.alias("dof"), tails.chi2_tail(stat, dof).alias("p"), F.sqrt(F.try_divide(stat, n * width)).alias("cramers_v"),
         n.cast("bigint").alias("n"),
     )
 
@@ -152,7 +156,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     vx, vy = F.col("S_x") - centre, F.col("S_y") - centre
     return cross.crossJoin(F.broadcast(squares["_x"])).crossJoin(F.broadcast(squares["_y"])).select(
         F.try_divide(F.col("P") - centre, F.sqrt(vx * vy)).alias("rho"), n.cast("bigint").alias("n")
-    )
+    ).withColumn("p", tails.correlation_two_sided(F.col("rho"), F.col("n")))
 
 
 def _weighted(pairs: DataFrame, c: str) -> DataFrame:
@@ -184,12 +188,14 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     n = F.col("N_x")
     centre = n * (n + 1) * (n + 1) / 4
     rho = F.try_divide(F.col("P") - centre, F.sqrt((F.col("S_x") - centre) * (F.col("S_y") - centre)))
-    return cross.join(spread, ["a", "b"]).select("a", "b", rho.alias("rho"), n.cast("bigint").alias("n"))
+    return cross.join(spread, ["a", "b"]).select("a", "b", rho.alias("rho"), n.cast("bigint").alias("n")).withColumn(
+        "p", tails.correlation_two_sided(F.col("rho"), F.col("n")))
 
 
 def summary_line(df: DataFrame, name: str, stat: str, effect: str) -> DataFrame:
-    """(test, statistic, effect, n) of a one-row test result."""
+    """(test, statistic, p, effect, n) of a one-row test result; p is null where it has none."""
+    p = F.col("p").cast("double") if "p" in df.columns else F.lit(None).cast("double")
     return df.select(
-        F.lit(name).alias("test"), F.col(stat).cast("double").alias("statistic"),
+        F.lit(name).alias("test"), F.col(stat).cast("double").alias("statistic"), p.alias("p"),
         F.col(effect).cast("double").alias("effect"), F.col("n").cast("bigint").alias("n"),
     )

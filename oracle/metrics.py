@@ -142,18 +142,39 @@ def mid(x: str, part: str = "") -> str:
     return f"(rank() OVER ({p} ORDER BY {x}) + (count(*) OVER ({q}) - 1) / 2.0)::DOUBLE"
 
 
+def _integral(density: str, end: str) -> str:
+    """Integral of ``density`` (in t) from ``end`` to infinity, by the double exponential rule."""
+    return f"""(SELECT sum(w * {density}) FROM (SELECT {end} + exp(s - exp(-s)) AS t, 0.02 * exp(s - exp(-s)) * (1 + exp(-s)) AS w
+    FROM (SELECT (k * 0.02)::DOUBLE AS s FROM range(-250, 331) q(k))))"""
+
+
+def chi2_p(x: str, dof: str) -> str:
+    a = f"(({dof}) / 2.0::DOUBLE)"
+    return f"CASE WHEN {dof} < 1 THEN NULL WHEN {x} <= 0 THEN 1 ELSE {_integral(f'exp(({a} - 1) * ln(t) - t - lgamma({a}))', f'(({x}) / 2.0::DOUBLE)')} END::DOUBLE"
+
+
+def normal_p(z: str) -> str:
+    return f"CASE WHEN {z} <= 0 THEN 1 ELSE 2 * {_integral('exp(-t * t / 2) / sqrt(2 * pi())', f'({z})')} END::DOUBLE"
+
+
+def rho_p(rho: str, n: str) -> str:
+    v = f"(({n}) - 2)::DOUBLE"
+    density = f"exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2) - ({v} + 1) / 2 * ln(1 + t * t / {v})) / sqrt({v} * pi())"
+    return f"CASE WHEN {n} < 3 THEN NULL WHEN abs({rho}) >= 1 THEN 0 ELSE 2 * {_integral(density, f'(abs({rho}) * sqrt({v} / (1 - {rho} * {rho})))')} END::DOUBLE"
+
+
 def kruskal(v: str) -> str:
     return f"""WITH x AS (SELECT center_id AS g, {v} AS v, {mid(v)} AS rk FROM fs WHERE {v} IS NOT NULL), s AS (SELECT g, count(*) AS n, sum(rk) AS R FROM x GROUP BY 1),
   t AS (SELECT sum(c * c * c - c) AS T FROM (SELECT count(*)::DOUBLE AS c FROM x GROUP BY v)), a AS (SELECT sum(n)::DOUBLE AS N, count(*) AS k, sum(R * R / n) AS S FROM s),
   h AS (SELECT (12.0::DOUBLE / (N * (N + 1)) * S - 3 * (N + 1)) / (1 - T / (N * N * N - N)) AS h, k, N FROM a, t)
-SELECT round(h, 6) AS h, (k - 1)::BIGINT AS dof, round(h / (N - 1), 6) AS epsilon_sq, N::BIGINT AS n FROM h"""
+SELECT round(h, 6) AS h, (k - 1)::BIGINT AS dof, round({chi2_p('h', '(k - 1)')}, 6) AS p, round(h / (N - 1), 6) AS epsilon_sq, N::BIGINT AS n FROM h"""
 
 
 M["kruskal_turnaround"], M["kruskal_wait"] = kruskal("turnaround_hours"), kruskal("wait_hours")
 M["mannwhitney"] = f"""WITH x AS (SELECT center_id = 6 AS g, wait_hours AS v, {mid('wait_hours')} AS rk FROM fs WHERE wait_hours IS NOT NULL), t AS (SELECT sum(c * c * c - c) AS T FROM (SELECT count(*)::DOUBLE AS c FROM x GROUP BY v)),
   a AS (SELECT count(*) FILTER (WHERE g)::DOUBLE AS n1, count(*) FILTER (WHERE NOT g)::DOUBLE AS n2, sum(rk) FILTER (WHERE g) AS R1, quantile_cont(v::DOUBLE, 0.5) FILTER (WHERE g) AS m1, quantile_cont(v::DOUBLE, 0.5) FILTER (WHERE NOT g) AS m2 FROM x),
   u AS (SELECT *, R1 - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n FROM a, t)
-SELECT u, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - T / (n * (n - 1)))), 6) AS z, round(2 * u / (n1 * n2) - 1, 6) AS rank_biserial, round(m1, 6) AS median_focus, round(m2, 6) AS median_rest, n::BIGINT AS n FROM u"""
+SELECT u, round(z, 6) AS z, round({normal_p('z')}, 6) AS p, round(2 * u / (n1 * n2) - 1, 6) AS rank_biserial, round(m1, 6) AS median_focus, round(m2, 6) AS median_rest, n::BIGINT AS n FROM (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - T / (n * (n - 1)))) AS z FROM u)"""
 
 
 def chi2(src: str, a: str, b: str) -> str:
@@ -161,7 +182,7 @@ def chi2(src: str, a: str, b: str) -> str:
   o AS (SELECT a, b, count(*)::DOUBLE AS o FROM d GROUP BY 1, 2), e AS (SELECT coalesce(o.o, 0) AS o, r * c / N AS e FROM ra CROSS JOIN cb CROSS JOIN n LEFT JOIN o ON o.a = ra.a AND o.b = cb.b),
   k AS (SELECT (SELECT count(*) FROM ra) AS nr, (SELECT count(*) FROM cb) AS nc),
   s AS (SELECT sum(CASE WHEN (nr - 1) * (nc - 1) = 1 THEN (abs(o - e) - least(0.5, abs(o - e))) * (abs(o - e) - least(0.5, abs(o - e))) / e ELSE (o - e) * (o - e) / e END) AS x FROM e, k)
-SELECT round(x, 6) AS chi2, ((nr - 1) * (nc - 1))::BIGINT AS dof, round(sqrt(x / (N * (least(nr, nc) - 1))), 6) AS cramers_v, N::BIGINT AS n FROM s, k, n"""
+SELECT round(x, 6) AS chi2, ((nr - 1) * (nc - 1))::BIGINT AS dof, round({chi2_p('x', '((nr - 1) * (nc - 1))')}, 6) AS p, round(sqrt(x / (N * (least(nr, nc) - 1))), 6) AS cramers_v, N::BIGINT AS n FROM s, k, n"""
 
 
 M["chi2_on_time_centre"] = chi2("fs", "center_id", "on_time_flag")
@@ -177,7 +198,9 @@ SELECT round(p1, 6) AS focus_rate, round(p2, 6) AS benchmark_rate, round(p1 - p2
 
 
 def rho(src: str, x: str, y: str, keys: str = "") -> str:
-    return f"""SELECT {keys} round(corr(rx, ry), 6) AS rho, count(*) AS n FROM (SELECT {mid('x')} AS rx, {mid('y')} AS ry FROM (SELECT {x} AS x, {y} AS y FROM {src} WHERE ({x}) IS NOT NULL AND ({y}) IS NOT NULL))"""
+    names = "".join(f"{k.split(' AS ')[1].strip()}, " for k in keys.split(",") if k.strip())
+    return f"""SELECT {names} round(rho, 6) AS rho, n, round({rho_p('rho', 'n')}, 6) AS p FROM (SELECT {keys} corr(rx, ry) AS rho, count(*) AS n FROM (
+  SELECT {mid('x')} AS rx, {mid('y')} AS ry FROM (SELECT {x} AS x, {y} AS y FROM {src} WHERE ({x}) IS NOT NULL AND ({y}) IS NOT NULL)))"""
 
 
 M["spearman_rating_late"] = rho("fs", "late_hours", "rating")
@@ -190,15 +213,15 @@ M["spearman_matrix"] = " UNION ALL ".join(rho("fs_load", f"round({a}::DOUBLE, 9)
 
 
 
-def line(test: str, stat: str, effect: str, sql: str, n: str = "n") -> str:
-    return f"SELECT '{test}' AS test, {stat}::DOUBLE AS statistic, {effect}::DOUBLE AS effect, {n}::BIGINT AS n FROM ({sql})"
+def line(test: str, stat: str, effect: str, sql: str, n: str = "n", p: str = "p") -> str:
+    return f"SELECT '{test}' AS test, {stat}::DOUBLE AS statistic, {p}::DOUBLE AS p, {effect}::DOUBLE AS effect, {n}::BIGINT AS n FROM ({sql})"
 
 
 _DAYS = "(SELECT count(*) FROM daily)"
 M["statistical_tests"] = " UNION ALL ".join([
     line("kruskal_turnaround_by_centre", "h", "epsilon_sq", M["kruskal_turnaround"]), line("kruskal_wait_by_centre", "h", "epsilon_sq", M["kruskal_wait"]),
     line("mannwhitney_wait_focus_vs_rest", "u", "rank_biserial", M["mannwhitney"]), line("chi2_on_time_by_centre", "chi2", "cramers_v", M["chi2_on_time_centre"]),
-    line("chi2_on_time_vs_parts_delay", "chi2", "cramers_v", M["chi2_on_time_parts"]), line("on_time_gap_focus_vs_benchmark", "gap", "cohens_h", M["prop_gap"], "NULL"),
+    line("chi2_on_time_vs_parts_delay", "chi2", "cramers_v", M["chi2_on_time_parts"]), line("on_time_gap_focus_vs_benchmark", "gap", "cohens_h", M["prop_gap"], "NULL", "NULL"),
     line("spearman_rating_vs_late_hours", "rho", "rho", M["spearman_rating_late"]), line("spearman_rating_vs_wait_hours", "rho", "rho", M["spearman_rating_wait"]),
     line("spearman_daily_load_vs_wait", "rho", "rho", M["spearman_load_wait"], _DAYS), line("spearman_daily_load_vs_on_time", "rho", "rho", M["spearman_load_on_time"], _DAYS),
     line("chi2_cancellation_vs_lead_band", "chi2", "cramers_v", M["chi2_cancel_lead"]), line("spearman_lead_days_vs_cancel_booked", "rho", "rho", M["spearman_lead_cancel"]),

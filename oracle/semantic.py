@@ -204,7 +204,7 @@ S["lineitem_chi2"] = om.chi2("lineitem", "l_returnflag", "l_linestatus")
 S["lineitem_abc"] = f"""WITH p AS (SELECT l_partkey, sum(l_extendedprice::DECIMAL(14,2)) AS value FROM lineitem GROUP BY 1),
   q AS (SELECT *, {div('value', 'sum(value) OVER ()')} AS vs, {div('sum(value) OVER (ORDER BY value DESC)', 'sum(value) OVER ()')} AS cs, {div('sum(value) OVER (ORDER BY value DESC) - sum(value) OVER (PARTITION BY value)', 'sum(value) OVER ()')} AS ab FROM p)
 SELECT l_partkey, value::DOUBLE AS value, round(vs, 6) AS value_share, round(cs, 6) AS cum_share, CASE WHEN ab < 0.80 THEN 'A' WHEN ab < 0.95 THEN 'B' ELSE 'C' END AS abc_class FROM q"""
-S["lineitem_kruskal"] = om.kruskal("price").replace("SELECT center_id AS g,", "SELECT l_returnflag AS g,").replace("FROM fs WHERE", "FROM (SELECT l_returnflag, l_extendedprice::DECIMAL(14,2) AS price FROM lineitem) WHERE").replace("round(h, 6)", "round(h, 4)").replace("round(h / (N - 1), 6)", "round(h / (N - 1), 4)")
+S["lineitem_kruskal"] = om.kruskal("price").replace("SELECT center_id AS g,", "SELECT l_returnflag AS g,").replace("FROM fs WHERE", "FROM (SELECT l_returnflag, l_extendedprice::DECIMAL(14,2) AS price FROM lineitem) WHERE").replace("round(h, 6)", "round(h, 4)").replace("round(h / (N - 1), 6)", "round(h / (N - 1), 4)").replace(", 6) AS p,", ", 4) AS p,")
 _O = "o_totalprice"
 S["orders_describe"] = f"""SELECT '{_O}' AS "column", count({_O}) AS count, round(sum({_O}::DECIMAL(18,2))::DOUBLE / count({_O}), 3) AS mean, round(stddev_samp({_O}), 3) AS std, round(min({_O}), 3) AS min, round(max({_O}), 3) AS max, round(skewness({_O}), 3) AS skew,
   {r(om.md(_O, 0.25), 3)} AS p25, {r(om.md(_O, 0.5), 3)} AS p50, {r(om.md(_O, 0.75), 3)} AS p75, {r(om.md(_O, 0.95), 3)} AS p95 FROM orders"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bayworks.config import Config
-from bayworks.functions import scalars, shopclock
+from bayworks.functions import scalars, shopclock, tails
 from bayworks.operators import ranks
 from bayworks.operators.history import neighbours, running_number
 from bayworks.plans import explore, stats
@@ -108,12 +109,37 @@ def test_p_values_at_known_quantiles():
     assert pvalues.correlation_two_sided(rho, dof + 2) == pytest.approx(0.05, abs=1e-9)
 
 
+def test_tail_columns_equal_plain_numerics(spark):
+    rows = [(x, float(d)) for d in (1, 2, 3, 7, 30, 400, 20_000) for x in (0.0, 1e-9, 0.3, 1.0, d * 0.5, d * 0.97, d + 0.0, d * 1.1, d * 2.0, d * 5.0)]
+    got = spark.createDataFrame(rows, "x double, d double").withColumn("p", tails.chi2_tail(F.col("x"), F.col("d"))).collect()
+    for r in got:
+        assert r["p"] == pytest.approx(pvalues.chi2_tail(r["x"], r["d"]), rel=1e-8, abs=1e-12), r
+    rows = [(rho, n) for n in (3, 4, 5, 12, 100, 5_000, 1_000_000, 10**10) for rho in (0.0, 1e-7, 1e-3, -0.02, 0.3, -0.9, 0.999999, 1.0)]
+    got = spark.createDataFrame(rows, "rho double, n long").withColumn("p", tails.correlation_two_sided(F.col("rho"), F.col("n"))).collect()
+    for r in got:
+        want = pvalues.correlation_two_sided(r["rho"], r["n"])
+        if r["n"] == 10**10 and r["rho"] != 1:  # plain numerics lose their digits here; Student's t is the normal distribution
+            want = pvalues.normal_two_sided(abs(r["rho"]) * (r["n"] / (1 - r["rho"] ** 2)) ** 0.5)
+        assert r["p"] == pytest.approx(want, rel=1e-6, abs=1e-7), r
+    zs = spark.createDataFrame([(z / 7,) for z in range(-10, 80)], "z double").withColumn("p", tails.normal_upper_doubled(F.col("z"))).collect()
+    assert all(r["p"] == pytest.approx(pvalues.normal_upper_doubled(r["z"]), rel=1e-9) for r in zs)
+    odd = spark.createDataFrame([(None, None), (1.0, 0.0), (None, 3.0), (float("nan"), 2.0)], "x double, d double")
+    for r in odd.select("d", tails.chi2_tail(F.col("x"), F.col("d")).alias("p"), tails.correlation_two_sided(F.col("x"), F.col("d")).alias("q"), tails.normal_upper_doubled(F.lit(None).cast("double")).alias("z")).collect():
+        assert (r["p"] is None or r["d"] == 2.0) and r["z"] is None and (r["q"] is None or r["d"] == 3.0)
+
+
+def test_log_gamma(spark):
+    xs = [0.5, 1.0, 1.5, 2.0, 3.7, 10.0, 123.5, 1e4, 1e9]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", tails.log_gamma(F.col("x")).alias("y")).collect()
+    assert all(r["y"] == pytest.approx(math.lgamma(r["x"]), rel=1e-13, abs=1e-13) for r in got)
+
+
 def test_rank_tests_on_small_samples(spark):
     df = spark.createDataFrame(
         [("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 4.0), ("b", 5.0), ("b", 6.0)], "g string, v double"
     )
     k = stats.kruskal(df, "g", "v").first()
-    assert k["h"] == pytest.approx(27 / 7) and k["dof"] == 1
+    assert k["h"] == pytest.approx(27 / 7) and k["dof"] == 1 and k["p"] == pytest.approx(pvalues.chi2_tail(27 / 7, 1))
     u = stats.mann_whitney(df, F.col("g") == "a", "v").first()
     assert u["u"] == 0 and u["rank_biserial"] == -1
     pair = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 5), (5, 4)], "x int, y int")
