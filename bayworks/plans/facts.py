@@ -18,6 +18,7 @@ from bayworks.functions.scalars import (
     year_month,
 )
 from bayworks.operators.history import neighbours, running_number
+from bayworks.session import settle_table
 
 Tables = dict[str, DataFrame]
 
@@ -77,11 +78,16 @@ def working_days(spark: SparkSession, cfg: Config) -> DataFrame:
 
 
 # ---- jobs ---------------------------------------------------------------------
-def job_history(t: Tables, how: str = "left") -> DataFrame:
+VISIT = {"customer_visit_number"}
+
+
+def job_history(t: Tables, how: str = "left", want: set[str] | None = None) -> DataFrame:
     """Narrow history columns per job: previous finish, next check-in, visit number.
 
+    ``want`` leaves out the visit number, or the two neighbours, where nothing else is asked for.
     Only keys and two time stamps travel through the history windows; the result joins
-    back on the job key together with the other job-keyed tables.
+    back on the job key together with the other job-keyed tables. The narrow rows are stored
+    once for both orders.
     """
     bookings, vehicles = t["appointments"], t["vehicles"]
     if how == "inner":  # the SQL views also require a known centre and a known customer
@@ -96,15 +102,22 @@ def job_history(t: Tables, how: str = "left") -> DataFrame:
         .join(owner, "appointment_id", how)
         .drop("appointment_id")
     )
-    numbered = running_number(rows, ["customer_id"], "check_in_time", "work_order_id", "customer_visit_number")
-    return neighbours(
-        numbered,
-        ["vehicle_id", "service_type"],
-        "check_in_time",
-        "work_order_id",
-        previous={"previous_end": "end_time"},
-        following={"next_check_in": "check_in_time"},
-    ).select("work_order_id", "previous_end", "next_check_in", "customer_visit_number")
+    numbered, chained = want is None or bool(want & VISIT), want is None or bool(want - VISIT)
+    if numbered and chained:
+        rows = settle_table(rows)  # sorted twice
+    if numbered:
+        rows = running_number(rows, ["customer_id"], "check_in_time", "work_order_id", "customer_visit_number")
+    if chained:
+        rows = neighbours(
+            rows,
+            ["vehicle_id", "service_type"],
+            "check_in_time",
+            "work_order_id",
+            previous={"previous_end": "end_time"},
+            following={"next_check_in": "check_in_time"},
+        )
+    found = ["previous_end", "next_check_in"] * chained + ["customer_visit_number"] * numbered
+    return rows.select("work_order_id", *found)
 
 
 # What each optional join contributes; a consumer that names its columns skips the others.
@@ -181,7 +194,7 @@ def fact_service(t: Tables, cfg: Config, want: set[str] | None = None) -> DataFr
         rated = t["feedback"].select("work_order_id", "rating", "feedback_category")
         out = out.join(rated, "work_order_id", "left")
     if needs(HISTORY):
-        out = out.join(job_history(t), "work_order_id", "left")
+        out = out.join(job_history(t, want=want and want & HISTORY), "work_order_id", "left")
     if needs(BOOKING):
         booked = t["appointments"].select("appointment_id", "vehicle_id", "center_id", "booking_channel")
         out = out.join(booked, "appointment_id", "left")

@@ -22,7 +22,7 @@ from bayworks.functions.scalars import (
     weekday_name,
     year_month,
 )
-from bayworks.plans.facts import job_history, working_days
+from bayworks.plans.facts import VISIT, job_history, working_days
 
 Tables = dict[str, DataFrame]
 R = rounded_to
@@ -80,7 +80,7 @@ def work_order_enriched(t: Tables, cfg: Config, want: set[str] | None = None) ->
         rated = t["feedback"].select("work_order_id", "rating", "feedback_category")
         joined = joined.join(rated, "work_order_id", "left")
     if needs(HISTORY):
-        joined = joined.join(job_history(t, "inner"), "work_order_id")
+        joined = joined.join(job_history(t, "inner", want and want & HISTORY), "work_order_id")
     joined = (
         joined.join(booking, "appointment_id")
         .join(owner, "vehicle_id")
@@ -122,7 +122,7 @@ def work_order_enriched(t: Tables, cfg: Config, want: set[str] | None = None) ->
             "cost_variance_pct": pct.cast("decimal(18,4)"),
             "cost_overrun_flag": flag(pct > cfg.overrun_threshold),
         }
-    if needs(HISTORY):
+    if needs(HISTORY - VISIT):
         del columns["previous_end"], columns["next_check_in"]
         columns |= {
             "prev_same_service_end": F.col("previous_end"),

@@ -35,7 +35,19 @@ def visits(spark):
     return spark.createDataFrame(rows, "id int, who string, kind string, at timestamp, done timestamp").cache()
 
 
-def test_history_matches_brute_force(visits):
+@pytest.mark.parametrize("partitions", [1, 8, 90])
+def test_history_matches_brute_force(spark, visits, partitions):
+    """Also with so many partitions that entities, and equal or missing times, span several."""
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        check_history(visits)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def check_history(visits):
     out = neighbours(visits, ["who", "kind"], "at", "id", {"p": "done"}, {"n": "at"})
     out = running_number(out, ["who"], "at", "id", "k")
     got = {r["id"]: (r["p"], r["n"], r["k"]) for r in out.collect()}
