@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -15,9 +16,9 @@ from bayworks.functions import shopclock
 from bayworks.functions.scalars import band, parse_datetime, rounded_to
 from bayworks.config import LEAD_BANDS, TURNAROUND_EDGES
 from bayworks.operators import clean, filters, shape, validate
-from bayworks.plans import explore, facts, insights, kpis, measures, metrics, quality, reports, stats, views, whatif
+from bayworks.plans import cube, explore, facts, insights, kpis, measures, metrics, quality, reports, stats, views, whatif
 from bayworks.session import configure, scratch_folder, settle_table
-from bayworks.sources import binding, defects, files, schemas
+from bayworks.sources import binding, defects, files, schemas, versions
 
 CFG = binding.BOUND_CONFIG
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,9 +48,34 @@ class Model:
         return facts.fact_service(self.tables, CFG)
 
     @cached_property
+    def dataset(self) -> versions.Version:
+        """The facts as a published version, made once from the same input files and settings.
+
+        It lies in the session's shared folder and serves all queries that read facts more
+        than once, as a dashboard's data set does.
+        """
+        paths = [f"{self.folder}/{name}.parquet" for name in binding.SCHEMAS]
+        made_from = versions.fingerprint(self.spark, paths, CFG)
+        base = f"{scratch_folder(self.spark)}/datasets/{hashlib.sha256(self.folder.encode()).hexdigest()[:16]}"
+        return versions.cached(self.spark, f"{base}/facts", made_from, lambda: {
+            "fact_service": self.fact, "fact_appointments": self.appts, "technician_hours": self.load})
+
+    @cached_property
+    def published(self) -> dict[str, DataFrame]:
+        return self.dataset.read(self.spark)
+
+    @property
     def stored(self) -> DataFrame:
-        """The job facts, built once and stored, for queries that read them more than once."""
-        return settle_table(self.fact)
+        """The job facts of the published version."""
+        return self.published["fact_service"]
+
+    @cached_property
+    def cube(self) -> dict[str, DataFrame]:
+        """The slicer cube of the published facts, a version of its own."""
+        made = self.dataset
+        base = f"{made.folder.rsplit('/versions/', 1)[0]}-cube"
+        facts_ = [self.published[n] for n in ("fact_service", "fact_appointments", "technician_hours")]
+        return versions.cached(self.spark, base, made.folder, lambda: cube.build(*facts_, CFG)).read(self.spark)
 
     def jobs(self, columns: str) -> DataFrame:
         """Job facts reduced to the named columns and the joins those need."""
@@ -270,7 +296,7 @@ for _name, _key, _cols in (
 add("fact_kpis", lambda m: kpis.fact_kpis(m.stored, CFG), digits=6)
 add("appointment_kpis", lambda m: kpis.appointment_kpis(m.appts), digits=6)
 add("utilisation_total", lambda m: kpis.utilisation(m.load), digits=6)
-add("headline", lambda m: kpis.headline(m.stored, m.appts, m.load, CFG), digits=6)
+add("headline", lambda m: kpis.headline(*m.published.values(), CFG), digits=6)
 add("group_kpis", lambda m: kpis.group_kpis(m.stored, ["center_name"], CFG), digits=6)
 add("group_kpis_two_keys", lambda m: kpis.group_kpis(m.stored, ["region", "model"], CFG), digits=6)
 add("monthly_trend", lambda m: kpis.monthly_trend(m.stored, CFG), digits=6)
@@ -280,8 +306,8 @@ add("skill_comeback", lambda m: kpis.skill_table(m.fact, CFG).select("skill_leve
 add("appt_rates", lambda m: kpis.appointment_rates(m.appts, ["center_name", "month"]), digits=6)
 add("cancellation_by_lead", lambda m: kpis.cancellation_by(m.appts, "lead_time_band", LEAD_BANDS), digits=6)
 add("reason_share", lambda m: kpis.cancellation_reasons(m.appts), digits=6)
-add("centre_scorecard", lambda m: kpis.centre_scorecard(m.stored, m.appts, m.load, CFG), digits=6)
-add("index_vs_average", lambda m: kpis.index_against_average(kpis.centre_scorecard(m.stored, m.appts, m.load, CFG)), digits=6)
+add("centre_scorecard", lambda m: kpis.centre_scorecard(*m.published.values(), CFG), digits=6)
+add("index_vs_average", lambda m: kpis.index_against_average(kpis.centre_scorecard(*m.published.values(), CFG)), digits=6)
 add("utilisation_by", lambda m: kpis.utilisation_by(m.load, ["center_name"]), digits=6)
 add("technician_scorecard", lambda m: kpis.technician_scorecard(m.fact, m.tech, CFG), digits=6)
 add("util_matrix", lambda m: kpis.utilisation_matrix(m.load, CFG.months), digits=6)
@@ -304,7 +330,7 @@ add("extremes", lambda m: shape.extremes(kpis.appointment_rates(m.appts, ["cente
 
 
 def _scorecard(m: Model) -> DataFrame:
-    return kpis.centre_scorecard(m.stored, m.appts, m.load, CFG)
+    return kpis.centre_scorecard(*m.published.values(), CFG)
 
 
 add("insight_executive", lambda m: insights.executive(_scorecard(m)), digits=6)
@@ -334,6 +360,11 @@ add("slicer_selection", lambda m: shape.label_frame(m.load, "one", ["x"]).select
     .crossJoin(F.broadcast(_sliced(m)["fact"].agg(F.count(F.lit(1)).alias("jobs"), F.sum("revenue").alias("revenue"))))
     .crossJoin(F.broadcast(_sliced(m)["appts"].agg(F.count(F.lit(1)).alias("appointments"))))
     .crossJoin(F.broadcast(_sliced(m)["tech"].agg(F.sum("available_hours").alias("available_hours")))))
+add("cube_headline", lambda m: cube.headline(cube.page(m.cube, CFG)), digits=6)
+add("cube_monthly_trend", lambda m: cube.monthly_trend(cube.page(m.cube, CFG)), digits=6)
+add("cube_centre_scorecard", lambda m: cube.centre_scorecard(cube.page(m.cube, CFG)), digits=6)
+add("cube_slicer_headline", lambda m: cube.headline(cube.page(cube.sliced(m.cube, CHOSEN), CFG)), digits=6)
+add("cube_slicer_months", lambda m: cube.monthly_trend(cube.page(cube.sliced(m.cube, CHOSEN), CFG)), digits=6)
 add("slicer_options", lambda m: filters.slicer_options(m.jobs(SLICED_JOBS)))
 
 
@@ -593,11 +624,11 @@ add("sort_key", lambda m: measures.sort_keys(
 
 # ---- load verification, business hours ------------------------------------------------------
 def _load_verify(m: Model) -> DataFrame:
-    """Ordered load into the shared scratch folder; the written tables are read back and counted."""
+    """Ordered load as a new version of a data set; what its pointer names is read back and counted."""
     tables = {n: m.tables[n] for n in schemas.LOAD_ORDER}
     target = f"{scratch_folder(m.spark)}/load-{uuid.uuid4().hex}"
-    files.write_tables(tables, target, schemas.LOAD_ORDER)
-    return files.verify_counts(tables, files.load_cleaned(m.spark, target, schemas.LOAD_ORDER))
+    files.load_all(m.spark, tables, target)
+    return files.verify_counts(tables, versions.current(m.spark, target).read(m.spark))
 
 
 add("load_verify", _load_verify)

@@ -6,7 +6,8 @@ out of grouped results.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,40 +40,83 @@ def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # ---- measure sets -------------------------------------------------------------------
-def job_measures(cfg: Config) -> dict[str, Column]:
-    """Work-order measures as aggregate expressions, by name."""
-    total, revenue, n = zero_sum(cost()), zero_sum("revenue"), F.count(F.lit(1))
+@dataclass(frozen=True)
+class Over:
+    """What a measure is aggregated from: job rows, or stored cells of them.
+
+    ``total`` and ``present`` take the name of an input: its sum, and how often it is not null.
+    """
+
+    n: Column
+    total: Callable[[str], Column]
+    present: Callable[[str], Column]
+
+    def zero(self, name: str) -> Column:
+        return F.coalesce(self.total(name), F.lit(0))
+
+    def mean(self, name: str) -> Column:
+        return ratio(self.total(name), self.present(name))
+
+
+def derived_inputs(cfg: Config) -> dict[str, Column]:
+    """Inputs of measures that are not columns of the facts."""
+    return {"cost": cost(), "csat": F.col("rating") >= cfg.csat_threshold}
+
+
+#: Inputs that are true or false; their mean is a share.
+FLAGS = {"cost_overrun_flag", "on_time_flag", "csat", "caused_repeat_visit", "parts_delay_flag", "qc_passed_first_time"}
+
+
+def input_value(name: str, cfg: Config) -> Column:
+    c = derived_inputs(cfg).get(name, F.col(name))
+    return c.cast("int") if name in FLAGS else c
+
+
+def rows(cfg: Config) -> Over:
+    """Measures straight from job rows."""
+    return Over(
+        F.count(F.lit(1)), lambda name: F.sum(input_value(name, cfg)), lambda name: F.count(input_value(name, cfg))
+    )
+
+
+def additive_measures(over: Over) -> dict[str, Column]:
+    """Work-order measures made of sums and counts, by name."""
+    total, revenue = over.zero("cost"), over.zero("revenue")
     return {
-        "work_orders": n,
+        "work_orders": over.n,
         "revenue": revenue,
-        "labor_cost": zero_sum("labor_cost"),
-        "parts_cost": zero_sum("parts_cost"),
+        "labor_cost": over.zero("labor_cost"),
+        "parts_cost": over.zero("parts_cost"),
         "total_cost": total,
         "profit": revenue - total,
         "margin_pct": ratio(revenue - total, revenue),
-        "parts_share": ratio(zero_sum("parts_cost"), total),
-        "avg_service_cost": ratio(total, n),
-        "cost_variance": zero_sum("cost_variance"),
-        "cost_overrun_rate": share("cost_overrun_flag"),
-        "on_time_pct": share("on_time_flag"),
-        "avg_turnaround": mean("turnaround_hours"),
-        "median_turnaround": F.median("turnaround_hours"),
-        "avg_wait": mean("wait_hours"),
-        "avg_duration_variance": mean("duration_variance_hours"),
-        "avg_rating": mean("rating"),
-        "csat_pct": share(F.col("rating") >= cfg.csat_threshold),
-        "rated_orders": F.count("rating"),
-        "comeback_rate": share("caused_repeat_visit"),
-        "parts_delay_rate": share("parts_delay_flag"),
-        "qc_first_pass_rate": share("qc_passed_first_time"),
+        "parts_share": ratio(over.zero("parts_cost"), total),
+        "avg_service_cost": ratio(total, over.n),
+        "cost_variance": over.zero("cost_variance"),
+        "cost_overrun_rate": over.mean("cost_overrun_flag"),
+        "on_time_pct": over.mean("on_time_flag"),
+        "avg_turnaround": over.mean("turnaround_hours"),
+        "avg_wait": over.mean("wait_hours"),
+        "avg_duration_variance": over.mean("duration_variance_hours"),
+        "avg_rating": over.mean("rating"),
+        "csat_pct": over.mean("csat"),
+        "rated_orders": over.present("rating"),
+        "comeback_rate": over.mean("caused_repeat_visit"),
+        "parts_delay_rate": over.mean("parts_delay_flag"),
+        "qc_first_pass_rate": over.mean("qc_passed_first_time"),
     }
 
 
-def grouped_extra() -> dict[str, Column]:
+def job_measures(cfg: Config) -> dict[str, Column]:
+    """All work-order measures of job rows as aggregate expressions, by name."""
+    return {**additive_measures(rows(cfg)), "median_turnaround": F.median("turnaround_hours")}
+
+
+def grouped_extra(over: Over) -> dict[str, Column]:
     return {
-        "avg_cost_variance_pct": mean("cost_variance_pct"),
-        "avg_est_hours": mean("estimated_hours"),
-        "avg_actual_hours": mean("actual_hours"),
+        "avg_cost_variance_pct": over.mean("cost_variance_pct"),
+        "avg_est_hours": over.mean("estimated_hours"),
+        "avg_actual_hours": over.mean("actual_hours"),
     }
 
 
@@ -124,15 +168,19 @@ def headline(fact: DataFrame, appts: DataFrame, tech: DataFrame, cfg: Config) ->
 
 def group_kpis(fact: DataFrame, keys: Sequence[str], cfg: Config) -> DataFrame:
     """All work-order KPIs per group."""
-    rows = known(fact, keys)
-    out = rows.groupBy(*keys).agg(*aliased({**job_measures(cfg), **grouped_extra()}))
-    return out.join(repeat_rate_by(rows, keys, cfg), list(keys), "left")
+    jobs = known(fact, keys)
+    out = jobs.groupBy(*keys).agg(*aliased({**job_measures(cfg), **grouped_extra(rows(cfg))}))
+    return out.join(repeat_rate_by(jobs, keys, cfg), list(keys), "left")
 
 
 def monthly_trend(fact: DataFrame, cfg: Config) -> DataFrame:
-    """KPIs per month with month-over-month change; the window sees one row per month."""
+    """KPIs per month with month-over-month change."""
+    return with_growth(group_kpis(fact, ["month"], cfg))
+
+
+def with_growth(trend: DataFrame) -> DataFrame:
+    """Month-over-month change of revenue and profit; the window sees one row per month."""
     w = Window.orderBy("month")
-    trend = group_kpis(fact, ["month"], cfg)
     return trend.select(
         "*",
         (ratio("revenue", F.lag("revenue").over(w)) - 1).alias("revenue_mom_pct"),
@@ -169,14 +217,15 @@ def average_rank(value: str, descending: bool = False) -> Column:
 
 
 def centre_scorecard(fact: DataFrame, appts: DataFrame, tech: DataFrame, cfg: Config) -> DataFrame:
-    """One row per centre with a composite score (mean percentile rank) and its rank.
-
-    The rank windows run over one row per centre.
-    """
+    """One row per centre with a composite score (mean percentile rank) and its rank."""
     base = group_kpis(fact, ["center_name", "region"], cfg)
     demand = appointment_rates(appts, ["center_name"]).drop("cancelled", "no_shows")
     load = utilisation_by(tech, ["center_name"]).select("center_name", "utilisation")
-    card = base.join(demand, "center_name", "left").join(load, "center_name", "left")
+    return with_score(base.join(demand, "center_name", "left").join(load, "center_name", "left"))
+
+
+def with_score(card: DataFrame) -> DataFrame:
+    """Score and rank of each centre; the windows run over one row per centre."""
     ranks = F.array(
         average_rank("on_time_pct"),
         average_rank("avg_rating"),

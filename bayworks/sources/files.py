@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bayworks.operators.clean import with_ordinal
-from bayworks.sources import schemas
+from bayworks.sources import schemas, versions
 
 FACT_FILES = ("fact_service", "fact_appointments", "fact_technician_month", "dim_date")
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -100,27 +100,14 @@ def verify_counts(source: Mapping[str, DataFrame], loaded: Mapping[str, DataFram
 
 
 def load_all(spark: SparkSession, tables: Mapping[str, DataFrame], target: str) -> DataFrame:
-    """All-or-nothing load: write next to the target, verify, then publish by one rename.
+    """All-or-nothing load, parents before children: (table, expected, actual, ok) per table.
 
-    A failed verification raises and leaves the published folder untouched; the replaced
-    version stays beside it as ``<target>__previous``.
+    The tables become a new version of the data set at ``target`` (``versions``), verified
+    before it is published. A failed load raises and the version before it stays current.
     """
-    staging, previous = f"{target}__staging", f"{target}__previous"
     order = [n for n in schemas.LOAD_ORDER if n in tables]
-    write_tables(tables, staging, order)
-    report = verify_counts({n: tables[n] for n in order}, load_cleaned(spark, staging, order))
-    lines = report.collect()  # one line per table
-    if not all(r["ok"] for r in lines):
-        raise ValueError(f"row counts differ: {[r['table'] for r in lines if not r['ok']]}")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path(target)):
-        if fs.exists(path(previous)):
-            fs.delete(path(previous), True)
-        fs.rename(path(target), path(previous))
-    if not fs.rename(path(staging), path(target)):
-        raise OSError(f"could not publish {target}")
-    return spark.createDataFrame([r.asDict() for r in lines], report.schema)
+    _, lines = versions.publish(spark, target, {n: schemas.with_defaults(tables[n], n) for n in order})
+    return spark.createDataFrame(lines, "table string, expected long, actual long, ok boolean")
 
 
 def save_results(results: Mapping[str, DataFrame], base: str) -> list[dict]:

@@ -133,4 +133,11 @@ K["slicer_selection"] = f"""SELECT 'selection' AS what, (SELECT count(*) FROM fa
   (SELECT sum(available_hours)::DOUBLE FROM technician_month WHERE month BETWEEN '1997-03' AND '1999-02' AND {PICK}) AS available_hours"""
 K["slicer_options"] = """SELECT DISTINCT 'region' AS slicer, region AS choice FROM fact_service UNION SELECT 'centre', center_name FROM fact_service UNION SELECT 'service_type', service_type FROM fact_service
   UNION SELECT 'model', model FROM fact_service UNION SELECT 'min_date', strftime(min(service_date), '%Y-%m-%d') FROM fact_service UNION SELECT 'max_date', strftime(max(service_date), '%Y-%m-%d') FROM fact_service"""
+# A cube gives what the facts give, whole and sliced.
+K["cube_headline"], K["cube_monthly_trend"], K["cube_centre_scorecard"] = K["headline"], K["monthly_trend"], K["centre_scorecard"]
+JOBS_IN = f"(SELECT * FROM fact_service WHERE service_date {IN_DATES} AND {PICK} AND service_type {TYPE})"
+K["cube_slicer_headline"] = f"""SELECT * FROM ({TOTAL.replace('fact_service', JOBS_IN)})
+  CROSS JOIN (SELECT {APPT} FROM fact_appointments WHERE scheduled_date {IN_DATES} AND {PICK} AND requested_service_type {TYPE})
+  CROSS JOIN (SELECT {UTIL} AS utilisation FROM technician_month WHERE month BETWEEN '1997-03' AND '1999-02' AND {PICK})"""
+K["cube_slicer_months"] = K["monthly_trend"].replace("fact_service", JOBS_IN)
 SQL = {k: query(v) for k, v in K.items()}
