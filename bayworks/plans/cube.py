@@ -83,28 +83,40 @@ def _grouped(cells: DataFrame, measures: Sequence[Column], within: Sequence[str]
 def page(cube: Mapping[str, DataFrame], cfg: Config) -> DataFrame:
     """One row for the total, each month and each centre, with all KPIs of jobs, bookings and load.
 
-    Every input is grouped once for all levels; what is joined has a row for each month and
-    centre at most. The total is there even if the selection is empty.
+    Everything that adds up, and the histograms, go through one grouping for all levels; only
+    visits are folded by customer first. What is joined has a row for each month and centre
+    at most. The total is there even if the selection is empty.
     """
-    jobs = _grouped(cube["jobs"], kpis.aliased({**kpis.additive_measures(over_cells()), **kpis.grouped_extra(over_cells())}))
-    median = _grouped(cube["hours"], [F.expr("percentile(turnaround_hours, 0.5D, n)").alias("median_turnaround")])
+    jobs = cube["jobs"].drop("service_date", "service_type", "model")
+    hours = cube["hours"].select(*_KEYS, "turnaround_hours", F.col("n").alias("timed"))
+    bookings = cube["bookings"].select(*_KEYS, F.col("n").alias("booked"), "cancelled", "no_shows")
+    cells = jobs
+    for part in (hours, bookings, cube["load"].drop("jobs")):
+        cells = cells.unionByName(part, allowMissingColumns=True)
+    booked = F.sum("booked")
+    found = _grouped(cells, [
+        *kpis.aliased({**kpis.additive_measures(over_cells()), **kpis.grouped_extra(over_cells())}),
+        F.expr("percentile(turnaround_hours, 0.5D, coalesce(timed, 0))").alias("median_turnaround"),
+        booked.alias("appointments"), ratio(F.sum("cancelled"), booked).alias("cancellation_rate"),
+        ratio(F.sum("no_shows"), booked).alias("no_show_rate"),
+        ratio(F.sum("service_hours"), F.sum("available_hours")).alias("utilisation"),
+    ])
     each = _grouped(cube["visits"], [F.sum("n").alias("n")], ["customer_id"])
     repeat = each.groupBy("level", *_KEYS).agg(kpis.share(F.col("n") >= cfg.repeat_min_orders).alias("repeat_visit_rate"))
-    n = F.sum("n")
-    booked = _grouped(cube["bookings"], [
-        n.alias("appointments"), ratio(F.sum("cancelled"), n).alias("cancellation_rate"), ratio(F.sum("no_shows"), n).alias("no_show_rate")])
-    used = _grouped(cube["load"], [ratio(F.sum("service_hours"), F.sum("available_hours")).alias("utilisation")])
-    # One union and one fold instead of a chain of joins: each cell of the page comes from one input.
-    parts = [jobs, median, repeat, booked, used]
-    names = [c for p in parts for c in p.columns if c not in ("level", *_KEYS)]
-    whole = cube["jobs"].sparkSession.range(1).select(F.lit("total").alias("level"), *(F.lit(None).cast("string").alias(k) for k in _KEYS))
-    for p in parts:
+    # A union and a fold instead of a join on keys that may be null: each cell comes from one input.
+    names = [c for c in (*found.columns, *repeat.columns) if c not in ("level", *_KEYS)]
+    whole = found.sparkSession.range(1).select(F.lit("total").alias("level"), *(F.lit(None).cast("string").alias(k) for k in _KEYS))
+    for p in (found, repeat):
         whole = whole.unionByName(p, allowMissingColumns=True)
     folded = whole.groupBy("level", *_KEYS).agg(*[F.max(c).alias(c) for c in names])
     zero = {c: F.when(F.col("level") == "total", F.coalesce(c, F.lit(0))).otherwise(F.col(c)) for c in _COUNTS}
     return folded.withColumns(zero)
 
 
+def held(made: DataFrame) -> DataFrame:
+    """A page as a local relation, for several visuals: it has a row for each month and centre."""
+    return made.sparkSession.createDataFrame(made.toArrow(), made.schema)
+
 
 def headline(made: DataFrame) -> DataFrame:
     """The KPIs of ``kpis.headline`` from a page."""

@@ -15,7 +15,7 @@ from bayworks.plans import facts, quality
 from bayworks.plans.bound import CFG as BOUND
 from bayworks.plans.bound import Model
 from bayworks.session import settle
-from bayworks.sources import defects, files, schemas
+from bayworks.sources import defects, files, schemas, versions
 
 CFG = Config(
     model_aliases={"model a": "Model A", "a": "Model A", "model b": "Model B"},
@@ -266,7 +266,8 @@ def test_csv_round_trip_and_verified_load(spark, tmp_path):
     for _ in range(2):  # the second load replaces the first
         report = files.load_all(spark, t, target)
         assert report.count() == 10 and report.where("not ok").count() == 0
-    assert files.missing_tables(spark, target, schemas.TABLES) == []
+    loaded = versions.current(spark, target)
+    assert loaded.number == 2 and files.missing_tables(spark, loaded.folder, schemas.TABLES) == []
     assert files.missing_tables(spark, target, ["nothing"]) == ["nothing"]
 
 
