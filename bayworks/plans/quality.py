@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bayworks.config import Config
 from bayworks.functions.scalars import any_of, flag
 from bayworks.operators.history import neighbours
-from bayworks.operators.validate import counters, duplicated, one_count, orphans, union_all
+from bayworks.operators.validate import KeyCheck, Use, compiled_checks, counters, lost_key, met_key, one_count, repeated_key, union_all
 from bayworks.sources import schemas
 
 Tables = Mapping[str, DataFrame]
@@ -156,31 +156,36 @@ def row_conditions(cfg: Config) -> dict[str, dict[int, Column]]:
     }
 
 
-DUPLICATES = [
-    (1, "appointments", "appointment_id"),
-    (2, "work_orders", "work_order_id"),
-    (3, "customers", "customer_id"),
-    (3, "vehicles", "vehicle_id"),
-    (3, "part_usage", "usage_id"),
-    (3, "feedback", "feedback_id"),
-    (3, "feedback", "work_order_id"),
-    (3, "financials", "work_order_id"),
-    (4, "work_orders", "appointment_id"),
-]
-ORPHANS = [
-    (5, "vehicles", "customer_id", "customers", True),
-    (6, "appointments", "vehicle_id", "vehicles", True),
-    (7, "appointments", "center_id", "service_centers", True),
-    (8, "technicians", "center_id", "service_centers", True),
-    (9, "work_orders", "appointment_id", "appointments", True),
-    (10, "work_orders", "technician_id", "technicians", False),
-    (11, "part_usage", "work_order_id", "work_orders", True),
-    (12, "part_usage", "part_id", "parts", True),
-    (13, "financials", "work_order_id", "work_orders", True),
-    (14, "feedback", "work_order_id", "work_orders", True),
-    (15, "work_orders", "work_order_id", "financials", True),
-    (50, "work_orders", "work_order_id", "feedback", True),
-]
+def _use(name: str, rows: str | None = None) -> Use:
+    return Use(*name.split("."), rows)
+
+
+_DONE, _OPEN = "status = 'Completed'", "status <> 'Completed'"
+#: check number -> what it asks of the keys of a space.
+KEY_CHECKS: dict[int, list[KeyCheck]] = {
+    1: [repeated_key("appointment", _use("appointments.appointment_id"))],
+    2: [repeated_key("job", _use("work_orders.work_order_id"))],
+    3: [
+        repeated_key("customer", _use("customers.customer_id")), repeated_key("vehicle", _use("vehicles.vehicle_id")),
+        repeated_key("usage", _use("part_usage.usage_id")), repeated_key("feedback", _use("feedback.feedback_id")),
+        repeated_key("job", _use("feedback.work_order_id")), repeated_key("job", _use("financials.work_order_id")),
+    ],
+    4: [repeated_key("appointment", _use("work_orders.appointment_id"))],
+    5: [lost_key("customer", _use("vehicles.customer_id"), _use("customers.customer_id"))],
+    6: [lost_key("vehicle", _use("appointments.vehicle_id"), _use("vehicles.vehicle_id"))],
+    7: [lost_key("centre", _use("appointments.center_id"), _use("service_centers.center_id"))],
+    8: [lost_key("centre", _use("technicians.center_id"), _use("service_centers.center_id"))],
+    9: [lost_key("appointment", _use("work_orders.appointment_id"), _use("appointments.appointment_id"))],
+    10: [lost_key("technician", _use("work_orders.technician_id"), _use("technicians.technician_id"), nulls=False)],
+    11: [lost_key("job", _use("part_usage.work_order_id"), _use("work_orders.work_order_id"))],
+    12: [lost_key("part", _use("part_usage.part_id"), _use("parts.part_id"))],
+    13: [lost_key("job", _use("financials.work_order_id"), _use("work_orders.work_order_id"))],
+    14: [lost_key("job", _use("feedback.work_order_id"), _use("work_orders.work_order_id"))],
+    15: [lost_key("job", _use("work_orders.work_order_id"), _use("financials.work_order_id"))],
+    40: [lost_key("appointment", _use("appointments.appointment_id", _DONE), _use("work_orders.appointment_id"))],
+    41: [met_key("appointment", _use("work_orders.appointment_id"), _use("appointments.appointment_id", _OPEN))],
+    50: [lost_key("job", _use("work_orders.work_order_id"), _use("feedback.work_order_id"))],
+}
 
 
 def usage_cost(t: Tables) -> DataFrame:
@@ -197,12 +202,6 @@ def _bookings(t: Tables, *columns: str) -> DataFrame:
     return t["appointments"].select("appointment_id", *columns)
 
 
-def _off_schedule(t: Tables, cfg: Config) -> DataFrame:
-    wo = t["work_orders"].select("appointment_id", "check_in_time")
-    gap = F.abs(F.datediff(F.to_date("check_in_time"), "scheduled_date"))
-    return wo.join(_bookings(t, "scheduled_date"), "appointment_id").where(gap > 7)
-
-
 def _early_feedback(t: Tables, cfg: Config) -> DataFrame:
     fb = t["feedback"].select("work_order_id", "feedback_date")
     return fb.join(t["work_orders"].select("work_order_id", "end_time"), "work_order_id").where(
@@ -218,24 +217,18 @@ def _odd_purchase(t: Tables, cfg: Config) -> DataFrame:
     )
 
 
-def _odometer_back(t: Tables, cfg: Config) -> DataFrame:
+def visit_checks(t: Tables, cfg: Config, numbers: set[int]) -> DataFrame:
+    """(check_id, n) of checks 33 and 39, whichever are asked for, from one table of visits."""
     visits = (
         t["work_orders"]
         .select("work_order_id", "appointment_id", "check_in_time", "odometer_km")
-        .join(_bookings(t, "vehicle_id"), "appointment_id")
+        .join(_bookings(t, "vehicle_id", "scheduled_date"), "appointment_id")
     )
-    chained = neighbours(visits, ["vehicle_id"], "check_in_time", "work_order_id", {"prev_km": "odometer_km"}, {})
-    return chained.where(F.col("odometer_km") < F.col("prev_km"))
-
-
-def _not_served(t: Tables, cfg: Config) -> DataFrame:
-    done = t["appointments"].where(F.col("status") == "Completed")
-    return orphans(done, "appointment_id", t["work_orders"], "appointment_id")
-
-
-def _served_anyway(t: Tables, cfg: Config) -> DataFrame:
-    open_ = _bookings(t, "status").where(F.col("status") != "Completed")
-    return t["work_orders"].select("appointment_id").join(open_, "appointment_id")
+    conditions = {33: F.abs(F.datediff(F.to_date("check_in_time"), "scheduled_date")) > 7}
+    if 39 in numbers:
+        visits = neighbours(visits, ["vehicle_id"], "check_in_time", "work_order_id", {"prev_km": "odometer_km"}, {})
+        conditions[39] = F.col("odometer_km") < F.col("prev_km")
+    return counters(visits, {check_id(n): c for n, c in conditions.items() if n in numbers}, "check_id")
 
 
 def _unreconciled(t: Tables, cfg: Config) -> DataFrame:
@@ -246,34 +239,31 @@ def _unreconciled(t: Tables, cfg: Config) -> DataFrame:
 
 
 SPECIAL: dict[int, Callable[[Tables, Config], DataFrame]] = {
-    33: _off_schedule,
     34: _early_feedback,
     35: _odd_purchase,
-    39: _odometer_back,
-    40: _not_served,
-    41: _served_anyway,
     43: _unreconciled,
 }
 
 
 def run_checks(t: Tables, cfg: Config, numbers: Iterable[int] = CATALOGUE) -> DataFrame:
-    """(check_id, check_name, check_type, issue_count, status) for the chosen checks."""
+    """(check_id, check_name, check_type, issue_count, status) for the chosen checks.
+
+    Row and key checks are compiled into one pass over each table and one grouping; five
+    checks that compare columns of several tables are joins of their own.
+    """
     wanted = set(numbers)
-    parts = []
-    for table, conditions in row_conditions(cfg).items():
-        chosen = {check_id(n): cond for n, cond in conditions.items() if n in wanted}
-        if chosen:
-            parts.append(counters(t[table], chosen, "check_id"))
-    for n, table, key in DUPLICATES:
-        if n in wanted:
-            parts.append(one_count(duplicated(t[table], [key]), "check_id", check_id(n)))
-    for n, child, column, parent, nulls in ORPHANS:
-        if n in wanted:
-            key = column if parent not in ("service_centers", "customers", "vehicles") else schemas.PRIMARY_KEYS[parent]
-            parts.append(one_count(orphans(t[child], column, t[parent], key, nulls), "check_id", check_id(n)))
-    for n, rows in SPECIAL.items():
+    by_row = {
+        table: {check_id(n): cond for n, cond in conditions.items() if n in wanted}
+        for table, conditions in row_conditions(cfg).items()
+    }
+    by_row = {table: conditions for table, conditions in by_row.items() if conditions}
+    by_key = {check_id(n): checks for n, checks in KEY_CHECKS.items() if n in wanted}
+    parts = [compiled_checks(t, by_row, by_key)] if by_row or by_key else []
+    if wanted & {33, 39}:
+        parts.append(visit_checks(t, cfg, wanted & {33, 39}))
+    for n, found in SPECIAL.items():
         if n in wanted:
-            parts.append(one_count(rows(t, cfg), "check_id", check_id(n)))
+            parts.append(one_count(found(t, cfg), "check_id", check_id(n)))
     names = F.create_map(
         *[F.lit(x) for n in sorted(wanted) for x in (check_id(n), CATALOGUE[n][0])]
     )

@@ -155,3 +155,31 @@ def test_cells_of_any_two_parts_add_up(spark, model):
     parts = [cube.build(fact.where(f"work_order_id % 2 = {i}"), appts.where(f"appointment_id % 2 = {i}"), tech.where(f"technician_id % 2 = {i}"), CFG) for i in (0, 1)]
     both = {n: parts[0][n].unionByName(parts[1][n]) for n in parts[0]}
     same(cube.page(both, CFG), cube.page(model.cube, CFG), ("level", "month", "center_name"))
+
+
+# ---- compiled checks ----------------------------------------------------------------
+def test_compiled_checks_equal_single_ones(spark):
+    """Hot keys, null keys, keys on one side only, rows that break several rules, an empty table."""
+    from pyspark.sql import functions as F
+
+    from bayworks.operators.validate import Use, compiled_checks, lost_key, met_key, orphans, repeated_key
+
+    child = spark.createDataFrame([(1, 5)] * 40 + [(2, None), (3, 9), (9, 1), (None, 2), (None, None)], "k int, v int")
+    parent = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (None, "b"), (None, "a"), (7, None)], "k int, s string")
+    tables = {"child": child, "parent": parent, "empty": child.where("false")}
+    c, p, e, b = Use("child", "k"), Use("parent", "k"), Use("empty", "k"), Use("parent", "k", "s = 'b'")
+    got = compiled_checks(
+        tables,
+        {"child": {"r1": F.col("v") > 4, "both": F.col("v").isNull()}, "parent": {"both": F.col("s") == "b"}, "empty": {"r2": F.lit(True)}},
+        {
+            "repeated": [repeated_key("k", c), repeated_key("k", p)], "lost": [lost_key("k", c, p)],
+            "lost known": [lost_key("k", c, p, nulls=False)], "back": [lost_key("k", p, c)], "met": [met_key("k", c, b)],
+            "all lost": [lost_key("k", c, e)], "none": [lost_key("k", e, p), repeated_key("k", e)],
+        },
+    )
+    want = {
+        "r1": 41, "both": 4, "r2": 0, "repeated": 4, "lost": orphans(child, "k", parent, "k").count(),
+        "lost known": orphans(child, "k", parent, "k", nulls=False).count(), "back": orphans(parent, "k", child, "k").count(),
+        "met": child.join(parent.where("s = 'b'"), "k").count(), "all lost": child.count(), "none": 0,
+    }
+    assert {r["check_id"]: r["n"] for r in got.collect()} == want
