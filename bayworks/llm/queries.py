@@ -122,7 +122,7 @@ FROM judged
 UNION ALL
 SELECT conv_id, call_id, turn, NULL, NULL, 'orphan', NULL, NULL,
   '{{"call_id":"' || call_id || '"' || CASE WHEN text IS NULL THEN '' ELSE ',"result":' || to_json(text) END || '}}'
-FROM results WHERE call_id NOT IN (SELECT call_id FROM calls)""",
+FROM results WHERE NOT EXISTS (SELECT 1 FROM calls WHERE calls.call_id = results.call_id)""",
     "op10_quality_rules": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,

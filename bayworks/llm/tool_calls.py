@@ -58,32 +58,56 @@ def argument_errors(tool: Column, arguments: Column, schemas: dict[str, dict]) -
     return F.when(not_object, F.array(F.lit("arguments are no object"))).otherwise(out)
 
 
+#: More than any chain of calls is long; keeps the lengths around a cycle in range.
+_FAR = 1 << 40
+
+
 def ordered(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, step, looped) of identified calls (conv_id, call_id, turn, after, one row each).
 
     The step is the turn, or more if a dependency's step demands it: one more than each of
     its dependencies at least. Sorting by step, then turn, is a topological order, and where
-    every dependency has an earlier turn it is the order of turns. Dependencies on unknown
-    calls do not count. A round is one equi-join on identifiers; the rounds are as many as
-    calls in a row stand before what they depend on. Steps beyond what a conversation
-    without a cycle can need show a cycle; those calls are marked and get no step.
+    every dependency has an earlier turn it is the order of turns: such conversations are
+    done after one join. Dependencies on unknown calls do not count.
+
+    In the others, a call without open dependencies is done and is taken off what depends on
+    it, which takes over its step (Kahn). A dependency on a call that itself has just one is
+    passed on to that one, with the length of both, so a chain of any length takes rounds
+    that grow with its logarithm; calls with several open dependencies each take a round for
+    each level. When a round takes nothing off, what is left depends on a cycle: those
+    calls are marked and get no step. Turns play no part in the number of rounds.
     """
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("needs"))
-    known = calls.select("conv_id", F.col("call_id").alias("needs"))
-    edges = settle_table(edges.join(known, ["conv_id", "needs"]).distinct())
-    size = calls.groupBy("conv_id").agg((F.max("turn") + F.count("*")).alias("most"))
-    now = calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("step"))
-    while True:
-        before = now.select("conv_id", F.col("call_id").alias("needs"), (F.col("step") + 1).alias("least"))
-        due = edges.join(before, ["conv_id", "needs"]).groupBy("conv_id", "call_id").agg(F.max("least").alias("least"))
-        late = due.join(now, ["conv_id", "call_id"]).where("least > step").join(size, "conv_id").where("step <= most")
-        late = settle_table(late.select("conv_id", "call_id", "least"))
-        if late.isEmpty():
+    key = ["conv_id", "call_id"]
+    now = calls.select(*key, F.col("turn").cast("long").alias("step"))
+    edges = calls.select(*key, F.explode("after").alias("needs")).distinct()
+    asked = now.withColumnsRenamed({"call_id": "needs", "step": "its"})
+    edges = settle_table(edges.join(asked, ["conv_id", "needs"]).join(now, key).withColumn("late", F.col("its") >= F.col("step")))
+    odd = edges.where("late").select("conv_id").distinct()
+    edges = settle_table(edges.join(odd, "conv_id", "left_semi").select(*key, "needs", F.lit(1).cast("long").alias("far")))
+    left = edges.count()
+    if not left:
+        return now.withColumn("looped", F.lit(False))
+    value = settle_table(now.join(odd, "conv_id", "left_semi"))
+    while left:
+        open_ = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("needs").alias("next"), F.max("far").alias("more"))
+        open_ = open_.select("conv_id", F.col("call_id").alias("needs"), "n", "next", "more")
+        its = value.withColumnsRenamed({"call_id": "needs", "step": "its"})
+        both = settle_table(edges.join(its, ["conv_id", "needs"]).join(open_, ["conv_id", "needs"], "left"))
+        due = both.groupBy(*key).agg(F.max(F.col("its") + F.col("far")).alias("least"))
+        value = settle_table(value.join(due, key, "left").select(*key, F.greatest("step", F.coalesce("least", "step")).alias("step")))
+        passed = (F.col("n") == 1) & (F.col("needs") != F.col("call_id"))
+        kept = both.where("n is not null").select(
+            *key, F.when(passed, F.col("next")).otherwise(F.col("needs")).alias("needs"),
+            F.when(passed, F.least(F.col("far") + F.col("more"), F.lit(_FAR))).otherwise(F.col("far")).alias("far"),
+        )
+        edges = settle_table(kept.groupBy(*key, "needs").agg(F.max("far").alias("far")))
+        before, left = left, edges.count()
+        if left == before:
             break
-        moved = now.join(late, ["conv_id", "call_id"], "left")
-        now = settle_table(moved.select("conv_id", "call_id", F.coalesce("least", "step").alias("step")))
-    out = now.join(size, "conv_id").withColumn("looped", F.col("step") > F.col("most"))
-    return out.select("conv_id", "call_id", F.when(~F.col("looped"), F.col("step")).alias("step"), "looped")
+    stuck = edges.select(*key).distinct().withColumn("looped", F.lit(True))
+    moved = value.select(*key, F.col("step").alias("moved"))
+    out = now.join(moved, key, "left").join(stuck, key, "left").withColumn("looped", F.coalesce("looped", F.lit(False)))
+    return out.select(*key, F.when(~F.col("looped"), F.coalesce("moved", "step")).alias("step"), "looped")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -139,7 +163,9 @@ def format_conversations(turns: DataFrame, schemas: dict[str, dict] = TURN_SCHEM
     A turn that is not the assistant's calls for the assistant's next turn: the role is the
     tool, text and number of words are the arguments, conversation and turn the identifier.
     It depends on the call two turns before, whose result stands between them. Turns without
-    a conversation or number are unidentified; a null text gives arguments without text.
+    a conversation or number are unidentified; a null text gives arguments without text. Of
+    repeated turns the first is the call or its answer, the others are duplicates or extra, as
+    ``link`` says.
     """
     ident = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 
 import numpy as np
@@ -197,6 +198,47 @@ def test_arguments_are_checked_and_canonical(linked):
     assert json.loads(line)["arguments"]["a"] == 'q"uote' and "result" not in json.loads(line)
 
 
+def slow_steps(calls):
+    """(conv, call) -> step, or None for calls that depend on a cycle."""
+    turn = {(c, k): t for c, k, t, _ in calls}
+    needs = {(c, k): [(c, a) for a in after or [] if (c, a) in turn] for c, k, _, after in calls}
+    done = {}
+    while True:
+        ready = [k for k in turn if k not in done and all(a in done for a in needs[k])]
+        if not ready:
+            return {k: done.get(k) for k in turn}
+        for k in ready:
+            done[k] = max([turn[k], *(done[a] + 1 for a in needs[k])])
+
+
+def test_steps_equal_brute_force(spark):
+    rng = random.Random(11)
+    calls = []
+    for conv in range(60):
+        n = rng.randint(1, 14)
+        for k in range(n):
+            some = rng.choices([0, 1, 2, 3], [4, 5, 2, 1])[0]
+            # Mostly earlier calls, now and then later ones, itself or none that is known.
+            after = [str(rng.randint(0, k) if rng.random() < 0.8 else rng.randint(0, n)) for _ in range(some)]
+            calls.append((conv, str(k), rng.choice([k, 2 * k, 5, 1_000_000 * k]), after))
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, after array<string>")
+    got = {(r.conv_id, r.call_id): None if r.looped else r.step for r in tool_calls.ordered(df).collect()}
+    assert got == slow_steps(calls) and None in got.values()
+
+
+def test_long_chains_and_late_cycles_end_soon(spark, monkeypatch):
+    """Rounds grow with the logarithm of a chain, and not at all with the turns."""
+    stored = []
+    monkeypatch.setattr(tool_calls, "settle_table", lambda df, plain=tool_calls.settle_table: stored.append(1) or plain(df))
+    chain = [(1, str(k), 5000 - k, [str(k - 1)] if k else []) for k in range(5000)]  # each needs the turn after it
+    ring = [(2, str(k), 1_000_000 + k, [str((k + 1) % 7)]) for k in range(7)] + [(2, "behind", 2_000_000, ["3"])]
+    pair = [(3, "a", 1, ["b"]), (3, "b", 1_000_000, ["a"]), (3, "free", 3, [])]
+    df = spark.createDataFrame(chain + ring + pair, "conv_id long, call_id string, turn long, after array<string>")
+    got = {(r.conv_id, r.call_id): None if r.looped else r.step for r in tool_calls.ordered(df).collect()}
+    assert got == slow_steps(chain + ring + pair)
+    assert len(stored) <= 3 + 3 * 16
+
+
 def test_nothing_to_link(linked):
     _, c, r = linked
     assert tool_calls.link(c.where("false"), r.where("false"), SCHEMAS).count() == 0
