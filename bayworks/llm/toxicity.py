@@ -120,8 +120,13 @@ def signals(model: Model, text: str | None) -> list[float]:
             spared.append((start, end))
         elif weight > at.get(start, 0.0):
             at[start] = weight
-    for a, b in spared:
-        for k in [k for k in at if a <= k < b]:
+    spared.sort()
+    reach, phrase = -1, 0
+    for k in sorted(at) if spared else ():
+        while phrase < len(spared) and spared[phrase][0] <= k:
+            reach = max(reach, spared[phrase][1])
+            phrase += 1
+        if k < reach:
             del at[k]
     total = sum(at.values())
     words = folded.count(" ") - 1

@@ -415,3 +415,33 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none):
         assert stage(spark, odd, FOLDER).columns == odd.columns
         assert stage(spark, none, FOLDER).count() == 0
     assert isinstance(corpus_pipeline.STAGES[-1][1](spark, none, FOLDER).schema["sequence_id"].dataType, T.LongType)
+
+
+def test_toxicity_of_exceptions_equals_a_plain_search_and_is_linear():
+    """Entries inside exception phrases do not count, whatever lies inside what, in time that grows with the text."""
+    import random
+    import time
+
+    model = toxicity.Model({" tras": 3.0, " trash ": 4.0, " scum": 2.5, " can ": 1.0, " clow": 5.0}, [1.0, 0.0, 0.0], 0.0)
+
+    def slow(text):
+        folded = toxicity.fold(text)
+        at = {}
+        for entry, weight in model.weights.items():
+            for m in re.finditer(f"(?={re.escape(entry)})", folded):
+                at[m.start()] = max(at.get(m.start(), 0.0), weight)
+        for phrase in model.exceptions:
+            p = toxicity.fold(phrase)
+            for m in re.finditer(f"(?={re.escape(p)})", folded):
+                for k in [k for k in at if m.start() <= k < m.start() + len(p) - 1]:
+                    del at[k]
+        return sum(at.values())
+
+    rng = random.Random(2)
+    words = ["trash", "can", "bag", "scum", "pond", "clown", "fish", "car", "trashy", "scumbag", "x"]
+    for _ in range(300):
+        text = " ".join(rng.choices(words, k=rng.randint(0, 12)))
+        assert toxicity.signals(model, text)[0] == pytest.approx(np.log1p(slow(text)))
+    start = time.time()
+    toxicity.signals(model, "trash can scum " * 700_000)  # 10 MB
+    assert time.time() - start < 60
