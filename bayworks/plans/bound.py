@@ -638,6 +638,34 @@ def _load_verify(m: Model) -> DataFrame:
 
 
 add("load_verify", _load_verify)
+EXTRACT = T.StructType([
+    T.StructField("customer_id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("segment", T.StringType()),
+    T.StructField("balance", T.DoubleType()), T.StructField("registered", T.TimestampType()),
+])
+
+
+def _extract(m: Model) -> tuple[DataFrame, DataFrame]:
+    """Customers as CSV extracts of three days, read back: (rows, rejected lines).
+
+    The later extracts repeat every second and third customer with another balance. Of all
+    lines some lack a field, have one too many, or hold text where a number belongs.
+    """
+    c = m.read("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    base = f"{scratch_folder(m.spark)}/extract-{uuid.uuid4().hex}"
+    k = F.col("k")
+    for day, every in enumerate((1, 2, 3)):
+        balance = F.when(k % 19 == day, F.lit("n/a")).otherwise((k * 10 + day).cast("string"))
+        stamp = F.when(k % 29 == day, F.lit("yesterday")).otherwise(F.concat(F.lit(f"2024-01-0{day + 1} 10:00:"), F.lpad((k % 60).cast("string"), 2, "0")))
+        fields = [k.cast("string"), "name", "segment", balance, stamp]
+        line = F.when(k % 17 == day, F.concat_ws(",", *fields[:3])).when(k % 23 == day, F.concat_ws(",", *fields, F.lit("more"))).otherwise(F.concat_ws(",", *fields))
+        rows = c.where(k % every == 0).select(line.alias("customer_id,name,segment,balance,registered"))
+        # Each part file starts with a header, as the extracts of a source system do.
+        rows.write.option("header", True).option("sep", "\u0001").csv(f"{base}/day{day + 1}")  # whole lines
+    return files.scan_csv(m.spark, base, EXTRACT)
+
+
+add("csv_first_rows", lambda m: files.keep_first(_extract(m)[0], ["customer_id"]), digits=6)
+add("csv_rejects", lambda m: _extract(m)[1].select(F.substring_index("file", "/", 1).alias("day"), "line"))
 METRICS = (
     "service_scorecard", "cancellation_diag", "cancellation_lead_diag", "centre_diag", "monthly_diag", "yoy", "load_band_profile",
     "overloaded_share", "weekday_profile", "carry_over", "process_stages", "parts_delay_cat", "parts_delay_cat_centre",

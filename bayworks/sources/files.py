@@ -7,8 +7,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from bayworks.operators.clean import _ORD as ORDINAL
 from bayworks.operators.clean import with_ordinal
+from bayworks.session import settle_table
 from bayworks.sources import schemas, versions
 
 FACT_FILES = ("fact_service", "fact_appointments", "fact_technician_month", "dim_date")
@@ -39,6 +42,32 @@ def load_raw(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     return out
 
 
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of CSV files with a header: what fits ``schema``, and the lines that do not.
+
+    A line with too few or too many fields, or a value that is not of its column's type, is a
+    reject: (file, line), the file's path below ``path``. Rows keep the order of the files, by
+    path and place, in the ordinal that keep-first rules use. The scan is stored once: it must
+    read all columns to judge a line, and both results come from the same reading.
+    """
+    bad = "_bad_line"
+    wide = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
+    rows = reader.option("timestampFormat", TIMESTAMP_FORMAT).option("recursiveFileLookup", True).schema(wide).csv(path)
+    root = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
+    below = F.substring_index(root, path.rstrip("/").split("://")[-1].lstrip("/") + "/", -1)
+    stored = settle_table(with_ordinal(rows.withColumn("file", below), files=True))
+    kept = [c for c in stored.columns if c not in (bad, "file")]
+    return stored.where(F.col(bad).isNull()).select(kept), stored.where(F.col(bad).isNotNull()).select("file", F.col(bad).alias("line"))
+
+
+def keep_first(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of rows with equal keys the first by their ordinal; folded by aggregation, so a hot key is summed where it lies."""
+    rest = [c for c in df.columns if c not in keys and c != ORDINAL]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ORDINAL).alias("_first"))
+    return first.select(*keys, "_first.*")
+
+
 def load_cleaned(spark: SparkSession, base: str, names: Sequence[str] = FACT_FILES) -> dict[str, DataFrame]:
     """Stored tables by name."""
     return {n: spark.read.parquet(f"{base}/{n}") for n in names}

@@ -151,6 +151,18 @@ S["dim_unknown_member"] = """SELECT technician_id::VARCHAR AS technician_id, ski
 S["dim_distinct"] = "SELECT DISTINCT 'service_type' AS dimension, requested_service_type AS member FROM appointments UNION ALL SELECT DISTINCT 'model', model FROM vehicles"
 S["dim_date_labels"] = f"SELECT strftime(service_date, '{MK}') AS date, strftime(date_trunc('month', service_date), '{MK}') AS month_start, strftime(service_date, '%b %y') AS month_label, isodow(service_date)::INT AS weekday_sort, count(*) AS jobs FROM fact_service GROUP BY service_date"
 S["sort_key"] = "SELECT lead_time_band, CASE lead_time_band WHEN 'Same day' THEN 1 WHEN '1-3 days' THEN 2 WHEN '4-7 days' THEN 3 WHEN '8-14 days' THEN 4 WHEN '15+ days' THEN 5 ELSE 0 END AS lead_band_sort, count(*) AS appointments FROM fact_appointments GROUP BY 1"
+# Three daily extracts with bad lines: what is wrong with a line, and the first good one of each customer.
+EXTRACT = " UNION ALL ".join(
+    f"""SELECT {d} AS day, c_custkey AS k, c_name AS name, c_mktsegment AS segment, c_custkey * 10 + {d} AS balance,
+    '2024-01-0{d + 1} 10:00:' || lpad((c_custkey % 60)::VARCHAR, 2, '0') AS stamp, c_custkey % 19 = {d} AS text_balance, c_custkey % 29 = {d} AS text_stamp,
+    c_custkey % 17 = {d} AS short, c_custkey % 23 = {d} AS long FROM customer WHERE c_custkey % {every} = 0"""
+    for d, every in enumerate((1, 2, 3))
+)
+S["csv_first_rows"] = f"""SELECT k AS customer_id, name, segment, balance::DOUBLE AS balance, stamp AS registered FROM ({EXTRACT})
+  WHERE NOT (short OR long OR text_balance OR text_stamp) QUALIFY row_number() OVER (PARTITION BY k ORDER BY day) = 1"""
+S["csv_rejects"] = f"""SELECT 'day' || (day + 1) AS day, k || ',' || name || ',' || segment || CASE WHEN short THEN '' ELSE ',' || CASE WHEN text_balance THEN 'n/a' ELSE balance::VARCHAR END
+  || ',' || CASE WHEN text_stamp THEN 'yesterday' ELSE stamp END || CASE WHEN long THEN ',more' ELSE '' END END AS line
+FROM ({EXTRACT}) WHERE short OR long OR text_balance OR text_stamp"""
 S["load_verify"] = " UNION ALL ".join(
     f"SELECT '{t}' AS \"table\", count(*) AS expected, count(*) AS actual, TRUE AS ok FROM {t}" for t in ("customers", "service_centers", "technicians", "vehicles", "appointments", "work_orders", "parts", "part_usage", "financials", "feedback")
 )

@@ -183,3 +183,30 @@ def test_compiled_checks_equal_single_ones(spark):
         "met": child.join(parent.where("s = 'b'"), "k").count(), "all lost": child.count(), "none": 0,
     }
     assert {r["check_id"]: r["n"] for r in got.collect()} == want
+
+
+# ---- CSV scans ----------------------------------------------------------------------
+def test_csv_scan_keeps_order_and_rejects(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from bayworks.sources import files
+
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.StringType()), T.StructField("v", T.DoubleType())])
+    texts = {
+        "a/1.csv": ["1,one,1.5", "2,two,", "x,bad key,1", "3,three"],
+        "a/2.csv": [],
+        "b/1.csv": ["1,later,9", "4,four,4,extra", "5,,5", "2,later,2", "1,last,0", ""],
+        "b/2.csv": [f"{k},big,{k}" for k in range(100, 3000)],
+    }
+    for name, lines in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("\n".join(["k,s,v", *lines]) + "\n")
+    rows, rejects = files.scan_csv(spark, str(tmp_path), schema)
+    assert sorted((r["file"], r["line"]) for r in rejects.collect()) == [
+        ("a/1.csv", "3,three"), ("a/1.csv", "x,bad key,1"), ("b/1.csv", "4,four,4,extra"),
+    ]
+    assert [r["k"] for r in rows.orderBy("_ord").collect()] == [1, 2, 1, 5, 2, 1, *range(100, 3000)]
+    first = {r["k"]: (r["s"], r["v"]) for r in files.keep_first(rows, ["k"]).collect()}
+    assert len(first) == 2903 and first[1] == ("one", 1.5) and first[2] == ("two", None) and first[5] == (None, 5.0)
+    none, lost = files.scan_csv(spark, str(tmp_path / "a" / "2.csv"), schema)
+    assert none.count() == 0 and lost.count() == 0
