@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from bayworks.functions import shopclock
 from bayworks.functions.scalars import band, parse_datetime, rounded_to
 from bayworks.config import LEAD_BANDS, TURNAROUND_EDGES
-from bayworks.operators import clean, filters, shape, validate
+from bayworks.operators import clean, diff, filters, shape, validate
 from bayworks.plans import cube, explore, facts, insights, kpis, measures, metrics, quality, reports, stats, views, whatif
 from bayworks.session import configure, scratch_folder, settle_table
 from bayworks.sources import binding, defects, files, schemas, versions
@@ -542,6 +542,17 @@ add("table_diff", lambda m: explore.table_diff(
     staged(m)["vehicles"].select(VEHICLE_KEYS), cleaned(m)["vehicles"].rows.select(VEHICLE_KEYS)))
 
 
+def _vehicle_changes(m: Model) -> DataFrame:
+    """What cleaning did to the vehicles, key by key, from two stored versions."""
+    base = f"{scratch_folder(m.spark)}/diff-{uuid.uuid4().hex}"
+    for name, rows in (("raw", staged(m)["vehicles"]), ("clean", cleaned(m)["vehicles"].rows)):
+        diff.store(rows.select(VEHICLE_KEYS), ["vehicle_id"], f"{base}/{name}")
+    return diff.changes(m.spark, f"{base}/raw", f"{base}/clean", ["vehicle_id"])
+
+
+add("table_changes", _vehicle_changes)
+
+
 # ---- semantic measures and visuals ----------------------------------------------------------
 def bi(m: Model, names, dims=(), filtered: bool = False) -> dict[str, DataFrame]:
     """Fact tables of the semantic model, with only the job columns that are needed, stored once."""

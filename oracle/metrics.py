@@ -336,6 +336,12 @@ M["column_profile"] = " UNION ALL ".join(
 _V = "vehicle_id, customer_id, model, model_year"
 M["table_diff"] = f"""WITH a AS (SELECT {_V} FROM s_vehicles), b AS (SELECT {_V} FROM c_vehicles), l AS (SELECT count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)), r AS (SELECT count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
 SELECT l.n AS only_left, r.n AS only_right, l.n + r.n = 0 AS identical FROM l, r"""
+_LISTS = "vehicle_id, count(*) AS n, list(customer_id ORDER BY customer_id) AS c1, list(model ORDER BY model) AS c2, list(model_year ORDER BY model_year) AS c3"
+M["table_changes"] = f"""WITH a AS (SELECT {_LISTS} FROM s_vehicles GROUP BY vehicle_id), b AS (SELECT {_LISTS} FROM c_vehicles GROUP BY vehicle_id),
+  j AS (SELECT coalesce(a.vehicle_id, b.vehicle_id) AS vehicle_id, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'lost' ELSE 'changed' END AS status,
+    concat_ws(' ', CASE WHEN a.c1 IS DISTINCT FROM b.c1 THEN 'customer_id' END, CASE WHEN a.c2 IS DISTINCT FROM b.c2 THEN 'model' END, CASE WHEN a.c3 IS DISTINCT FROM b.c3 THEN 'model_year' END) AS names
+    FROM a FULL JOIN b ON a.vehicle_id = b.vehicle_id)
+SELECT vehicle_id, status, CASE WHEN status = 'changed' THEN names ELSE '' END AS columns FROM j WHERE names <> ''"""
 _JOB = """service_scorecard cancellation_diag cancellation_lead_diag centre_diag monthly_diag yoy load_band_profile overloaded_share weekday_profile carry_over
   process_stages parts_delay_cat parts_delay_cat_centre parts_delay_impact abc_summary safety_stock skill_profile technician_diag rework_cost overrun_drivers
   reasons_by_centre technician_monthly_cost"""

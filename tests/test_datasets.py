@@ -210,3 +210,51 @@ def test_csv_scan_keeps_order_and_rejects(spark, tmp_path):
     assert len(first) == 2903 and first[1] == ("one", 1.5) and first[2] == ("two", None) and first[5] == (None, 5.0)
     none, lost = files.scan_csv(spark, str(tmp_path / "a" / "2.csv"), schema)
     assert none.count() == 0 and lost.count() == 0
+
+
+# ---- version diff ---------------------------------------------------------------------
+def slow_changes(old, new, columns):
+    """(key, status, changed columns) by comparing the sorted values of each key."""
+    out = set()
+    for k in {r[0] for r in old} | {r[0] for r in new}:
+        a, b = [r for r in old if r[0] == k], [r for r in new if r[0] == k]
+        values = lambda rows, i: sorted((str(r[i]) for r in rows))
+        names = " ".join(c for i, c in enumerate(columns, 1) if values(a, i) != values(b, i))
+        if not a or not b:
+            out.add((k, "lost" if a else "added", ""))
+        elif names or len(a) != len(b):
+            out.add((k, "changed", names))
+    return out
+
+
+def test_diff_names_keys_and_reads_only_what_differs(spark, tmp_path):
+    import random
+
+    from bayworks.operators import diff
+
+    rng = random.Random(9)
+    old = [(k, rng.choice("abc"), rng.choice([None, 1, 2])) for k in range(400)]
+    old += [(7, "x", 1)] * 30 + [(None, "n", 1), (None, "n", 2), (8, "x", 1), (8, "y", 2)]
+    new = list(old)
+    new[3] = (3, "zzz", new[3][2])
+    new[50] = (50, "zzz", 99)
+    new.remove((7, "x", 1))  # one copy less
+    new.remove((8, "x", 1))
+    new.append((8, "x", 3))
+    new = [r for r in new if r[0] != 200] + [(1000, "q", None), (None, "m", 2)]
+    rng.shuffle(new)
+    schema, paths = "k int, s string, v int", {}
+    for name, rows in (("old", old), ("new", new), ("same", old[::-1]), ("none", [])):
+        paths[name] = str(tmp_path / name)
+        diff.store(spark.createDataFrame(rows, schema).repartition(3), ["k"], paths[name])
+    got = [tuple(r) for r in diff.changes(spark, paths["old"], paths["new"], ["k"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == slow_changes(old, new, ["s", "v"])
+    buckets = diff.differing_buckets(spark, paths["old"], paths["new"])
+    assert 0 < len(buckets) <= len(got)
+    plan = diff.changes(spark, paths["old"], paths["new"], ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert diff.differing_buckets(spark, paths["old"], paths["same"]) == []
+    assert diff.changes(spark, paths["old"], paths["same"], ["k"]).count() == 0
+    lost = diff.changes(spark, paths["old"], paths["none"], ["k"])
+    assert {r["status"] for r in lost.collect()} == {"lost"} and lost.count() == 401
+    assert diff.changes(spark, paths["none"], paths["none"], ["k"]).count() == 0
