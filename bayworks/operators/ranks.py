@@ -1,8 +1,9 @@
 """Ranks, running totals, tiles and exact percentiles without a global window.
 
-Values are first reduced to a histogram (value, count, sums), then cut into buckets at
-approximate quantiles. Windows run inside one bucket; bucket totals are added as an
-offset. Split points only balance the work: any choice of points gives the same result.
+Values are first reduced to a histogram (value, count, sums), which is cut into ranges of
+groups and values; positions of rows cut them into buckets at approximate quantiles. Windows
+run inside one range or bucket; the totals before it are added as an offset. Split points
+only balance the work: any choice of points gives the same result.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bayworks.session import settle
+from bayworks.session import settle, settle_table
 
 LEAST_BUCKETS, MOST_BUCKETS = 64, 2048
 
@@ -66,29 +67,30 @@ def ranked_values(
 ) -> DataFrame:
     """Histogram with everything that precedes each value inside its group.
 
+    All groups are ranked in one pass, so several columns are ranked together by stacking them
+    as groups. The histogram is range-partitioned once by group and value and stored: a group
+    of many values spans partitions, small ones share them. Windows run inside a partition;
+    one row for each group and partition carries what lies before it.
+
     Adds ``before`` (rows strictly before), ``distinct_before`` and ``<sum>_before``.
     rank = before + 1, dense rank = distinct_before + 1, mid-rank = before + (n + 1) / 2.
     """
     by = list(by)
-    hist = settle(value_histogram(df, by, value, sums))
-    points = sorted(set(split_points(hist, value)))
-    hist = hist.withColumn("_b", bucket_of(F.col(value), points)).withColumn("_one", F.lit(1))
     measures = {"before": "n", "distinct_before": "_one", **{f"{s}_before": s for s in sums}}
-
-    def order(c: str) -> Column:
-        return F.col(c).desc() if descending else F.col(c).asc()
-
-    inside = (
-        Window.partitionBy(*by, "_b").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = hist.groupBy(*by, "_b").agg(*[F.sum(m).alias(f"_t_{o}") for o, m in measures.items()])
-    across = Window.partitionBy(*by).orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*[F.col(k).asc() for k in by], F.col(value).desc() if descending else F.col(value).asc()]
+    cells = value_histogram(df, by, value, sums).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    hist = settle_table(cells.withColumn("_at", F.monotonically_increasing_id()))
+    # the upper bits of the position number the partition
+    hist = hist.withColumn("_part", F.shiftright("_at", 33)).withColumn("_one", F.lit(1))
+    inside = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = hist.groupBy("_part", *by).agg(*[F.sum(m).alias(f"_t_{o}") for o, m in measures.items()])
+    across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in [*by, "_b"]],
+        *[F.col(k).alias(f"_k_{k}") for k in [*by, "_part"]],
         *[F.coalesce(F.sum(f"_t_{o}").over(across), F.lit(0)).alias(f"_o_{o}") for o in measures],
     )
-    same = F.lit(True)
-    for k in [*by, "_b"]:
+    same = F.col("_part") == F.col("_k__part")
+    for k in by:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     running = hist.select(
         "*",

@@ -480,21 +480,25 @@ def _statistical_tests(m: Model) -> DataFrame:
         "lead_days", F.col("is_cancelled").cast("int").alias("c"))
     gap = stats.proportion_gap(fs, "center_id", PLAN.focus, PLAN.benchmark, "on_time_flag").withColumn(
         "n", F.lit(None).cast("bigint"))
-    line, chi2, rho = stats.summary_line, stats.chi2, stats.spearman
+    line, chi2 = stats.summary_line, stats.chi2
+    by_centre = {"kruskal_turnaround_by_centre": "turnaround_hours", "kruskal_wait_by_centre": "wait_hours"}
+    pairs = {
+        "spearman_rating_vs_late_hours": (fs, "late_hours", "rating"),
+        "spearman_rating_vs_wait_hours": (rated, "wait_hours", "rating"),
+        "spearman_daily_load_vs_wait": (daily, "load_ratio", "wait_h"),
+        "spearman_daily_load_vs_on_time": (daily, "load_ratio", "on_time"),
+        "spearman_lead_days_vs_cancel_booked": (booked, "lead_days", "c"),
+    }
+    rho = stats.summary_lines(stats.spearman_many(pairs), list(pairs), "rho", "rho")
     return validate.union_all([
-        line(stats.kruskal(fs, "center_id", "turnaround_hours"), "kruskal_turnaround_by_centre", "h", "epsilon_sq"),
-        line(stats.kruskal(fs, "center_id", "wait_hours"), "kruskal_wait_by_centre", "h", "epsilon_sq"),
+        stats.summary_lines(stats.kruskal_many(fs, "center_id", by_centre), list(by_centre), "h", "epsilon_sq"),
+        rho.withColumn("n", F.when(F.col("test").startswith("spearman_daily"), days).otherwise(F.col("n"))),
         line(stats.mann_whitney(fs, F.col("center_id") == PLAN.focus, "wait_hours"),
              "mannwhitney_wait_focus_vs_rest", "u", "rank_biserial"),
         line(chi2(fs, "center_id", "on_time_flag"), "chi2_on_time_by_centre", "chi2", "cramers_v"),
         line(chi2(fs, "parts_delay_flag", "on_time_flag"), "chi2_on_time_vs_parts_delay", "chi2", "cramers_v"),
         line(gap, "on_time_gap_focus_vs_benchmark", "gap", "cohens_h"),
-        line(rho(fs, "late_hours", "rating"), "spearman_rating_vs_late_hours", "rho", "rho"),
-        line(rho(rated, "wait_hours", "rating"), "spearman_rating_vs_wait_hours", "rho", "rho"),
-        line(rho(daily, "load_ratio", "wait_h").withColumn("n", days), "spearman_daily_load_vs_wait", "rho", "rho"),
-        line(rho(daily, "load_ratio", "on_time").withColumn("n", days), "spearman_daily_load_vs_on_time", "rho", "rho"),
         line(chi2(m.fa, "lead_time_band", "is_cancelled"), "chi2_cancellation_vs_lead_band", "chi2", "cramers_v"),
-        line(rho(booked, "lead_days", "c"), "spearman_lead_days_vs_cancel_booked", "rho", "rho"),
         line(chi2(fs, "skill_level", "qc_passed_first_time"), "chi2_qc_vs_skill", "chi2", "cramers_v"),
         line(chi2(fs, "skill_level", "cost_overrun_flag"), "chi2_overrun_vs_skill", "chi2", "cramers_v"),
         line(chi2(fs.withColumn("saturday", F.col("weekday") == "Saturday"), "saturday", "on_time_flag"),

@@ -6,7 +6,7 @@ operator.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from bayworks.functions import tails
 from bayworks.functions.scalars import flag, ratio, share
 from bayworks.operators.ranks import exact_percentiles, ranked_values
 from bayworks.operators.shape import crosstab
+from bayworks.operators.validate import union_all
 from bayworks.session import settle_table
 
 
@@ -27,24 +28,27 @@ def _tie_sum(n: str = "n") -> Column:
     return F.sum(c * c * c - c)
 
 
-def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Kruskal-Wallis H with tie correction, p-value and epsilon squared."""
+def _kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
+    """H, degrees of freedom, p, epsilon squared and n for each of ``keys``; all keys are ranked in one pass."""
+    keys = list(keys)
     df = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
-    ranked = ranked_values(df, [], value).select(F.col(value).alias("_v"), mid_rank().alias("_r"), "n")
-    cells = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    sums = cells.join(ranked, F.col(value) == F.col("_v")).groupBy(group).agg(
+    cells = settle_table(df.groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("_c")))
+    ranked = ranked_values(cells.select(*keys, value, F.col("_c").alias("_weight")), keys, value)
+    ranked = ranked.select(*keys, value, mid_rank().alias("_r"), "n")
+    sums = cells.join(ranked, [*keys, value]).groupBy(*keys, group).agg(
         F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_r")).alias("_R")
     )
-    total = sums.agg(
+    total = sums.groupBy(*keys).agg(
         F.sum("_n").cast("double").alias("N"),
         F.count(F.lit(1)).alias("k"),
         F.sum(F.col("_R") * F.col("_R") / F.col("_n")).alias("S"),
     )
-    ties = ranked.agg(_tie_sum().alias("T"))
+    ties = ranked.groupBy(*keys).agg(_tie_sum().alias("T"))
     n = F.col("N")
     raw = F.lit(12.0) / (n * (n + 1)) * F.col("S") - 3 * (n + 1)
     h = F.try_divide(raw, 1 - F.try_divide(F.col("T"), n * n * n - n))
-    return total.crossJoin(F.broadcast(ties)).select(
+    return (total.join(ties, keys) if keys else total.crossJoin(F.broadcast(ties))).select(
+        *keys,
         h.alias("h"),
         (F.col("k") - 1).alias("dof"),
         tails.chi2_tail(h, F.col("k") - 1).alias("p"),
@@ -53,6 +57,17 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Kruskal-Wallis H with tie correction, p-value and epsilon squared."""
+    return _kruskal(df, [], group, value)
+
+
+def kruskal_many(df: DataFrame, group: str, tests: Mapping[str, str]) -> DataFrame:
+    """``kruskal`` of several columns at once: one row for each ``tests`` (name -> column) with values."""
+    stack = [F.struct(F.lit(name).alias("test"), F.col(c).cast("double").alias("_v")) for name, c in tests.items()]
+    return _kruskal(df.select(group, F.inline(F.array(*stack))), ["test"], group, "_v")
+
+
 def mann_whitney(df: DataFrame, chosen: Column, value: str) -> DataFrame:
     """U of the chosen group against the rest, rank-biserial effect, normal approximation z and its p-value."""
     df = df.where(F.col(value).isNotNull()).select(flag(chosen).alias("_g"), F.col(value).alias("_x"))
@@ -133,35 +148,54 @@ def proportion_gap(df: DataFrame, group: str, focus, benchmark, hit: str) -> Dat
     )
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation over the rows where both values are present."""
-    pairs = (
-        df.select(F.col(x).alias("_x"), F.col(y).alias("_y"))
-        .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-        .groupBy("_x", "_y")
-        .agg(F.count(F.lit(1)).alias("m"))
-    )
-    pairs = settle_table(pairs)  # ranked on either side, then joined
-    ranks, squares = {}, {}
+def _rank_correlation(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rho, n and p for each of ``keys`` from cells (keys, _x, _y, m): m rows have the values _x and _y.
+
+    Both sides of all keys are stacked and ranked in one pass.
+    """
+    keys = list(keys)
+    cells = settle_table(cells)  # ranked, then joined with the ranks
+    sides = [F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("_x", "_y")]
+    stacked = cells.select(*keys, F.col("m").alias("_weight"), F.inline(F.array(*sides)))
+    ranked = ranked_values(stacked, [*keys, "side"], "v").select(*keys, "side", "v", "n", mid_rank().alias("r"))
+    joined = cells
     for c in ("_x", "_y"):
-        hist = ranked_values(_weighted(pairs, c), [], c)
-        ranks[c] = hist.select(F.col(c).alias(f"{c}v"), mid_rank().alias(f"{c}r"))
-        squares[c] = hist.select(mid_rank().alias("r"), "n").agg(
-            F.sum("n").cast("double").alias(f"N{c}"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias(f"S{c}")
-        )
-    joined = pairs.join(ranks["_x"], F.col("_x") == F.col("_xv")).join(ranks["_y"], F.col("_y") == F.col("_yv"))
-    cross = joined.agg(F.sum(F.col("m") * F.col("_xr") * F.col("_yr")).alias("P"))
-    n = F.col("N_x")
+        one = ranked.where(F.col("side") == c).select(*keys, F.col("v").alias(c), F.col("r").alias(f"{c}r"))
+        joined = joined.join(one, [*keys, c])
+    cross = joined.groupBy(*keys).agg(F.sum(F.col("m") * F.col("_xr") * F.col("_yr")).alias("P"))
+    square = F.col("n") * F.col("r") * F.col("r")
+    spread = ranked.groupBy(*keys).agg(
+        F.sum(F.when(F.col("side") == "_x", F.col("n"))).cast("double").alias("N"),
+        *[F.sum(F.when(F.col("side") == c, square)).alias(f"S{c}") for c in ("_x", "_y")],
+    )
+    both = cross.join(spread, keys) if keys else cross.crossJoin(F.broadcast(spread))
+    n = F.col("N")
     centre = n * (n + 1) * (n + 1) / 4
-    vx, vy = F.col("S_x") - centre, F.col("S_y") - centre
-    return cross.crossJoin(F.broadcast(squares["_x"])).crossJoin(F.broadcast(squares["_y"])).select(
-        F.try_divide(F.col("P") - centre, F.sqrt(vx * vy)).alias("rho"), n.cast("bigint").alias("n")
-    ).withColumn("p", tails.correlation_two_sided(F.col("rho"), F.col("n")))
+    rho = F.try_divide(F.col("P") - centre, F.sqrt((F.col("S_x") - centre) * (F.col("S_y") - centre)))
+    return both.select(*keys, rho.alias("rho"), n.cast("bigint").alias("n")).withColumn(
+        "p", tails.correlation_two_sided(F.col("rho"), F.col("n"))
+    )
+
+
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Rank correlation over the rows where both values are present."""
+    pairs = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
+    return _rank_correlation(pairs.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("m")), [])
 
 
-def _weighted(pairs: DataFrame, c: str) -> DataFrame:
-    """Values of one side with their row counts, for ``ranked_values``."""
-    return pairs.select(c, F.col("m").alias("_weight"))
+def spearman_many(tests: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """``spearman`` of columns of several tables at once: one row for each test (name -> table, x, y) with pairs.
+
+    Every table is folded to its distinct pairs before they are stacked and ranked together.
+    """
+    cells = [
+        df.select(F.lit(name).alias("test"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+        .where("_x is not null and _y is not null")
+        .groupBy("test", "_x", "_y")
+        .agg(F.count(F.lit(1)).alias("m"))
+        for name, (df, x, y) in tests.items()
+    ]
+    return _rank_correlation(union_all(cells), ["test"])
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -174,22 +208,16 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for i, a in enumerate(columns) for b in columns[i + 1 :]
     ]
     cells = df.select(F.inline(F.array(*two))).where("_x is not null and _y is not null")
-    cells = settle_table(cells.groupBy("a", "b", "_x", "_y").agg(F.count(F.lit(1)).alias("m")))
-    joined, spread = cells, None
-    for c in ("_x", "_y"):
-        hist = ranked_values(cells.select("a", "b", c, F.col("m").alias("_weight")), ["a", "b"], c)
-        hist = hist.select("a", "b", c, mid_rank().alias(f"{c}r"), "n")
-        one = hist.groupBy("a", "b").agg(
-            F.sum("n").cast("double").alias(f"N{c}"), F.sum(F.col("n") * F.col(f"{c}r") * F.col(f"{c}r")).alias(f"S{c}")
-        )
-        spread = one if spread is None else spread.join(one, ["a", "b"])
-        joined = joined.join(hist.drop("n"), ["a", "b", c])
-    cross = joined.groupBy("a", "b").agg(F.sum(F.col("m") * F.col("_xr") * F.col("_yr")).alias("P"))
-    n = F.col("N_x")
-    centre = n * (n + 1) * (n + 1) / 4
-    rho = F.try_divide(F.col("P") - centre, F.sqrt((F.col("S_x") - centre) * (F.col("S_y") - centre)))
-    return cross.join(spread, ["a", "b"]).select("a", "b", rho.alias("rho"), n.cast("bigint").alias("n")).withColumn(
-        "p", tails.correlation_two_sided(F.col("rho"), F.col("n")))
+    return _rank_correlation(cells.groupBy("a", "b", "_x", "_y").agg(F.count(F.lit(1)).alias("m")), ["a", "b"])
+
+
+def summary_lines(df: DataFrame, names: Sequence[str], stat: str, effect: str) -> DataFrame:
+    """``summary_line`` of many tests: one line for each of ``names``, nulls for one without observations."""
+    listed = df.sparkSession.createDataFrame([(n,) for n in names], "test string")
+    return listed.join(df, "test", "left").select(
+        "test", F.col(stat).cast("double").alias("statistic"), F.col("p").cast("double").alias("p"),
+        F.col(effect).cast("double").alias("effect"), F.col("n").cast("bigint").alias("n"),
+    )
 
 
 def summary_line(df: DataFrame, name: str, stat: str, effect: str) -> DataFrame:
