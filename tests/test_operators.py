@@ -85,6 +85,31 @@ def test_ranks_match_brute_force(values, descending):
         assert row["r"] == len(ahead) + 1 and row["d"] == len(set(ahead)) + 1
 
 
+@pytest.mark.parametrize("partitions", [1, 8, 90])
+def test_stacked_ranks_across_borders(spark, partitions):
+    """One group spans partitions, small groups and a null group share them; sums travel along."""
+    rows = [("big", i % 700, 1) for i in range(2000)] + [(f"s{i % 40}", i, 2) for i in range(200)] + [(None, i % 3, 3) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, v int, w int")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["g"], r["v"]): (r["n"], r["before"], r["distinct_before"], r["w_before"]) for r in ranks.ranked_values(df, ["g"], "v", sums=["w"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {}
+    for g, v, _ in rows:
+        less = [x for x in rows if x[0] == g and x[1] < v]
+        want[g, v] = (sum(x[:2] == (g, v) for x in rows), len(less), len({x[1] for x in less}), sum(x[2] for x in less))
+    assert got == want
+
+
+def test_ranks_of_nothing(spark):
+    empty = spark.createDataFrame([], "g string, v int")
+    assert ranks.ranked_values(empty, ["g"], "v").count() == 0 and ranks.ranked_values(empty, [], "v").count() == 0
+    assert ranks.exact_percentiles(empty, [], "v", {"p": 0.5}).first()["p"] is None
+
+
 @pytest.mark.parametrize("descending", [True, False])
 def test_positions_with_a_hot_value(values, descending):
     got = ranks.row_positions(values, "v", "id", "p", descending).orderBy("p").collect()
@@ -158,6 +183,24 @@ def test_rank_tests_on_small_samples(spark):
     assert stats.spearman(pair, "x", "y").first()["rho"] == pytest.approx(0.9)
 
 
+def test_tests_ranked_together_equal_single_ones(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("abc"), rng.randrange(30), rng.choice([None, 1.5, 2.25, 7.0]), rng.randrange(4)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, x int, y double, z int")
+    many = {r["test"]: r for r in stats.kruskal_many(df, "g", {"one": "x", "two": "y"}).collect()}
+    for name, c in (("one", "x"), ("two", "y")):
+        single = stats.kruskal(df, "g", c).first()
+        assert [many[name][k] for k in ("h", "dof", "p", "epsilon_sq", "n")] == pytest.approx([single[k] for k in ("h", "dof", "p", "epsilon_sq", "n")])
+    pairs = {"xy": (df, "x", "y"), "xz": (df, "x", "z"), "none": (df.where("g = 'q'"), "x", "y")}
+    found = stats.spearman_many(pairs)
+    rho = {r["test"]: r for r in found.collect()}
+    for name in ("xy", "xz"):
+        single = stats.spearman(df, *name).first()
+        assert [rho[name][k] for k in ("rho", "p", "n")] == pytest.approx([single[k] for k in ("rho", "p", "n")])
+    lines = {r["test"]: r for r in stats.summary_lines(found, list(pairs), "rho", "rho").collect()}
+    assert set(lines) == set(pairs) and lines["none"]["statistic"] is None and lines["none"]["n"] is None
+
+
 def test_chi2_with_and_without_correction(spark):
     rows = [("x", True)] * 10 + [("x", False)] * 20 + [("y", True)] * 20 + [("y", False)] * 10
     got = stats.chi2(spark.createDataFrame(rows, "a string, b boolean"), "a", "b").first()
