@@ -229,13 +229,19 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
 
 
 def decode(rows: DataFrame, ids: str = "piece_ids", path: str | None = None) -> DataFrame:
-    """``rows`` with one more column ``decoded``: the text of the ids; null for null ids."""
+    """``rows`` with one more column ``decoded``: the text of the ids.
+
+    Null for null ids, and for a list that holds a null or a number that is no id of the model.
+    """
     path = path or model_path()
 
     def answer(lists: pa.Array) -> pa.Array:
         pieces = known_pieces(path)
-        out = [x.as_py() for x in lists]
-        return pa.array([None if x is None else pieces.decode(np.array(x, "<u4").tobytes()) for x in out], pa.string())
+        size, out = len(pieces.text), []
+        for ids in (x.as_py() for x in lists):
+            known = ids is not None and all(i is not None and 0 <= i < size for i in ids)
+            out.append(pieces.decode(np.array(ids, "<u4").tobytes()) if known else None)
+        return pa.array(out, pa.string())
 
     return rows.withColumn(fresh(rows, "decoded"), F.arrow_udf(answer, "string").asNondeterministic()(ids))
 

@@ -8,6 +8,8 @@ of weights is normalised by the length of the text and turned into a likelihood.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -37,25 +39,38 @@ HOMOGLYPHS = {
     "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l", "ӏ": "l", "ℓ": "l",
     "⁰": "o", "¹": "i", "³": "e",
 }
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a"}
+DIGITS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "trash collection", "pond scum", "clown fish", "clown car")
 # ---------------------------------------------------------------------------------
 _GLYPHS = {ord(k): v for k, v in HOMOGLYPHS.items()} | {n: chr(n - 0xFEE0) for n in range(0xFF10, 0xFF5B)}
 _GLYPHS |= {n: None for n in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+# Combining accents go, accented Latin letters become plain ones.
+_GLYPHS |= {n: None for n in range(0x300, 0x370)}
+_GLYPHS |= {
+    n: d[0]
+    for n in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    if (d := unicodedata.normalize("NFKD", chr(n)))[0].isascii() and d[0].isalpha() and all(map(unicodedata.combining, d[1:]))
+}
 #: On UTF-8 bytes: letters and bytes of other characters stay, look-alike digits become letters.
 _TABLE = bytes(
     b if b > 127 or 97 <= b <= 122 else ord(DIGITS[chr(b)]) if chr(b) in DIGITS else 32 for b in range(256)
 )
 
 
+#: An exclamation mark stands for a letter only inside a word; at its end it is punctuation.
+_INNER_MARK = re.compile(r"(?<=[^\W_])!(?=[^\W_])")
+
+
 def fold(text: str) -> str:
-    """Lower case, homoglyphs and look-alike digits as letters, all else single blanks.
+    """Lower case, homoglyphs, accented letters and look-alike signs as plain letters, all else single blanks.
 
     The result is the UTF-8 bytes as characters 0-255, with a blank before every word.
     """
     text = text.lower()
     if not text.isascii():
         text = text.translate(_GLYPHS).lower()
+    if "!" in text:
+        text = _INNER_MARK.sub("i", text)
     words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
     return (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
 

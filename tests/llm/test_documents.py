@@ -363,6 +363,12 @@ def test_pairs_in_linear_time_equal_all_pairs():
     assert abs(quality.raw_score(m, at, value) - slow) < 1e-8
 
 
+def test_broken_ids_decode_to_null(spark):
+    rows = [(1, None), (2, []), (3, [5, None]), (4, [-1]), (5, [10_000_000]), (6, [5, 6])]
+    got = {r.k: r.decoded for r in pieces.decode(spark.createDataFrame(rows, "k int, piece_ids array<int>")).collect()}
+    assert [got[k] for k in (1, 3, 4, 5)] == [None] * 4 and got[2] == "" and got[6] is not None
+
+
 @pytest.mark.parametrize("name, label, least", [("op1_quality_classifier", "quality", 0.96), ("op9_toxicity", "toxic", 0.96)])
 def test_held_out_accuracy(spark, name, label, least):
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.1")
@@ -373,6 +379,8 @@ def test_held_out_accuracy(spark, name, label, least):
 
 def test_folding_undoes_disguises():
     assert toxicity.fold("1D10T, Ｉdiоt​ idiіt!") == " idiot idiot idiit "
+    assert toxicity.fold("tra$h, 9ar6age! cre\u0301tin CRÉTIN id!ot") == " trash gargage cretin cretin idiot "
+    assert toxicity.fold("wow! 100! no!") == " wow ioo no "  # the mark ends a word
     assert toxicity.fold("") == "" == toxicity.fold(" \n ")
 
 
