@@ -50,8 +50,11 @@ def key_number(df: DataFrame, key: str) -> Column:
 
 
 def draw(number: Column, tag: int) -> Column:
-    """0..9999, evenly spread over the keys, different for every tag."""
-    return F.pmod(number * STEP + tag * TAG_STEP, F.lit(PRIME)) % 10_000
+    """0..9999, evenly spread over the keys, different for every tag.
+
+    The key is reduced before it is multiplied: the same remainder, and no key is too large.
+    """
+    return F.pmod(F.pmod(number, F.lit(PRIME)) * STEP + tag * TAG_STEP, F.lit(PRIME)) % 10_000
 
 
 def _orphan(df: DataFrame, column: str) -> Column:

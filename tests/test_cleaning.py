@@ -244,6 +244,14 @@ def test_defects_are_found_and_repaired(spark):
     assert spelled.where(F.col("t.service_type") != rows["work_orders"]["service_type"]).count() == 0
 
 
+def test_defects_are_drawn_for_keys_of_any_size(spark):
+    keys = [0, 7, 9 * 10**14 + 41, 2**62 + 5]
+    df = spark.createDataFrame([(k, k % 5, 1, 3) for k in keys], "usage_id long, work_order_id long, part_id long, quantity int")
+    drawn = [r[0] for r in df.select(defects.draw(F.col("usage_id"), 18)).collect()]
+    assert sorted(drawn) == sorted((k * 48_271 + 18 * 7_919) % 2_147_483_647 % 10_000 for k in keys)
+    assert defects.inject({"part_usage": df}, CFG)["part_usage"].count() == len(keys)
+
+
 def test_checks_on_the_undamaged_model(spark):
     t = {k: settle(v) for k, v in Model(spark, SMALL).tables.all().items()}
     got = {r["check_id"]: r["issue_count"] for r in quality.summary(t, BOUND).collect()}
