@@ -692,6 +692,11 @@ METRICS = (
 class SharedModel(Model):
     """A model whose job facts, daily load and part lines are built once and stored."""
 
+    @cached_property
+    def dataset(self) -> versions.Version:
+        """Published by a plain model: here ``jobs`` already reads what that publishes."""
+        return Model(self.spark, self.folder).dataset
+
     def jobs(self, columns: str) -> DataFrame:
         return self.stored
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 
 from bayworks.operators.filters import Selection, apply_slicers, select
 from bayworks.plans import cube, kpis
-from bayworks.plans.bound import CFG, Model
-from bayworks.sources import versions
+from bayworks.plans.bound import CFG, Model, SharedModel, compute_all
+from bayworks.sources import binding, versions
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -114,6 +114,29 @@ def test_same_inputs_are_used_again(spark, tmp_path):
     assert versions.cached(spark, base, made_from, build).read(spark)["a"].count() == 7 and len(built) == 2
 
 
+def given_tables(spark, base, jobs=6):
+    """A few rows of each given table below ``base``."""
+    day = datetime(2000, 3, 1)
+    rows = {
+        "region": [(0, "ASIA")],
+        "nation": [(0, "JAPAN", 0)],
+        "customer": [(0, "c0", 0, 1.0, "BUILDING"), (1, "c1", 0, 2.0, "MACHINERY")],
+        "supplier": [(0, "s0", 0, 1000.0), (1, "s1", 0, 5000.0)],
+        "part": [(0, "p0", "b", "TIN", 3, 900.0), (1, "p1", "b", "BRASS", 5, 900.1)],
+        "orders": [(k, k % 2, "F", 10.0, day, "2-HIGH") for k in range(jobs)],
+        "lineitem": [(k, k % 2, 0, 1, 2.0, 1800.0, 0.1, 0.0, "N", "O", day) for k in range(jobs)],
+        "events": [(0, day, 0, "view", 1.0, "{}")],
+    }
+    for name, data in rows.items():
+        spark.createDataFrame(data, binding.SCHEMAS[name]).write.parquet(f"{base}/{name}.parquet")
+    return str(base)
+
+
+def test_shared_model_publishes_what_no_query_has_published(spark, tmp_path):
+    made = compute_all(SharedModel(spark, given_tables(spark, tmp_path)), str(tmp_path / "out"), ("parts_delay_cat", "abc_summary"))
+    assert {r["name"]: r["rows"] for r in made.collect()} == {"parts_delay_cat": 2, "abc_summary": 1}
+
+
 # ---- cube -------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def model(spark):
