@@ -17,7 +17,7 @@ from bayworks.functions.scalars import band, parse_datetime, rounded_to
 from bayworks.config import LEAD_BANDS, TURNAROUND_EDGES
 from bayworks.operators import clean, diff, filters, shape, validate
 from bayworks.plans import cube, explore, facts, insights, kpis, measures, metrics, quality, reports, stats, views, whatif
-from bayworks.session import configure, scratch_folder, settle_table
+from bayworks.session import configure, scratch_folder, settle_table, size_shuffles
 from bayworks.sources import binding, defects, files, schemas, versions
 
 CFG = binding.BOUND_CONFIG
@@ -35,6 +35,11 @@ class Model:
         self.spark = configure(spark)
         self.folder = folder
         self.cfg = CFG
+        size_shuffles(spark, sum(versions.stored_bytes(spark, p) for p in self.paths))
+
+    @property
+    def paths(self) -> list[str]:
+        return [f"{self.folder}/{name}.parquet" for name in binding.SCHEMAS]
 
     def read(self, name: str) -> DataFrame:
         return binding.read(self.spark, self.folder, name)
@@ -54,8 +59,7 @@ class Model:
         It lies in the session's shared folder and serves all queries that read facts more
         than once, as a dashboard's data set does.
         """
-        paths = [f"{self.folder}/{name}.parquet" for name in binding.SCHEMAS]
-        made_from = versions.fingerprint(self.spark, paths, CFG)
+        made_from = versions.fingerprint(self.spark, self.paths, CFG)
         base = f"{scratch_folder(self.spark)}/datasets/{hashlib.sha256(self.folder.encode()).hexdigest()[:16]}"
         return versions.cached(self.spark, f"{base}/facts", made_from, lambda: {
             "fact_service": self.fact, "fact_appointments": self.appts, "technician_hours": self.load})

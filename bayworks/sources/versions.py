@@ -60,6 +60,11 @@ def _listed(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
     return sorted(out)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Length of all files below a folder, or of a file; 0 if there is none."""
+    return sum(length for _, length, _ in _listed(spark, path))
+
+
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, p = _files(spark, path)
     stream = fs.create(p, False)

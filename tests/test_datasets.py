@@ -10,6 +10,7 @@ import pytest
 from bayworks.operators.filters import Selection, apply_slicers, select
 from bayworks.plans import cube, kpis
 from bayworks.plans.bound import CFG, Model, SharedModel, compute_all
+from bayworks.session import size_shuffles
 from bayworks.sources import binding, versions
 
 SMALL = "/root/testdata/sf0.001"
@@ -137,6 +138,13 @@ def test_shared_model_publishes_what_no_query_has_published(spark, tmp_path):
     assert {r["name"]: r["rows"] for r in made.collect()} == {"parts_delay_cat": 2, "abc_summary": 1}
 
 
+def test_shuffles_start_with_partitions_by_input(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    for size, partitions in ((0, 8), (10**9, 119), (6 * 10**9, 715), (1, 8)):
+        size_shuffles(spark, size)
+        assert spark.conf.get(name) == str(partitions)
+
+
 # ---- cube -------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def model(spark):
